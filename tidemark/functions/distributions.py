@@ -12,6 +12,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 
@@ -150,10 +151,10 @@ def ks_two_sample_p(d: float, n1: int, n2: int) -> float:
     return float(min(1.0, max(0.0, 1.0 - prob[n1])))
 
 
-def _columnwise(fn, kind="double"):
+def _columnwise(fn):
     """A scalar function of finished statistics as an Arrow UDF; NULL in, NULL out."""
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(DoubleType())
     def apply(args: pd.DataFrame) -> pd.Series:
         ok = args.notna().all(axis=1)
         return pd.Series(

@@ -136,6 +136,13 @@ def clip(c: str | Column, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)).cast("double"))
 
 
+def round_scaled(c: str | Column, digits: int) -> Column:
+    """Round by scaling up, rounding to a whole number and scaling down, as
+    column engines do: 9.825 is stored below the tie and goes to 9.82."""
+    unit = F.lit(float(10**digits))
+    return F.round(_col(c) * unit) / unit
+
+
 def scale_to_unit(c: str | Column, lo: float, hi: float) -> Column:
     """Min-max scale to [−1, 1]; a constant column stays as it is."""
     c = _col(c).cast("double")

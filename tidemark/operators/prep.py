@@ -82,7 +82,10 @@ def apply_imputation(df: DataFrame, fills: Mapping[str, object], flag_labs: bool
         elif types[c] == "string":
             out.append(F.coalesce(F.col(c), F.lit(fills[c])).alias(c))
         else:
-            out.append(F.coalesce(F.col(c).cast("double"), F.lit(float(fills[c]))).alias(c))
+            fill = float(fills[c])
+            whole = types[c] in ("int", "bigint", "smallint", "tinyint") and fill == int(fill)
+            kind = types[c] if whole else "double"
+            out.append(F.coalesce(F.col(c).cast(kind), F.lit(fill).cast(kind)).alias(c))
     if flag_labs:
         out += [F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in df.columns if is_lab(c)]
     return df.select(*out)

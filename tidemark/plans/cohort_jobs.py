@@ -18,6 +18,7 @@ from tidemark.functions.exprs import (
     map_values,
     number_or_leading_digits,
     parse_with_sentinel,
+    round_scaled,
     strict_sum,
     text_ladder,
     text_match,
@@ -161,7 +162,7 @@ def extract_freetext_cohort(
         tables["patient"].withColumns({"age": age, "unitadmitoffset": F.lit(0)})
         .where(F.col("age") >= 18)
         .where((minutes >= min_los_hours * 60) & (minutes <= max_los_days * 1440))
-        .withColumn("los", F.round(minutes / F.lit(1440.0), 2))
+        .withColumn("los", round_scaled(minutes / F.lit(1440.0), 2))
         .select(
             "patientunitstayid", "patienthealthsystemstayid", "gender", "age", "ethnicity", "hospitalid", "unittype",
             "unitadmitoffset", "unitdischargeoffset", "hospitaldischargestatus", "los",

@@ -12,6 +12,7 @@ from tidemark import vocab
 from tidemark.functions.exprs import numeric_columns
 from tidemark.operators import prep
 from tidemark.operators.timeseries import clip_channels, forward_fill
+from tidemark.session import cut_lineage
 from tidemark.sources.writers import save_params, write_stage
 
 
@@ -50,7 +51,7 @@ def preprocess(
     Categories come from the training rows, so all three splits get the same,
     sorted columns; an unseen category is all zeros.
     """
-    marked = prep.stratified_split(static.drop(*drop), list(ids), target, test_size, val_size, seed)
+    marked = cut_lineage(prep.stratified_split(static.drop(*drop), list(ids), target, test_size, val_size, seed))
     train_rows = marked.where(F.col("split") == "train").drop("split")
     fills = prep.fit_imputation(train_rows, method, exclude=[*id_columns, target])
     categories = prep.fit_categories(prep.apply_imputation(train_rows, fills, flag_labs=False), categorical)

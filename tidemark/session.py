@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tidemark", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,9 +21,26 @@ def local_session(app: str = "tidemark", cores: str = "8", shuffle_partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+    return ship_package(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application, so that
+    Arrow functions can import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        base = Path(tempfile.mkdtemp(prefix="tidemark-ship-")) / "tidemark"
+        spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
+        _shipped.add(app)
+    return spark
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
