@@ -1,6 +1,6 @@
 """Importing the package fills the registry."""
 
-from tidemark.catalog import descriptive, extraction, preparation, series_queries, statistics  # noqa: F401
+from tidemark.catalog import descriptive, evaluation_queries, extraction, preparation, series_queries, statistics  # noqa: F401
 from tidemark.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
