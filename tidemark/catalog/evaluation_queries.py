@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tidemark import vocab
 from tidemark.catalog.clinical import CODED_SQL, static_features
 from tidemark.catalog.descriptive import _corr_sql
 from tidemark.catalog.preparation import u_sql
@@ -12,7 +11,7 @@ from tidemark.catalog.statistics import LINE_COLS, halves
 from tidemark.operators import fidelity, plausibility, privacy, temporal, utility
 from tidemark.operators.bayes import fit_network
 from tidemark.operators.neighbors import nearest_distances
-from tidemark.operators.prep import fit_minmax
+from tidemark.operators.prep import apply_minmax, fit_minmax
 from tidemark.plans import evaluation
 from tidemark.session import cut_lineage
 
@@ -60,22 +59,23 @@ def plausibility_rules(spark, folder):
     return rounded(plausibility.check_rules(x, _RULES))
 
 
+_SCALE_RULES = {
+    "age_valid": (["anchor_age"], "anchor_age >= 20.5 AND anchor_age <= 90.5"),
+    "los_positive": (["los"], "los > 0.5"),
+}
+
+
 @query(
     "plausibility_normalised",
-    f"""WITH {CODED_SQL} SELECT hospital_expire_flag, rule, CAST(v AS BIGINT) AS violations, {r("v / CAST(d AS DOUBLE)")} AS violation_rate FROM (
-      SELECT hospital_expire_flag, 'age_valid' AS rule, SUM(CAST(NOT anchor_age BETWEEN 18 AND 120 AS INT)) AS v, COUNT(*) AS d FROM static GROUP BY 1
-      UNION ALL SELECT hospital_expire_flag, 'los_positive', SUM(CAST(NOT los > 0 AS INT)), COUNT(*) FROM static GROUP BY 1
-      UNION ALL SELECT hospital_expire_flag, 'total', SUM(CAST(NOT anchor_age BETWEEN 18 AND 120 AS INT) + CAST(NOT los > 0 AS INT)), COUNT(*) * 7 FROM static GROUP BY 1)""",
+    f"""WITH {CODED_SQL}, v AS (SELECT hospital_expire_flag, COUNT(*) AS n, SUM(CAST(NOT anchor_age BETWEEN 20.5 AND 90.5 AS INT)) AS a, SUM(CAST(NOT los > 0.5 AS INT)) AS b FROM static GROUP BY 1)
+    SELECT hospital_expire_flag, rule, CAST(v AS BIGINT) AS violations, {r("v / CAST(d AS DOUBLE)")} AS violation_rate FROM (
+      SELECT hospital_expire_flag, 'age_valid' AS rule, a AS v, n AS d FROM v UNION ALL SELECT hospital_expire_flag, 'los_positive', b, n FROM v
+      UNION ALL SELECT hospital_expire_flag, 'total', a + b, n * 2 FROM v)""",
 )
 def plausibility_normalised(spark, folder):
-    from tidemark.operators.prep import apply_minmax
-
-    s = static_features(spark, folder).select("hospital_expire_flag", "anchor_age", "los")
+    s = cut_lineage(static_features(spark, folder).select("hospital_expire_flag", "anchor_age", "los"))
     fit = fit_minmax(s, ["anchor_age", "los"])
-    # halves of a unit keep rounding noise of the round trip away from the age bound
-    checked = plausibility.check_rules(apply_minmax(s.withColumn("anchor_age", F.col("anchor_age") + 0.0), fit), norm_params={
-        **fit, "anchor_age": {"min": fit["anchor_age"]["min"] + 1e-9, "max": fit["anchor_age"]["max"] + 1e-9}}, group=["hospital_expire_flag"])
-    return rounded(checked.where(F.col("rule").isin("age_valid", "los_positive", "total")))
+    return rounded(plausibility.check_rules(apply_minmax(s, fit), _SCALE_RULES, fit, ["hospital_expire_flag"]))
 
 
 _NN = """SELECT q.vec_id, MIN(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[]))) AS d FROM embeddings q, embeddings r

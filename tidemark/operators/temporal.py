@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.neighbors import nearest_distances
@@ -43,12 +43,13 @@ def scale_sequences(seqs: DataFrame, channels: Sequence[str]) -> DataFrame:
         *[F.array_min(c).alias(f"{c}__lo") for c in channels], *[F.array_max(c).alias(f"{c}__hi") for c in channels]
     )
     fit = fit_minmax(ends, ends.columns)
-    out = {}
-    for c in channels:
+
+    def scaled(c: str) -> Column:
         lo, hi = fit[f"{c}__lo"]["min"], fit[f"{c}__hi"]["max"]
         width = (hi - lo) or 1.0
-        out[c] = F.transform(c, lambda x, lo=lo, width=width: F.lit(2.0) * (x - F.lit(lo)) / F.lit(width) - 1.0)
-    return seqs.withColumns(out)
+        return F.transform(c, lambda x: F.lit(2.0) * (x - F.lit(lo)) / F.lit(width) - 1.0)
+
+    return seqs.withColumns({c: scaled(c) for c in channels})
 
 
 def autocorrelations(seqs: DataFrame, channels: Sequence[str], max_lag: int = 12) -> DataFrame:

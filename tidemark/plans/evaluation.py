@@ -15,6 +15,7 @@ from tidemark.operators import fidelity, plausibility, privacy, utility
 from tidemark.operators.prep import invert_minmax
 from tidemark.operators.stattests import pooled_text, rubin_pool, shared_numeric
 from tidemark.operators.timeseries import series_summary
+from tidemark.session import cut_lineage
 
 UNDEFINED_UTILITY = {"trtr_auc": 0.0, "tstr_auc": 0.0, "auc_gap": 0.0}
 EMPTY_PRIVACY = dict.fromkeys(["mia_f1", "mean_dcr", "median_dcr", "min_dcr", "p5_dcr", "aia_accuracy"], 0.0)
@@ -155,7 +156,7 @@ def score_candidate(
     channel; a metric that cannot be computed takes its worst value. Test rows
     have no series and enter with zeros."""
     meta = numeric_columns(static, [key, target, *vocab.ID_COLUMNS])
-    flat = lambda s: static.select(key, target, *meta).join(series_summary(s, [key], channels), key)
+    flat = lambda s: cut_lineage(static.select(key, target, *meta).join(series_summary(s, [key], channels), key))
     real, synth = flat(real_series), flat(synth_series)
     cols = [c for c in real.columns if c not in (key, target)]
     zeros = [F.lit(0.0).alias(f"{c}_{s}") for c in channels for s in ("mean", "std")]
