@@ -147,7 +147,7 @@ def comorbidity_flags(spark, folder):
     codes = table(spark, folder, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("o_orderkey"), F.col("p_type").alias("icd_code"), F.lit(1).alias("icd_version")
     )
-    return code_flags(table(spark, folder, "orders"), codes, ["o_orderkey"], {k: {1: [v]} for k, v in _TYPES.items()})
+    return code_flags(table(spark, folder, "orders").select("o_orderkey"), codes, ["o_orderkey"], {k: {1: [v]} for k, v in _TYPES.items()})
 
 
 @query(

@@ -31,7 +31,7 @@ def hourly(spark, folder):
     FROM series)""",
 )
 def ffill_clip(spark, folder):
-    return rounded(preprocess_series(series(spark, folder)))
+    return rounded(preprocess_series(series(spark, folder), hour_capped=True))
 
 
 @query(

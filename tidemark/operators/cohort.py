@@ -50,7 +50,7 @@ def code_flags(
     code: str = "icd_code",
     version: str = "icd_version",
 ) -> DataFrame:
-    """0/1 flag columns per spine row; spine rows without any code get 0.
+    """The spine with 0/1 flag columns; spine rows without any code get 0.
 
     Codes are reduced to one row per key before the join (map-side combine), so
     the join sees at most one row per key on either side.
@@ -61,9 +61,8 @@ def code_flags(
         .groupBy(*on)
         .agg(*[F.max(F.when(c, 1).otherwise(0)).alias(n) for n, c in hits.items()])
     )
-    keys = spine.select(*on).distinct()
-    return keys.join(reduced, list(on), "left").select(
-        *on, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in hits]
+    return spine.join(reduced, list(on), "left").select(
+        *[spine[c] for c in spine.columns], *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in hits]
     )
 
 

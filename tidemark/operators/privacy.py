@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.neighbors import as_vector, nearest_distances
 from tidemark.operators.prep import apply_standard, fit_standard, random_sample
 from tidemark.operators.skew import quantiles
+from tidemark.session import cut_lineage
 
 
 def scaled_vectors(real: DataFrame, synth: DataFrame, cols: Sequence[str], real_id: str, synth_id: str):
@@ -27,6 +28,7 @@ def closest_record(real: DataFrame, synth: DataFrame, cols: Sequence[str], real_
 
 def dcr_summary(distances: DataFrame, col: str = "distance") -> DataFrame:
     """mean, median, min and 5th percentile of closest-record distances."""
+    distances = cut_lineage(distances)  # read several times, computed once
     q = quantiles(distances, [col], [0.5, 0.05, 0.0]).first()
     return distances.agg(
         F.avg(col).alias("mean_dcr"),
@@ -67,6 +69,7 @@ def membership_inference(
 
 def attack_summary(mixed: DataFrame) -> DataFrame:
     """``member, distance`` rows to ``mia_f1, median_nn_distance, mean_nn_distance``."""
+    mixed = cut_lineage(mixed)
     threshold = quantiles(mixed, ["distance"], [0.5]).first()["q0"]
     median = quantiles(mixed.where(~F.col("member")), ["distance"], [0.5]).first()["q0"]
     guess = F.col("distance") < F.lit(threshold)

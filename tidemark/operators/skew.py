@@ -5,6 +5,9 @@ group in one task, which fails when one key owns a third of the rows. The
 operators here first collapse equal values (map-side combine), then cut every
 column into value blocks of about equal size. A block is the unit of sorting;
 block totals, at most ``groups x blocks`` rows, carry the offsets between them.
+
+Inputs whose size is known to be small, by Spark's own upper estimate or by a
+count, take the plain form: there one task can hold any group.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from tidemark.functions.exprs import hash_uniform
 from tidemark.session import cut_lineage
 
 HOT_ROWS = 1_000_000
-SMALL_BYTES = 256 << 20
+SMALL_BYTES = 64 << 20
+SMALL_ROWS = 1_000_000
 
 
 def block_count(df: DataFrame) -> int:
@@ -56,26 +60,38 @@ def first_by(
 
 
 # ---- value blocks ---------------------------------------------------------
-def fit_blocks(df: DataFrame, cols: Sequence[str], n_blocks: int | None = None) -> dict[str, list[float]]:
-    """Approximate quantile edges for all columns in one scan. The driver gets
+Edges = Mapping[str, Sequence[float]]
+
+
+def fit_blocks(
+    df: DataFrame, cols: Sequence[str], n_blocks: int | None = None, small_rows: int = SMALL_ROWS,
+    small_bytes: int = SMALL_BYTES,
+) -> Edges | None:
+    """Approximate quantile edges for all columns in one scan, or None for an
+    input small enough to need no blocks. The driver gets
     ``len(cols) * n_blocks`` numbers; results never depend on where edges fall."""
+    if planned_bytes(df) < small_bytes:
+        return None
     n = n_blocks or block_count(df)
     probs = [i / n for i in range(1, n)]
     row = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), probs, 10 * n).alias(c) for c in cols]
+        F.count(F.lit(1)).alias("__rows"),
+        *[F.percentile_approx(F.col(c).cast("double"), probs, 10 * n).alias(c) for c in cols],
     ).first()
+    if row["__rows"] < small_rows:
+        return None
     return {c: sorted({float(v) for v in (row[c] or []) if v == v}) for c in cols}
 
 
-def with_blocks(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
-    """Add ``<col>__block`` for every column with edges."""
+def with_blocks(df: DataFrame, cols: Sequence[str], edges: Edges | None) -> DataFrame:
+    """Add ``<col>__num`` (as double) and ``<col>__block``."""
+    out = df.select("*", *[F.col(c).cast("double").alias(f"{c}__num") for c in cols])
+    if edges is None:
+        return out.select("*", *[F.lit(0).alias(f"{c}__block") for c in cols])
     inf = float("inf")
-    cols = list(edges)
     splits = [[-inf, *(e for e in edges[c] if abs(e) != inf), inf] for c in cols]
-    splits = [s if len(s) > 2 else [-inf, 0.0, inf] for s in splits]
-    out = df.select("*", *[F.col(c).cast("double").alias(f"{c}__num") for c in cols])
     bucketizer = Bucketizer(
-        splitsArray=splits,
+        splitsArray=[s if len(s) > 2 else [-inf, 0.0, inf] for s in splits],
         inputCols=[f"{c}__num" for c in cols],
         outputCols=[f"{c}__block" for c in cols],
         handleInvalid="keep",
@@ -87,15 +103,15 @@ def value_sums(
     df: DataFrame,
     group: Sequence[str],
     cols: Sequence[str],
+    edges: Edges | None,
     sums: Mapping[str, Column] | None = None,
-    n_blocks: int | None = None,
 ) -> DataFrame:
     """One row per (group, variable, distinct value) with summed measures.
 
     All columns are unpivoted in the same scan. NULL and NaN values are left out.
     """
     sums = dict(sums or {"cnt": F.lit(1)})
-    blocked = with_blocks(df, fit_blocks(df, cols, n_blocks))
+    blocked = with_blocks(df, cols, edges)
     entries = F.array(
         *[
             F.struct(
@@ -129,8 +145,15 @@ def _block_offsets(counts: DataFrame, part: Sequence[str], sums: Sequence[str])
     )
 
 
-def running_sums(counts: DataFrame, part: Sequence[str], sums: Sequence[str]) -> DataFrame:
+def running_sums(counts: DataFrame, part: Sequence[str], sums: Sequence[str], blocked: bool = True) -> DataFrame:
     """Add ``<s>_before`` (sum over smaller values) and ``<s>_total`` per part."""
+    if not blocked:
+        order = Window.partitionBy(*part).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            "*",
+            *[F.coalesce(F.sum(s).over(order), F.lit(0)).alias(f"{s}_before") for s in sums],
+            *[F.sum(s).over(Window.partitionBy(*part)).alias(f"{s}_total") for s in sums],
+        )
     offsets = _block_offsets(counts, part, sums).drop(*[f"{s}_block" for s in sums])
     joined = null_safe_join(counts, offsets, [*part, "block"])
     inside = (
@@ -152,28 +175,34 @@ def quantiles(
     probs: Sequence[float],
     group: Sequence[str] = (),
     n_blocks: int | None = None,
+    small_rows: int = SMALL_ROWS,
+    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per (group, variable).
 
-    Only the blocks that hold a wanted rank are sorted. Returns
-    ``group..., variable, n, q0, q1, ...`` in the order of ``probs``.
+    Returns ``group..., variable, n, q0, q1, ...`` in the order of ``probs``.
+    Only the blocks that hold a wanted rank are sorted.
     """
+    edges = fit_blocks(df, cols, n_blocks, small_rows, small_bytes)
     part = [*group, "variable"]
-    counts = value_sums(df, group, cols, n_blocks=n_blocks)
-    offsets = _block_offsets(counts, part, ["cnt"])
-    wanted = None
-    for p in probs:
-        pos = F.lit(float(p)) * (F.col("cnt_total") - 1)
-        for rank in (F.floor(pos), F.ceil(pos)):
-            hit = (rank >= F.col("cnt_offset")) & (rank < F.col("cnt_offset") + F.col("cnt_block"))
-            wanted = hit if wanted is None else wanted | hit
-    picked = null_safe_join(counts, offsets.where(wanted), [*part, "block"])
-    inside = (
-        Window.partitionBy(*part, "block").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranked = picked.withColumn(
-        "first", F.col("cnt_offset") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))
-    )
+    counts = value_sums(df, group, cols, edges)
+    if edges is None:
+        ranked = running_sums(counts, part, ["cnt"], False).withColumnRenamed("cnt_before", "first")
+    else:
+        offsets = _block_offsets(counts, part, ["cnt"])
+        wanted = None
+        for p in probs:
+            pos = F.lit(float(p)) * (F.col("cnt_total") - 1)
+            for rank in (F.floor(pos), F.ceil(pos)):
+                hit = (rank >= F.col("cnt_offset")) & (rank < F.col("cnt_offset") + F.col("cnt_block"))
+                wanted = hit if wanted is None else wanted | hit
+        picked = null_safe_join(counts, offsets.where(wanted), [*part, "block"])
+        inside = (
+            Window.partitionBy(*part, "block").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        )
+        ranked = picked.withColumn(
+            "first", F.col("cnt_offset") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))
+        )
     aggs = [F.max("cnt_total").alias("n")]
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("cnt_total") - 1)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import distributions as dist
 from tidemark.functions.exprs import numeric_columns
 from tidemark.operators.prep import category_counts
-from tidemark.operators.skew import running_sums, value_sums
+from tidemark.operators.skew import fit_blocks, running_sums, value_sums
 
 
 def both_sides(real: DataFrame, synth: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
@@ -37,11 +37,10 @@ def ks_tests(
     """Two-sample Kolmogorov–Smirnov per column: ``variable, n_real, n_synth,
     ks_stat, pvalue``. Samples below ``min_size`` give NULL."""
     stacked = both_sides(real, synth, cols, group)
-    counts = value_sums(
-        stacked, group, cols, {"n1": F.col("is_real"), "n2": 1 - F.col("is_real")}
-    )
+    edges = fit_blocks(stacked, cols)
+    counts = value_sums(stacked, group, cols, edges, {"n1": F.col("is_real"), "n2": 1 - F.col("is_real")})
     part = [*group, "variable"]
-    runs = running_sums(counts, part, ["n1", "n2"])
+    runs = running_sums(counts, part, ["n1", "n2"], edges is not None)
     gap = F.abs(
         F.try_divide(F.col("n1_before") + F.col("n1"), F.col("n1_total"))
         - F.try_divide(F.col("n2_before") + F.col("n2"), F.col("n2_total"))
@@ -73,8 +72,9 @@ def rank_sums(df: DataFrame, cols: Sequence[str], group: str, groups: Sequence)
     total n and the tie term Σ(t³ − t)."""
     named = {f"g{i}": (F.col(group) == F.lit(g)) for i, g in enumerate(groups)}
     rows = df.where(F.col(group).isin(list(groups)))
-    counts = value_sums(rows, [], cols, {"cnt": F.lit(1), **{k: c.cast("int") for k, c in named.items()}})
-    runs = running_sums(counts, ["variable"], ["cnt"])
+    edges = fit_blocks(rows, cols)
+    counts = value_sums(rows, [], cols, edges, {"cnt": F.lit(1), **{k: c.cast("int") for k, c in named.items()}})
+    runs = running_sums(counts, ["variable"], ["cnt"], edges is not None)
     rank = F.col("cnt_before") + (F.col("cnt") + 1) / 2.0
     t = F.col("cnt").cast("double")
     return runs.groupBy("variable").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.neighbors import nearest_distances
 from tidemark.operators.prep import fit_minmax, random_sample
 from tidemark.operators.skew import quantiles
+from tidemark.session import cut_lineage
 
 
 def flat_sequences(seqs: DataFrame, key: str, channels: Sequence[str]) -> DataFrame:
@@ -26,9 +27,11 @@ def sequence_distance(
     a reproducible subset of either side."""
     if n_samples is not None:
         real, synth = (random_sample(d, [key], n_samples, seed) for d in (real, synth))
-    near = nearest_distances(
-        flat_sequences(real, key, channels), flat_sequences(synth, key, channels), key, **kw
-    ).select(F.col("distances")[0].alias("distance"))
+    near = cut_lineage(
+        nearest_distances(
+            flat_sequences(real, key, channels), flat_sequences(synth, key, channels), key, **kw
+        ).select(F.col("distances")[0].alias("distance"))
+    )
     median = quantiles(near, ["distance"], [0.5]).first()["q0"]
     return near.agg(
         F.avg("distance").alias("mean_distance"),

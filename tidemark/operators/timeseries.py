@@ -31,8 +31,9 @@ def hourly_medians(
 ) -> DataFrame:
     """Median per (keys, item), one column per item.
 
-    Ordinary groups: a single shuffle on ``keys`` with one conditional median
-    per item. Groups too large for one task's buffer go through value blocks.
+    Ordinary groups: one shuffle of the narrow rows on ``keys`` serves both the
+    median per item and the pivot. Groups too large for one task go through
+    value blocks.
     """
     v = F.col(value) if isinstance(value, str) else value
     rows = events.select(*keys, F.col(item).alias("__item"), v.cast("double").alias("__val")).where(
@@ -40,8 +41,9 @@ def hourly_medians(
     )
 
     def plain(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys).agg(
-            *[F.median(F.when(F.col("__item") == i, F.col("__val"))).alias(n) for i, n in items.items()]
+        med = df.repartition(*keys).groupBy(*keys, "__item").agg(F.median("__val").alias("__m"))
+        return med.groupBy(*keys).agg(
+            *[F.max(F.when(F.col("__item") == i, F.col("__m"))).alias(n) for i, n in items.items()]
         )
 
     hot = hot_groups(rows, keys, hot_rows, hot_rate)

@@ -50,7 +50,7 @@ def ema_drift(
     rows = feedback.select(
         F.col(entity), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), *ties, mean_error(error).alias("e")
     )
-    rows = with_blocks(rows, fit_blocks(rows, ["t"])).withColumnRenamed("t__block", "block").drop("t__num")
+    rows = with_blocks(rows, ["t"], fit_blocks(rows, ["t"])).withColumnRenamed("t__block", "block").drop("t__num")
     per = rows.groupBy(entity, "block").agg(F.count("e").alias("filled"), F.count(F.lit(1)).alias("cnt"))
     later = Window.partitionBy(entity).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(entity).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -67,9 +67,9 @@ def extract_cohort(
             "admissions": ["hadm_id", "admittime", "dischtime", "deathtime", "hospital_expire_flag"],
         },
     )
-    dx = (
-        tables["diagnoses"].where(code_match("icd_code", "icd_version", prefixes, exact))
-        .select("subject_id", "hadm_id", "icd_code", "icd_version", "seq_num").distinct()
+    # repeated diagnosis rows need no distinct: only the first row per subject stays
+    dx = tables["diagnoses"].where(code_match("icd_code", "icd_version", prefixes, exact)).select(
+        "subject_id", "hadm_id", "icd_code", "icd_version", "seq_num"
     )
     titles = tables["dictionary"].select("icd_code", "icd_version", F.col("long_title").alias("icd_title"))
     dx = dictionary_join(dx, titles, ["icd_code", "icd_version"])
@@ -79,15 +79,11 @@ def extract_cohort(
     admissions = tables["admissions"].select(
         *[c for c in ["hadm_id", *COHORT_COLUMNS[14:]] if c in tables["admissions"].columns]
     )
-    qualifying = dx.join(stays, ["subject_id", "hadm_id"])
-    # patient and admission rows are looked up for the kept stay only; existence
-    # is checked first so that a stay without them cannot win
-    qualifying = restrict_to(qualifying, tables["patients"], ["subject_id"])
-    qualifying = restrict_to(qualifying, admissions, ["hadm_id"])
+    # a stay without an admission cannot win, so that join comes before the ranking;
+    # a missing patient removes all rows of a subject, so that one can wait
+    qualifying = dx.join(stays.join(admissions, "hadm_id"), ["subject_id", "hadm_id"])
     first = first_record(qualifying, "subject_id", "intime", ["seq_num", "icd_code", "icd_version", "stay_id"])
-    wide = first.join(tables["patients"].select("subject_id", "gender", "anchor_age", "dod"), "subject_id").join(
-        admissions, "hadm_id"
-    )
+    wide = first.join(tables["patients"].select("subject_id", "gender", "anchor_age", "dod"), "subject_id")
     return wide.select(*[c for c in COHORT_COLUMNS if c in wide.columns])
 
 
@@ -101,14 +97,17 @@ def extract_static_features(
     lab_items: Mapping[int, str] = vocab.LAB_ITEMS,
     lab_ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Cohort plus comorbidity flags, subtype and first laboratory values."""
+    """Cohort plus comorbidity flags, subtype and first laboratory values.
+
+    The cohort is read twice; pass it as a written stage.
+    """
     on = ["subject_id", "hadm_id"]
-    comorbid = code_flags(cohort, diagnoses, on, flags)
+    flagged = code_flags(cohort, diagnoses, on, flags)
     first_labs = first_values_in_window(
         cohort, labs, on, "admittime", window, "itemid", lab_items, "valuenum", "charttime", lab_ties
     )
     subtype = code_ladder("icd_code", "icd_version", ladder, "other")
-    return star_join(cohort.withColumn("stroke_subtype", subtype), on, comorbid, first_labs).select(
+    return star_join(flagged.withColumn("stroke_subtype", subtype), on, first_labs).select(
         *cohort.columns, *flags, "stroke_subtype", *lab_items.values()
     )
 
@@ -168,15 +167,14 @@ def extract_freetext_cohort(
             "unitadmitoffset", "unitdischargeoffset", "hospitaldischargestatus", "los",
         )
     )
-    dx = (
+    # one diagnosis per stay is enough to rank the stays of a person
+    dx = first_record(
         tables["diagnosis"].where(text_match("diagnosisstring", terms))
-        .select("patientunitstayid", "diagnosisoffset", "diagnosisstring", "icd9code").distinct()
-        .withColumn("stroke_subtype", text_ladder("diagnosisstring", ladder, "other"))
-    )
-    ties = ["diagnosisoffset", "diagnosisstring", "icd9code"]
+        .select("patientunitstayid", "diagnosisoffset", "diagnosisstring", "icd9code"),
+        "patientunitstayid", "diagnosisoffset", ["diagnosisstring", "icd9code"],
+    ).withColumn("stroke_subtype", text_ladder("diagnosisstring", ladder, "other"))
     first = first_record(
-        patients.join(dx, "patientunitstayid"), "patienthealthsystemstayid", "unitadmitoffset",
-        ["patientunitstayid", *ties],
+        patients.join(dx, "patientunitstayid"), "patienthealthsystemstayid", "unitadmitoffset", ["patientunitstayid"]
     ).drop("diagnosisoffset")
     outcome = best_record(
         tables["outcome"].select("patientunitstayid", "actualhospitalmortality", "apachescore"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import vocab
 from tidemark.functions.exprs import numeric_columns
 from tidemark.operators import prep
-from tidemark.operators.timeseries import clip_channels, forward_fill
+from tidemark.operators.timeseries import clip_channels, forward_fill, forward_fill_bounded
 from tidemark.session import cut_lineage
 from tidemark.sources.writers import save_params, write_stage
 
@@ -27,10 +27,17 @@ class Prepared:
     categories: dict
 
 
-def preprocess_series(series: DataFrame, key: str = "stay_id", hour: str = "hour") -> DataFrame:
-    """Forward fill inside each stay, then clip to physiological ranges."""
+def preprocess_series(
+    series: DataFrame, key: str = "stay_id", hour: str = "hour", hour_capped: bool = False
+) -> DataFrame:
+    """Forward fill inside each stay, then clip to physiological ranges.
+
+    ``hour_capped`` states that the series has one row per stay and hour up to a
+    cap, as the extraction jobs make it; otherwise long stays are cut in blocks.
+    """
     present = [c for c in vocab.CHANNELS if c in series.columns]
-    return clip_channels(forward_fill(series, [key], hour, present))
+    fill = forward_fill_bounded if hour_capped else forward_fill
+    return clip_channels(fill(series, [key], hour, present))
 
 
 def preprocess(
