@@ -157,7 +157,9 @@ def _by_cells(qs: DataFrame, rs: DataFrame, n: int, k: int, block_rows: int, max
 
         def solve(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(r):
-                return pd.DataFrame({"qid": q["qid"].iloc[:0], "vec": [], "skip": [], "distances": []})
+                return q.assign(distances=None).iloc[:0][["qid", "vec", "skip", "distances"]].astype(
+                    {"vec": object, "distances": object}
+                )
             d = k_smallest(_matrix(q["vec"]), _matrix(r["vec"]), r["mult"].to_numpy(), k, q["skip"].to_numpy())
             return pd.DataFrame({"qid": q["qid"], "vec": q["vec"], "skip": q["skip"], "distances": d})
 
