@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.models import cross_validated_auc
@@ -12,14 +12,16 @@ from tidemark.operators.profiles import correlations
 from tidemark.operators.stattests import both_sides, ks_tests, shared_numeric
 
 
-def dimension_wise(real: DataFrame, synth: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def dimension_wise(
+    real: DataFrame, synth: DataFrame, cols: Sequence[str] | None = None, group: Sequence[str] = ()
+) -> DataFrame:
     """KS test per shared numeric column."""
-    return ks_tests(real, synth, cols or shared_numeric(real, synth))
+    return ks_tests(real, synth, cols or shared_numeric(real, synth), group)
 
 
-def mean_pvalue(tests: DataFrame) -> DataFrame:
+def mean_pvalue(tests: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Mean p-value over the tested columns, 0 when none was tested."""
-    return tests.agg(F.coalesce(F.avg("pvalue"), F.lit(0.0)).alias("avg_ks_pvalue"))
+    return tests.groupBy(*group).agg(F.coalesce(F.avg("pvalue"), F.lit(0.0)).alias("avg_ks_pvalue"))
 
 
 def correlation_distance(
@@ -40,22 +42,23 @@ def discriminator(
     return cross_validated_auc(both_sides(real, synth, [*ids, *cols]), cols, "is_real", [*ids], folds, seed)
 
 
-def category_shares(real: DataFrame, synth: DataFrame, col: str) -> DataFrame:
+def category_shares(real: DataFrame, synth: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
     """Share of every category on either side, 0 where it is absent."""
-    both = both_sides(real, synth, [col]).where(F.col(col).isNotNull())
-    counts = both.groupBy(F.col(col).alias("category")).agg(
+    both = both_sides(real, synth, [col], group).where(F.col(col).isNotNull())
+    counts = both.groupBy(*group, F.col(col).alias("category")).agg(
         F.sum(F.col("is_real")).alias("nr"), F.sum(1 - F.col("is_real")).alias("ns")
     )
-    total = both.agg(F.sum("is_real").alias("r"), F.sum(1 - F.col("is_real")).alias("s")).first()
+    whole = Window.partitionBy(*group)  # one row per category
     return counts.select(
+        *group,
         "category",
-        F.try_divide(F.col("nr"), F.lit(total["r"])).alias("real_share"),
-        F.try_divide(F.col("ns"), F.lit(total["s"])).alias("synth_share"),
+        F.try_divide(F.col("nr"), F.sum("nr").over(whole)).alias("real_share"),
+        F.try_divide(F.col("ns"), F.sum("ns").over(whole)).alias("synth_share"),
     )
 
 
-def category_abundance(real: DataFrame, synth: DataFrame, col: str) -> DataFrame:
+def category_abundance(real: DataFrame, synth: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
     """L1 distance of the two category distributions."""
-    return category_shares(real, synth, col).agg(
+    return category_shares(real, synth, col, group).groupBy(*group).agg(
         F.sum(F.abs(F.col("real_share") - F.col("synth_share"))).alias("mca_manhattan")
     )

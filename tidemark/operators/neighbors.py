@@ -23,7 +23,7 @@ from tidemark.session import cut_lineage
 
 MATRIX_BYTES = 64 << 20
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 256
+MAX_PIVOTS = 4096
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -61,10 +61,11 @@ def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(d2, 0.0, None))
 
 
-def _lookup(values: dict[int, int], key: str) -> Column:
-    """Value of a small driver-side map (one entry per pivot) by column."""
-    pairs = [F.lit(v) for kv in sorted(values.items()) for v in kv]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.col(key)), F.lit(1))
+def _with_count(df: DataFrame, counts: dict[int, int], name: str) -> DataFrame:
+    """Add the number of parts of a row's cell; one row per pivot, so at most
+    ``MAX_PIVOTS`` rows are broadcast."""
+    small = df.sparkSession.createDataFrame(list(counts.items()) or [(0, 1)], f"cell int, {name} int")
+    return df.join(F.broadcast(small), "cell", "left").withColumn(name, F.coalesce(F.col(name), F.lit(1)))
 
 
 def nearest_distances(
@@ -142,17 +143,15 @@ def _by_cells(qs: DataFrame, rs: DataFrame, n: int, k: int, block_rows: int, max
     def match(q_cells: DataFrame) -> DataFrame:
         load = {r["cell"]: r["count"] for r in q_cells.groupBy("cell").count().collect()}
         salts = {c: math.ceil(v / block_rows) for c, v in load.items()} or {0: 1}
-        left = q_cells.select(
-            "*",
-            F.explode(F.sequence(F.lit(0), _lookup(chunks, "cell") - 1)).alias("chunk"),
-            F.pmod(F.xxhash64("qid"), _lookup(salts, "cell").cast("long")).cast("int").alias("salt"),
+        left = _with_count(_with_count(q_cells, chunks, "n_chunks"), salts, "n_salts").select(
+            "qid", "vec", "skip", "cell",
+            F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"),
+            F.pmod(F.xxhash64("qid"), F.col("n_salts").cast("long")).cast("int").alias("salt"),
         )
-        right = cells.select(
-            "vec",
-            "mult",
-            "cell",
-            F.pmod(F.xxhash64("vec"), _lookup(chunks, "cell").cast("long")).cast("int").alias("chunk"),
-            F.explode(F.sequence(F.lit(0), _lookup(salts, "cell") - 1)).alias("salt"),
+        right = _with_count(_with_count(cells, chunks, "n_chunks"), salts, "n_salts").select(
+            "vec", "mult", "cell",
+            F.pmod(F.xxhash64("vec"), F.col("n_chunks").cast("long")).cast("int").alias("chunk"),
+            F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"),
         )
 
         def solve(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -169,6 +168,10 @@ def _by_cells(qs: DataFrame, rs: DataFrame, n: int, k: int, block_rows: int, max
         )
 
     def merged(parts: DataFrame, *keep: str) -> DataFrame:
+        if k == 1:
+            least = F.min(F.get("distances", F.lit(0)))
+            one = parts.groupBy("qid").agg(*[F.first(c).alias(c) for c in keep], least.alias("d"))
+            return one.select("qid", *keep, F.filter(F.array("d"), lambda x: x.isNotNull()).alias("distances"))
         return parts.groupBy("qid").agg(
             *[F.first(c).alias(c) for c in keep],
             F.slice(F.array_sort(F.flatten(F.collect_list("distances"))), 1, k).alias("distances"),

@@ -21,7 +21,7 @@ from tidemark.functions.exprs import (
 )
 from tidemark.operators.skew import hash_rank, quantiles
 
-MAX_CATEGORIES = 10_000
+MAX_CATEGORIES = 2_000
 
 
 def is_lab(column: str) -> bool:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.neighbors import as_vector, nearest_distances
 from tidemark.operators.prep import apply_standard, fit_standard, random_sample
-from tidemark.operators.skew import quantiles
+from tidemark.operators.skew import hash_rank, null_safe_join, quantiles
 from tidemark.session import cut_lineage
 
 
@@ -26,16 +26,15 @@ def closest_record(real: DataFrame, synth: DataFrame, cols: Sequence[str], real_
     return nearest_distances(s, r, "id", **kw).select(F.col("id"), F.col("distances")[0].alias("distance"))
 
 
-def dcr_summary(distances: DataFrame, col: str = "distance") -> DataFrame:
+def dcr_summary(distances: DataFrame, col: str = "distance", group: Sequence[str] = ()) -> DataFrame:
     """mean, median, min and 5th percentile of closest-record distances."""
     distances = cut_lineage(distances)  # read several times, computed once
-    q = quantiles(distances, [col], [0.5, 0.05, 0.0]).first()
-    return distances.agg(
-        F.avg(col).alias("mean_dcr"),
-        F.lit(q["q0"]).alias("median_dcr"),
-        F.lit(q["q2"]).alias("min_dcr"),
-        F.lit(q["q1"]).alias("p5_dcr"),
+    q = quantiles(distances, [col], [0.5, 0.05], group).select(
+        *group, F.lit(1).alias("__k"), F.col("q0").alias("median_dcr"), F.col("q1").alias("p5_dcr")
     )
+    agg = distances.groupBy(*group).agg(F.avg(col).alias("mean_dcr"), F.min(col).alias("min_dcr"))
+    joined = null_safe_join(agg.withColumn("__k", F.lit(1)), q, [*group, "__k"])
+    return joined.select(*group, "mean_dcr", "median_dcr", "min_dcr", "p5_dcr")
 
 
 def membership_inference(
@@ -67,24 +66,40 @@ def membership_inference(
     return attack_summary(mixed)
 
 
-def attack_summary(mixed: DataFrame) -> DataFrame:
+def membership_from_distances(
+    distances: DataFrame, real: DataFrame, real_id: str, group: str, sizes: Mapping[int, int], seed: int = 42
+) -> DataFrame:
+    """The same attack for many datasets at once, from distances already known.
+
+    Real rows are part of the reference side, so their distance is 0; as many
+    of them as the dataset has rows take part. ``sizes`` is rows per dataset.
+    """
+    ranked = hash_rank(real.select(real_id), [real_id], seed)
+    entries = F.array(*[F.struct(F.lit(d).alias(group), F.lit(n).alias("size")) for d, n in sizes.items()])
+    members = ranked.select("rank", F.explode(entries).alias("e")).where(F.col("rank") <= F.col("e.size"))
+    mixed = members.select(f"e.{group}", F.lit(True).alias("member"), F.lit(0.0).alias("distance")).unionByName(
+        distances.select(group, F.lit(False).alias("member"), "distance")
+    )
+    return attack_summary(mixed, [group])
+
+
+def attack_summary(mixed: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """``member, distance`` rows to ``mia_f1, median_nn_distance, mean_nn_distance``."""
-    mixed = cut_lineage(mixed)
-    threshold = quantiles(mixed, ["distance"], [0.5]).first()["q0"]
-    median = quantiles(mixed.where(~F.col("member")), ["distance"], [0.5]).first()["q0"]
-    guess = F.col("distance") < F.lit(threshold)
+    mixed = cut_lineage(mixed.withColumn("__k", F.lit(1)))
+    keys = [*group, "__k"]
+    median = lambda d, name: quantiles(d, ["distance"], [0.5], keys).select(*keys, F.col("q0").alias(name))
+    tagged = null_safe_join(mixed, median(mixed, "threshold"), keys)
+    guess = F.col("distance") < F.col("threshold")
     one = lambda c: F.sum(c.cast("long"))
-    counts = mixed.agg(
+    counts = tagged.groupBy(*keys).agg(
         one(guess & F.col("member")).alias("tp"),
         one(guess & ~F.col("member")).alias("fp"),
         one(~guess & F.col("member")).alias("fn"),
         F.avg(F.when(~F.col("member"), F.col("distance"))).alias("mean_nn_distance"),
     )
     f1 = F.try_divide(2.0 * F.col("tp"), 2.0 * F.col("tp") + F.col("fp") + F.col("fn"))
-    return counts.select(
-        F.coalesce(f1, F.lit(0.0)).alias("mia_f1"),
-        F.lit(median).alias("median_nn_distance"),
-        "mean_nn_distance",
+    return null_safe_join(counts, median(mixed.where(~F.col("member")), "median_nn_distance"), keys).select(
+        *group, F.coalesce(f1, F.lit(0.0)).alias("mia_f1"), "median_nn_distance", "mean_nn_distance"
     )
 
 

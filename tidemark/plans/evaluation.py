@@ -35,19 +35,38 @@ class Model:
     normalised: bool = False
 
 
-def fidelity_metrics(real: DataFrame, synth: DataFrame, real_id: str, synth_id: str, category: str | None) -> dict[str, float]:
-    cols = shared_numeric(real, synth, [real_id, synth_id, "dataset_id", *vocab.ID_COLUMNS])
-    r = real.select(F.col(real_id).cast("string").alias("rid"), *cols)
-    s = synth.select(F.col(synth_id).cast("string").alias("rid"), *cols)
-    out = {
-        "avg_ks_pvalue": fidelity.mean_pvalue(fidelity.dimension_wise(r, s, cols)).first()[0],
-        "frobenius_distance": fidelity.correlation_distance(r, s, cols).first()[0],
-        "discriminator_auc": fidelity.discriminator(r, s, cols, ["rid"])["auc"],
-        "mca_manhattan": float("nan"),
-    }
+def _for_datasets(real: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """The real rows once per dataset, so that all datasets share a grouped job."""
+    return real.withColumn("dataset_id", F.explode(F.array(*[F.lit(i) for i in ids])))
+
+
+def _long(wide: DataFrame) -> DataFrame:
+    names = [c for c in wide.columns if c != "dataset_id"]
+    entries = F.array(
+        *[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names]
+    )
+    return wide.select("dataset_id", F.explode(entries).alias("e")).select("dataset_id", "e.*")
+
+
+def fidelity_metrics(
+    real: DataFrame, synth: DataFrame, ids: Sequence[int], cols: Sequence[str], category: str | None
+) -> DataFrame:
+    """Closed-form fidelity of every dataset: ``dataset_id, metric, value``."""
+    by = ["dataset_id"]
+    r = _for_datasets(real, ids)
+    out = _long(fidelity.mean_pvalue(fidelity.dimension_wise(r, synth, cols, by), by)).unionByName(
+        _long(fidelity.correlation_distance(r, synth, cols, by))
+    )
     if category and category in real.columns and category in synth.columns:
-        out["mca_manhattan"] = fidelity.category_abundance(real, synth, category).first()[0]
-    return out
+        return out.unionByName(_long(fidelity.category_abundance(r, synth, category, by)))
+    return out.unionByName(
+        _long(synth.select("dataset_id").distinct().withColumn("mca_manhattan", F.lit(float("nan"))))
+    )
+
+
+def discriminator_metric(real: DataFrame, synth: DataFrame, real_id: str, synth_id: str, cols: Sequence[str]) -> float:
+    tag = lambda d, i: d.select(F.col(i).cast("string").alias("rid"), *cols)
+    return fidelity.discriminator(tag(real, real_id), tag(synth, synth_id), cols, ["rid"])["auc"]
 
 
 def utility_metrics(train: DataFrame, synth: DataFrame, test: DataFrame, target: str, skip: Sequence[str], **kw) -> dict[str, float]:
@@ -65,15 +84,16 @@ def utility_metrics(train: DataFrame, synth: DataFrame, test: DataFrame, target:
 
 
 def privacy_metrics(
-    real: DataFrame, synth: DataFrame, real_id: str, synth_id: str, target: str, n_quasi: int, **kw
-) -> dict[str, float]:
-    cols = sorted(shared_numeric(real, synth, [real_id, synth_id, "dataset_id", *vocab.ID_COLUMNS]))
-    if not cols:
-        return dict(EMPTY_PRIVACY)
-    dcr = privacy.dcr_summary(privacy.closest_record(real, synth, cols, real_id, synth_id, **kw)).first().asDict()
-    mia = privacy.membership_inference(real, synth, cols, real_id, synth_id, **kw).first()["mia_f1"]
-    quasi = [c for c in cols if c != target][:n_quasi]
-    return {"mia_f1": mia, **dcr, "aia_accuracy": privacy.attribute_inference(real, synth, target, quasi)}
+    real: DataFrame, synth: DataFrame, sizes: Mapping[int, int], real_id: str, synth_id: str, cols: Sequence[str], **kw
+) -> DataFrame:
+    """Distances of all synthetic rows in one job, summarised per dataset."""
+    rows = synth.withColumn("__id", F.concat_ws("|", F.col("dataset_id"), F.col(synth_id)))
+    near = privacy.closest_record(real, rows, cols, real_id, "__id", **kw).select(
+        F.substring_index("id", "|", 1).cast("int").alias("dataset_id"), "distance"
+    )
+    near = cut_lineage(near)
+    attack = privacy.membership_from_distances(near, real, real_id, "dataset_id", sizes)
+    return _long(privacy.dcr_summary(near, group=["dataset_id"])).unionByName(_long(attack.select("dataset_id", "mia_f1")))
 
 
 def plausibility_by_dataset(model: Model, norm_params: Mapping | None) -> DataFrame:
@@ -102,17 +122,33 @@ def evaluate(
     rows: list[tuple] = []
     grouped = None
     for m in models:
-        part = plausibility_by_dataset(m, norm_params).select(F.lit(m.name).alias("model"), "dataset_id", "metric", "value")
-        grouped = part if grouped is None else grouped.unionByName(part)
-        synth = invert_minmax(m.synth, norm_params) if m.normalised else m.synth
-        for d in sorted(r[0] for r in synth.select(m.dataset_id).distinct().collect()):
-            one = synth.where(F.col(m.dataset_id) == d).drop(m.dataset_id)
-            found = fidelity_metrics(test, one, real_id, m.row_id, category)
-            found |= utility_metrics(train, one, test, target, [real_id, m.row_id], trees=trees)
-            found |= privacy_metrics(train, one, real_id, m.row_id, target, 10 if m.normalised else 8)
-            rows += [(m.name, int(d), k, float(v)) for k, v in found.items() if v is not None]
+        named = m.synth.withColumnRenamed(m.dataset_id, "dataset_id")
+        synth = cut_lineage(invert_minmax(named, norm_params) if m.normalised else named)
+        sizes = {r[0]: r[1] for r in synth.groupBy("dataset_id").count().collect()}
+        ids, skip = sorted(sizes), [real_id, m.row_id, "dataset_id", *vocab.ID_COLUMNS]
+        parts = [plausibility_by_dataset(m, norm_params)]
+        cols = shared_numeric(test, synth, skip)
+        if cols:
+            parts.append(fidelity_metrics(test, synth, ids, cols, category))
+        private = sorted(shared_numeric(train, synth, skip))
+        if private:
+            parts.append(privacy_metrics(train, synth, sizes, real_id, m.row_id, private))
+        quasi = [c for c in private if c != target][: 10 if m.normalised else 8]
+        for d in ids:
+            one = synth.where(F.col("dataset_id") == d).drop("dataset_id")
+            found = utility_metrics(train, one, test, target, [real_id, m.row_id], trees=trees)
+            if cols:
+                found["discriminator_auc"] = discriminator_metric(test, one, real_id, m.row_id, cols)
+            if private:
+                found["aia_accuracy"] = privacy.attribute_inference(train, one, target, quasi)
+            else:
+                found |= EMPTY_PRIVACY
+            rows += [(m.name, int(d), k, float(v)) for k, v in found.items()]
+        for part in parts:
+            part = part.select(F.lit(m.name).alias("model"), F.col("dataset_id").cast("int").alias("dataset_id"), "metric", "value")
+            grouped = part if grouped is None else grouped.unionByName(part)
     made = spark.createDataFrame(rows, "model string, dataset_id int, metric string, value double")
-    return made.unionByName(grouped.withColumn("dataset_id", F.col("dataset_id").cast("int")))
+    return made.unionByName(grouped)
 
 
 # --- fixed values: metrics of the published tables ---
