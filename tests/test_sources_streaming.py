@@ -135,3 +135,17 @@ def test_empty_feedback_reports_zeros(spark):
     r = twin.drift_report(fb, spark.createDataFrame([(7,)], "entity_id int")).first()
     assert tuple(r) == (7, 0.0, 0.0, {}, False, 0)
     assert twin.restore_state(spark.createDataFrame([(1, 2.0, 3)], "entity_id int, recent_drift double, n_feedback int")).first()["n_assimilated"] == 3
+
+
+def test_drift_state_survives_a_restart(spark, folder, tmp_path):
+    """Two runs on the same progress folder give what one batch over everything gives."""
+    ev = spark.read.parquet(f"{folder}/events.parquet")
+    src, base = f"{tmp_path}/src", f"{tmp_path}/query"
+    cut = F.col("ts") < "2024-01-14"
+    for part in (ev.where(cut), ev.where(~cut)):
+        part.coalesce(1).write.mode("append").parquet(src)
+        fb = fq.feedback(_stream(spark, src))
+        updates = run.run_available(twin_stream.ema_drift(fb, tie="feedback_id"), "update", base)
+    got = {r["entity_id"]: r["recent_drift"] for r in run.latest(updates, "entity_id").collect()}
+    want = {r["entity_id"]: r["recent_drift"] for r in twin.ema_drift(fq.feedback(table(spark, folder, "events")), ties=["feedback_id"]).collect()}
+    assert got == pytest.approx(want)

@@ -5,6 +5,7 @@ from tidemark.catalog import (  # noqa: F401
     evaluation_queries,
     extraction,
     feedback_queries,
+    job_queries,
     network_queries,
     preparation,
     scenario_queries,

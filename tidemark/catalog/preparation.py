@@ -29,7 +29,8 @@ LABELLED_SQL = "labelled AS (SELECT d.doc_id, lang, source, n_chars, quality, to
 def impute_flags(spark, folder):
     known = F.col("quality").isNotNull()
     x = labelled(spark, folder).select(
-        "doc_id", F.when(known, F.col("n_chars")).alias("lab_chars"), "quality", F.when(known, F.col("lang")).alias("lang")
+        "doc_id", F.when(known, F.col("n_chars").cast("double")).alias("lab_chars"), F.col("quality").cast("double").alias("quality"),
+        F.when(known, F.col("lang")).alias("lang"),
     )
     return rounded(prep.apply_imputation(x, prep.fit_imputation(x, exclude=["doc_id"])))
 

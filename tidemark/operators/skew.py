@@ -24,6 +24,7 @@ from tidemark.session import cut_lineage
 HOT_ROWS = 1_000_000
 SMALL_BYTES = 64 << 20
 SMALL_ROWS = 1_000_000
+_MULTIPLYING = ("Generate ", "MapInPandas", "FlatMapGroups", "FlatMapCoGroups", "Expand ")
 
 
 def block_count(df: DataFrame) -> int:
@@ -32,8 +33,16 @@ def block_count(df: DataFrame) -> int:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Spark's own upper estimate of the size of ``df`` (no job is run)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's own upper estimate of the size of ``df`` (no job is run).
+
+    Plans that multiply rows in ways the estimate does not follow (explode,
+    Python functions) count as unbounded.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    if any(node in text for node in _MULTIPLYING):
+        return 1 << 62
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

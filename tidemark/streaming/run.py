@@ -19,15 +19,16 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigge
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is available now and return the written rows.
+def run_available(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Process what is available now and return all rows written so far.
 
-    Output and progress go to the shared checkpoint folder, so a lost executor
-    or a restarted driver resumes from the last committed batch. In update mode
-    every row carries its ``epoch``.
+    Output and progress go to ``base`` (a new place in the shared checkpoint
+    folder by default). Run again on the same ``base``, the query restores its
+    state and goes on after the last committed batch. Every row carries its
+    ``epoch``.
     """
     spark = stream.sparkSession
-    base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
     def sink(batch: DataFrame, epoch: int) -> None:
