@@ -107,11 +107,37 @@ def log_likelihoods(counts: DataFrame) -> DataFrame:
     )
 
 
+def joint_counts(profiles: DataFrame, sets: Sequence[tuple[str, ...]]) -> DataFrame:
+    """``set_id, states, n``: joint counts of several column sets in one pass."""
+    entries = F.array(
+        *[F.struct(F.lit(i).alias("set_id"), F.array(*[F.col(c) for c in cols]).alias("states")) for i, cols in enumerate(sets)]
+    )
+    return (
+        profiles.select("weight", F.explode(entries).alias("e")).select("weight", "e.*")
+        .groupBy("set_id", "states").agg(F.sum("weight").alias("n"))
+    )
+
+
 def bic_scores(
     profiles: DataFrame, families: Sequence[Family], states: Mapping[str, Sequence[str]], n_rows: int
 ) -> dict[Family, float]:
-    """BIC of every family: log-likelihood less ½·ln N per free parameter."""
-    ll = {r["family"]: r["log_likelihood"] for r in log_likelihoods(family_counts(profiles, families)).collect()}
+    """BIC of every family: log-likelihood less ½·ln N per free parameter.
+
+    Families over the same columns (x given y, y given x) share one joint count,
+    so the pass over the data makes each column set only once.
+    """
+    members = [tuple(sorted((node, *parents))) for node, parents in families]
+    sets = sorted(set(members))
+    where = {cols: i for i, cols in enumerate(sets)}
+    # one row per family: a few hundred
+    lookup = profiles.sparkSession.createDataFrame(
+        [(i, where[m], m.index(node)) for i, ((node, _), m) in enumerate(zip(families, members))],
+        "family int, set_id int, node_at int",
+    )
+    counts = joint_counts(profiles, sets).join(F.broadcast(lookup), "set_id").select(
+        "family", F.filter("states", lambda s, i: i != F.col("node_at")).alias("parent_key"), "n"
+    )
+    ll = {r["family"]: r["log_likelihood"] for r in log_likelihoods(counts).collect()}
     out = {}
     for i, (node, parents) in enumerate(families):
         q = math.prod(len(states[p]) for p in parents)
