@@ -214,7 +214,7 @@ def table1_by_group(spark, folder):
     f"""WITH {CODED_SQL}, {FREETEXT_SQL}, b AS (
       SELECT 'primary' AS source, CAST(anchor_age AS DOUBLE) AS age, gender, CAST(hospital_expire_flag AS DOUBLE) AS dead, los, stroke_subtype AS st FROM static
       UNION ALL SELECT 'external', CAST(anchor_age AS DOUBLE), gender, CAST(hospital_expire_flag AS DOUBLE), los, stroke_subtype FROM external)
-    SELECT source, metric, {r("v", 1)} AS value FROM (
+    SELECT source, metric, {r("v")} AS value FROM (
       SELECT source, 'n_patients' AS metric, CAST(COUNT(*) AS DOUBLE) AS v FROM b GROUP BY source
       UNION ALL SELECT source, 'age_mean', AVG(age) FROM b GROUP BY source
       UNION ALL SELECT source, 'age_std', stddev_samp(age) FROM b GROUP BY source
@@ -229,4 +229,4 @@ def table1_by_group(spark, folder):
 def cohort_comparison(spark, folder):
     ext = extract_freetext_cohort(freetext_tables(spark, folder))
     both = stack_cohorts(static_features(spark, folder), ext, ("primary", "external"))
-    return rounded(cohort_metrics(both), 1)
+    return rounded(cohort_metrics(both, digits=12))

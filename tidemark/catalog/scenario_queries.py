@@ -8,6 +8,7 @@ from tidemark.catalog.series_queries import HOURLY_SQL, hourly
 from tidemark.functions.exprs import map_override
 from tidemark.operators import scenario as sc
 from tidemark.operators.stattests import gaussian_interval
+from tidemark.session import cut_lineage
 
 SCENARIOS = {"baseline": {}, "rich": {"band": "high"}, "other_segment": {"segment": "BUILDING", "band": "low"}}
 _ATTRS = ["segment", "band"]
@@ -93,7 +94,7 @@ def draw_interval(spark, folder):
     f"""WITH {_BASE} SELECT id, hour, {r("AVG(view)")} AS mean, {r("stddev_pop(view)")} AS std FROM traj WHERE scenario IN ('baseline', 'rich') AND draw <= 3 GROUP BY id, hour""",
 )
 def ensemble_moments(spark, folder):
-    t = _trajectories(spark, folder)
+    t = cut_lineage(_trajectories(spark, folder))
     sources = {s: t.where(F.col("scenario") == s) for s in ("baseline", "rich")}
     return rounded(sc.ensemble_moments(sources, ["id"], ["view"], 3).drop("channel"))
 

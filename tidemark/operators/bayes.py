@@ -290,24 +290,31 @@ class ProfileNetwork:
         """Ancestral sampling of ``n`` rows per dataset, dataset ``i`` on seed + i.
 
         Each node joins its own table on the parent states. Tables hold at most
-        ``MAX_TABLE_ROWS`` rows in all, so broadcasting them is bounded.
+        ``MAX_TABLE_ROWS`` rows in all, so broadcasting them is bounded; nodes
+        without parents have one short list, which becomes a literal.
         """
         spark = self.tables.sparkSession
+        roots: dict[str, list] = {}
+        for t in self.tables.where("parent_key = ''").orderBy("node", "cum_hi", "state").collect():
+            roots.setdefault(t["node"], []).append(F.struct(F.lit(t["cum_hi"]).alias("cum_hi"), F.lit(t["state"]).alias("state")))
         out = spark.range(n).withColumnRenamed("id", "row_id").withColumn(
             "dataset_id", F.explode(F.sequence(F.lit(0), F.lit(datasets - 1)))
         )
         for v in self.order():
-            choices = self.table(v).groupBy("parent_key").agg(
-                F.array_sort(F.collect_list(F.struct("cum_hi", "state"))).alias("choices")
-            )
             u = hash_uniform(F.lit(seed) + F.col("dataset_id"), F.col("row_id"), F.lit(v))
+            if v in roots:
+                out = out.withColumn("choices", F.array(*roots[v]))
+            else:
+                choices = self.table(v).groupBy("parent_key").agg(
+                    F.array_sort(F.collect_list(F.struct("cum_hi", "state"))).alias("choices")
+                )
+                out = out.withColumn("parent_key", parent_key(sorted(self.parents[v]))).join(
+                    F.broadcast(choices), "parent_key"
+                )
+            out = out.withColumn("__u", u)
             hit = F.filter("choices", lambda c: c["cum_hi"] > F.col("__u"))
             pick = F.coalesce(F.get(hit, F.lit(0)), F.element_at("choices", F.lit(-1)))["state"]
-            out = (
-                out.withColumn("parent_key", parent_key(sorted(self.parents[v]))).withColumn("__u", u)
-                .join(F.broadcast(choices), "parent_key")
-                .withColumn(v, pick).drop("parent_key", "choices", "__u")
-            )
+            out = out.withColumn(v, pick).drop("parent_key", "choices", "__u")
         return out
 
     def to_values(self, sampled: DataFrame, seed: int = 0) -> DataFrame:

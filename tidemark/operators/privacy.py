@@ -29,12 +29,15 @@ def closest_record(real: DataFrame, synth: DataFrame, cols: Sequence[str], real_
 def dcr_summary(distances: DataFrame, col: str = "distance", group: Sequence[str] = ()) -> DataFrame:
     """mean, median, min and 5th percentile of closest-record distances."""
     distances = cut_lineage(distances)  # read several times, computed once
-    q = quantiles(distances, [col], [0.5, 0.05], group).select(
-        *group, F.lit(1).alias("__k"), F.col("q0").alias("median_dcr"), F.col("q1").alias("p5_dcr")
-    )
+    q = quantiles(distances, [col], [0.5, 0.05], group)
     agg = distances.groupBy(*group).agg(F.avg(col).alias("mean_dcr"), F.min(col).alias("min_dcr"))
-    joined = null_safe_join(agg.withColumn("__k", F.lit(1)), q, [*group, "__k"])
-    return joined.select(*group, "mean_dcr", "median_dcr", "min_dcr", "p5_dcr")
+    if group:
+        joined = null_safe_join(agg, q.select(*group, "q0", "q1"), group)
+        median, p5 = F.col("q0"), F.col("q1")
+    else:
+        row = q.first()
+        joined, median, p5 = agg, F.lit(row["q0"] if row else None), F.lit(row["q1"] if row else None)
+    return joined.select(*group, "mean_dcr", median.alias("median_dcr"), "min_dcr", p5.alias("p5_dcr"))
 
 
 def membership_inference(

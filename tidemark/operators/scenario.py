@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import hash_uniform
 from tidemark.operators.skew import hash_rank
+from tidemark.session import cut_lineage
 
 
 def expand_scenarios(
@@ -56,8 +57,9 @@ def draw_donors(
     """
     levels = [list(attributes[:k]) for k in range(len(attributes), -1, -1)]
     tagged = donors.select(donor_id, F.explode(F.array(*[_match_key(a) for a in levels])).alias("key"))
-    ranked = hash_rank(tagged, [donor_id], seed, ["key"])
-    sizes = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    # narrow rows, read twice: once per key for its size, once for the draws
+    ranked = cut_lineage(hash_rank(tagged, [donor_id], seed, ["key"]))
+    sizes = ranked.where("rank = 1").select("key", F.col("stratum_rows").alias("size"))
     want = profiles.select(
         *profile_keys,
         F.explode(

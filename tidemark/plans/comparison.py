@@ -24,7 +24,7 @@ def stack_cohorts(first: DataFrame, second: DataFrame, labels: tuple[str, str])
     return shape(first, labels[0]).unionByName(shape(second, labels[1]))
 
 
-def cohort_metrics(stacked: DataFrame) -> DataFrame:
+def cohort_metrics(stacked: DataFrame, digits: int = 1) -> DataFrame:
     """``source, metric, value`` rows for both cohorts from one grouped pass."""
     male = F.col("gender").isin("M", "Male")
     known = F.count("stroke_subtype")
@@ -38,17 +38,17 @@ def cohort_metrics(stacked: DataFrame) -> DataFrame:
         *[F.coalesce(e, F.when(known > 0, 0.0)).alias(f"subtype_{s}_pct") for s, e in share.items()],
     )
     names = [c for c in wide.columns if c != "source"]
-    entries = F.array(*[F.struct(F.lit(c).alias("metric"), F.round(F.col(c), 1).alias("value")) for c in names])
+    entries = F.array(*[F.struct(F.lit(c).alias("metric"), F.round(F.col(c), digits).alias("value")) for c in names])
     means = wide.select("source", F.explode(entries).alias("e")).select("source", "e.*")
     q = quantiles(stacked, ["anchor_age", "los"], [0.25, 0.5, 0.75], ["source"])
     is_age = F.col("variable") == "anchor_age"
     rows = F.when(
-        is_age, F.array(F.struct(F.lit("age_median").alias("metric"), F.round("q1", 1).alias("value")))
+        is_age, F.array(F.struct(F.lit("age_median").alias("metric"), F.round("q1", digits).alias("value")))
     ).otherwise(
         F.array(
-            F.struct(F.lit("los_median_days").alias("metric"), F.round("q1", 1).alias("value")),
-            F.struct(F.lit("los_iqr_25").alias("metric"), F.round("q0", 1).alias("value")),
-            F.struct(F.lit("los_iqr_75").alias("metric"), F.round("q2", 1).alias("value")),
+            F.struct(F.lit("los_median_days").alias("metric"), F.round("q1", digits).alias("value")),
+            F.struct(F.lit("los_iqr_25").alias("metric"), F.round("q0", digits).alias("value")),
+            F.struct(F.lit("los_iqr_75").alias("metric"), F.round("q2", digits).alias("value")),
         )
     )
     return means.unionByName(q.select("source", F.explode(rows).alias("e")).select("source", "e.*"))
