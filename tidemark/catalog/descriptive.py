@@ -195,10 +195,10 @@ def capped_five_numbers(spark, folder):
       SUM(CAST(gender = 'F' AS INT)) AS f, SUM(CAST(stroke_subtype = 'tia' AS INT)) AS tia, SUM(has_afib) AS afib, SUM(hospital_expire_flag) AS dead FROM static GROUP BY 1)
     SELECT h AS hospital_expire_flag, variable, statistic, value FROM (
       SELECT h, 'N' AS variable, 'n' AS statistic, CAST(n AS VARCHAR) AS value FROM g
-      UNION ALL SELECT h, 'Gender — F', 'n (%)', printf('%d (%.1f%%)', f, 100.0 * f / n) FROM g
-      UNION ALL SELECT h, 'Stroke subtype — TIA', 'n (%)', printf('%d (%.1f%%)', tia, 100.0 * tia / n) FROM g
-      UNION ALL SELECT h, 'Atrial Fibrillation', 'n (%)', printf('%d (%.1f%%)', afib, 100.0 * afib / n) FROM g
-      UNION ALL SELECT h, 'In-hospital mortality', 'n (%)', printf('%d (%.1f%%)', dead, 100.0 * dead / n) FROM g
+      UNION ALL SELECT h, 'Gender — F', 'n (%)', printf('%d (%.1f%%)', f, f / n * 100.0) FROM g
+      UNION ALL SELECT h, 'Stroke subtype — TIA', 'n (%)', printf('%d (%.1f%%)', tia, tia / n * 100.0) FROM g
+      UNION ALL SELECT h, 'Atrial Fibrillation', 'n (%)', printf('%d (%.1f%%)', afib, afib / n * 100.0) FROM g
+      UNION ALL SELECT h, 'In-hospital mortality', 'n (%)', printf('%d (%.1f%%)', dead, dead / n * 100.0) FROM g
       UNION ALL SELECT hospital_expire_flag, 'Age (years)', 'Median (IQR)', printf('%.1f (%.1f-%.1f)', MEDIAN(anchor_age), quantile_cont(anchor_age, 0.25), quantile_cont(anchor_age, 0.75)) FROM static GROUP BY 1)""",
 )
 def table1_by_group(spark, folder):

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.formatting import fixed
 from tidemark.operators.prep import category_counts
 from tidemark.operators.skew import null_safe_join, quantiles
 
@@ -227,14 +228,11 @@ def capped_five_numbers(df: DataFrame, col: str, group: str, cap: float | None =
 
 # ---- Table 1 --------------------------------------------------------------
 def median_iqr_text(med: Column, q1: Column, q3: Column) -> Column:
-    one = lambda c: F.format_string("%.1f", c)
-    return F.concat(one(med), F.lit(" ("), one(q1), F.lit("-"), one(q3), F.lit(")"))
+    return F.concat(fixed(med, 1), F.lit(" ("), fixed(q1, 1), F.lit("-"), fixed(q3, 1), F.lit(")"))
 
 
-def count_pct_text(n: Column, total: Column) -> Column:
-    return F.concat(
-        n.cast("long").cast("string"), F.lit(" ("), F.format_string("%.1f", F.lit(100.0) * n / total), F.lit("%)")
-    )
+def count_pct_text(n: Column, pct: Column) -> Column:
+    return F.concat(n.cast("string"), F.lit(" ("), fixed(pct, 1), F.lit("%)"))
 
 
 def table_one(
@@ -252,20 +250,19 @@ def table_one(
         F.count(F.lit(1)).alias("__rows"),
         *[F.sum(F.coalesce(cond, F.lit(False)).cast("long")).alias(f"l__{k}") for _, k, cond in levels],
     )
-    rows = [
-        F.struct(
-            F.lit(0).alias("position"), F.lit("N").alias("variable"), F.lit("n").alias("statistic"),
-            F.col("__rows").cast("string").alias("value"),
-        )
-    ]
-    for i, (label, k, _) in enumerate(levels):
-        rows.append(
-            F.struct(
-                F.lit(100 + i).alias("position"), F.lit(label).alias("variable"), F.lit("n (%)").alias("statistic"),
-                count_pct_text(F.col(f"l__{k}"), F.col("__rows")).alias("value"),
-            )
+    def row(position, label, statistic, n):
+        return F.struct(
+            F.lit(position).alias("position"), F.lit(label).alias("variable"), F.lit(statistic).alias("statistic"), n.alias("n")
         )
-    counted = wide.select(*group, _entries(rows)).select(*group, "e.*")
+
+    rows = [row(0, "N", "n", F.col("__rows"))]
+    rows += [row(100 + i, label, "n (%)", F.col(f"l__{k}")) for i, (label, k, _) in enumerate(levels)]
+    counted = wide.select(*group, "__rows", _entries(rows)).select(*group, "__rows", "e.*")
+    pct = F.col("n") / F.col("__rows") * F.lit(100.0)
+    counted = counted.select(
+        *group, "position", "variable", "statistic",
+        F.when(F.col("statistic") == "n", F.col("n").cast("string")).otherwise(count_pct_text(F.col("n"), pct)).alias("value"),
+    )
     q = quantiles(df, list(continuous), [0.25, 0.5, 0.75], group)
     position, label = F.lit(None).cast("int"), F.lit(None).cast("string")
     for i, (c, text) in enumerate(continuous.items()):

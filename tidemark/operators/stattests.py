@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import distributions as dist
 from tidemark.functions.exprs import numeric_columns
+from tidemark.functions.formatting import fixed
 from tidemark.operators.prep import category_counts
 from tidemark.operators.skew import fit_blocks, running_sums, value_sums
 
@@ -194,7 +195,7 @@ def welch(df: DataFrame, cols: Sequence[str], group: str, first, second, p_value
 
 def p_text(p: Column) -> Column:
     """Printed p-value."""
-    return F.when(p < 0.001, F.lit("<0.001")).otherwise(F.format_string("%.3f", p))
+    return F.when(p < 0.001, F.lit("<0.001")).otherwise(fixed(p, 3))
 
 
 def rubin_pool(
@@ -241,8 +242,8 @@ def pooled_text(est: Column, lo: Column, hi: Column) -> Column:
     """``est [lo, hi]`` to four places, empty when there is no estimate."""
     return (
         F.when(est.isNull(), F.lit(""))
-        .when(lo.isNull() | hi.isNull(), F.format_string("%.4f", est))
-        .otherwise(F.format_string("%.4f [%.4f, %.4f]", est, lo, hi))
+        .when(lo.isNull() | hi.isNull(), fixed(est, 4))
+        .otherwise(F.concat(fixed(est, 4), F.lit(" ["), fixed(lo, 4), F.lit(", "), fixed(hi, 4), F.lit("]")))
     )
 
 
