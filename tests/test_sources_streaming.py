@@ -149,3 +149,10 @@ def test_drift_state_survives_a_restart(spark, folder, tmp_path):
     got = {r["entity_id"]: r["recent_drift"] for r in run.latest(updates, "entity_id").collect()}
     want = {r["entity_id"]: r["recent_drift"] for r in twin.ema_drift(fq.feedback(table(spark, folder, "events")), ties=["feedback_id"]).collect()}
     assert got == pytest.approx(want)
+
+
+def test_empty_stream_gives_empty_rows(spark, folder, tmp_path):
+    spark.read.parquet(f"{folder}/events.parquet").where("event_id < 0").coalesce(1).write.parquet(f"{tmp_path}/src")
+    s = twin_stream.hourly_medians(_stream(spark, f"{tmp_path}/src"), "ts", ["user_id"], "value")
+    out = run.run_available(s)
+    assert out.count() == 0 and "median_value" in out.columns

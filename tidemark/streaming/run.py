@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.session import checkpoint_folder
 
@@ -37,7 +39,10 @@ def run_available(stream: DataFrame, mode: str = "append", base: str | None = No
 
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/progress")
     writer.foreachBatch(sink).start().awaitTermination()
-    return spark.read.option("basePath", out).parquet(out).drop("batch")
+    try:
+        return spark.read.option("basePath", out).parquet(out).drop("batch")
+    except AnalysisException:  # nothing arrived, so nothing was written
+        return spark.createDataFrame([], StructType([*stream.schema.fields, StructField("epoch", IntegerType())]))
 
 
 def latest(updates: DataFrame, key: str) -> DataFrame:
