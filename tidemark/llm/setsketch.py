@@ -314,7 +314,8 @@ def _tied(large: DataFrame, links: DataFrame, classes: DataFrame, kind: str, rul
     )
     counts = placed.groupBy("label", "component").count()
     main = counts.groupBy("label").agg(F.max(F.struct("count", "component")).alias("m")).select("label", F.col("m.component").alias("main"))
-    keyed = placed.join(classes.select("rep", F.explode("keys").alias("key")), "rep")
+    keyed = placed.join(classes.select("rep", "keys"), "rep").select("label", "block", "rep", "component", F.explode("keys").alias("key"))
+    keyed = cut_lineage(keyed)
     rest = keyed.join(main, "label").where("component <> main").select("key", "label", "rep", F.col("block").alias("home"), F.col("component").alias("own"))
     spots = keyed.select("key", "label", "block", "component").distinct()
     visits = (
