@@ -1,6 +1,7 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens are tags and words, told apart by the path of elements they stand in. Over the pages of a host, tokens with the same
+Tokens are tags and text, told apart by the path of elements they stand in: a run of up to RUN_WORDS words between two tags is
+taken word by word, a longer one as a whole. Over the pages of a host, tokens with the same
 occurrence vector (count on every page) form an equivalence class; large and frequent classes whose tokens keep one order are
 the template, nested by the elements that enclose them. What varies between template tokens are slots. The main slot is the
 innermost template element that still holds most of the varying words; its text is taken block by block.
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, cut_lineage, mixed
+from tidemark.llm.common import cut_lineage, mixed
 
 #: A host with fewer pages is served by the common template.
 MIN_PAGES = 3
@@ -28,6 +29,7 @@ MIN_PAGES = 3
 FREQUENT = 0.5
 #: Descend into an element while it holds this share of the words.
 MOST = 0.7
+RUN_WORDS = 16
 #: Templates up to this many bytes together are sent to every task; beyond it they are joined by host.
 BROADCAST_BYTES = 16 << 20
 
@@ -122,19 +124,22 @@ def walk(page: str | None):
         yield "tag", stack, name
 
 
-_words = WordHashes(200_000)
+def run_tokens(run: str, path: int) -> list[int]:
+    words = run.split()
+    if len(words) > RUN_WORDS:
+        words = [" ".join(words)]
+    return [xxhash.xxh64_intdigest(w.encode(), path) for w in words]
 
 
-def page_tokens(page: str | None) -> np.ndarray:
-    """Hashes of all tokens of a page, in order: a tag or a word, with its path."""
+def page_tokens(page: str | None) -> list[int]:
+    """Hashes of all tokens of a page, in order: tags and text, with their path."""
     out = []
     for kind, stack, value in walk(page):
-        path = stack[-1].path
         if kind == "tag":
-            out.append(np.array([xxhash.xxh64_intdigest(value.encode(), path ^ 1)], np.uint64))
-        elif not value.isspace():
-            out.append(mixed(_words.of(value.encode().split()) ^ np.uint64(path)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            out.append(xxhash.xxh64_intdigest(value.encode(), stack[-1].path ^ 1))
+        else:
+            out += run_tokens(value, stack[-1].path)
+    return out
 
 
 def element_token(element: Element) -> int:
@@ -169,7 +174,7 @@ def _token_sums(batches):
 
     for batch in batches:
         for host, url, page in zip(batch["host"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            token, n = np.unique(page_tokens(page), return_counts=True)
+            token, n = np.unique(np.array(page_tokens(page), np.uint64), return_counts=True)
             page_hash = np.uint64(xxhash.xxh64_intdigest((url or "") + "\0" + (page or "")))
             token, n = np.concatenate([[np.uint64(0)], token]), np.concatenate([[1], n])
             held[host].append((token, n, mixed(page_hash + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
@@ -263,7 +268,7 @@ def _orders_and_words(batches):
 
     memo = Memo(_decode_pairs)
     orders: dict[tuple, int] = defaultdict(int)
-    words: dict[tuple, list[int]] = {}
+    words: dict[tuple, int] = {}
     for batch in batches:
         for site, blob, page in zip(batch["site"].to_pylist(), batch["template"].to_pylist(), batch["html"].to_pylist(), strict=True):
             tokens, marks, known = memo[blob]
@@ -271,25 +276,22 @@ def _orders_and_words(batches):
                 continue
             found = []
             for kind, stack, value in walk(page):
-                path = stack[-1].path
+                top = stack[-1]
                 if kind == "tag":
-                    found.append(np.array([xxhash.xxh64_intdigest(value.encode(), path ^ 1)], np.uint64))
-                    continue
-                if value.isspace():
+                    found.append(xxhash.xxh64_intdigest(value.encode(), top.path ^ 1))
                     continue
-                own = mixed(_words.of(value.encode().split()) ^ np.uint64(path))
-                found.append(own)
-                at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
-                varying = int(np.count_nonzero(tokens[at] != own))
+                own = run_tokens(value, top.path)
+                found += own
+                varying = sum(t not in known for t in own) if len(own) != 1 else (own[0] not in known) * len(value.split())
                 above = 0
-                if varying and not stack[-1].boiler:
+                if varying and not top.boiler:
                     for element in stack[1:]:
                         token = element_token(element)
                         if token in known:
                             key = (site, token, above)
-                            words[key] = [words.get(key, [0])[0] + varying]
+                            words[key] = words.get(key, 0) + varying
                             above = token
-            every = np.concatenate(found) if found else np.empty(0, np.uint64)
+            every = np.array(found, np.uint64)
             at = np.minimum(np.searchsorted(tokens, every), len(tokens) - 1)
             inside = tokens[at] == every
             every, mark = every[inside], marks[at[inside]]
@@ -302,7 +304,7 @@ def _orders_and_words(batches):
                 digest = xxhash.xxh64_intdigest(own[:period].tobytes()) if regular else 0
                 place = int(np.searchsorted(tokens, own[0]))
                 orders[(site, int(marks[place]), digest)] += 1
-    rows = [(s, "order", m, d, n) for (s, m, d), n in orders.items()] + [(s, "words", t, a, n[0]) for (s, t, a), n in words.items()]
+    rows = [(s, "order", m, d, n) for (s, m, d), n in orders.items()] + [(s, "words", t, a, n) for (s, t, a), n in words.items()]
 
     def signed(x):
         return x - (1 << 64) if x >> 63 else x
