@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.session import cut_lineage, ship_package
 
 __all__ = [
-    "LOWER_ASCII", "WordHashes", "as_bytes", "cut_lineage", "documents", "mixed", "numbered", "ship_package", "window_hashes",
+    "LOWER_ASCII", "WordHashes", "as_bytes", "cut_lineage", "documents", "mixed", "numbered", "prepare", "window_hashes",
 ]
 
 #: A-Z to a-z; every other byte of UTF-8 stays. ``bytes.split()`` then cuts at the six white-space characters of ASCII.
@@ -21,6 +21,12 @@ LOWER_ASCII = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Ship the package to the workers and let them take texts in small batches, as a row may hold megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return ship_package(spark)
+
+
 def documents(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """Columns of a driver table."""
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)

@@ -27,7 +27,7 @@ from tidemark.llm.common import LOWER_ASCII, as_bytes, cut_lineage
 
 #: The end mark is a token, not a word: no word is empty.
 END = b""
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
 STIRLING = 128
 
@@ -297,7 +297,7 @@ def draw_tables(counts: np.ndarray, other: np.ndarray, parent: np.ndarray, disco
     base = strength / discount + other
     for c in np.unique(counts[(counts > 1) & (counts <= most)]):
         rows = np.flatnonzero(counts == c)
-        for part in np.array_split(rows, max(1, len(rows) * int(c) // 2_000_000)):
+        for part in np.array_split(rows, max(1, len(rows) * int(c) // 250_000)):
             step = np.log(parent[part] * discount)[:, None] + np.log(base[part][:, None] + np.arange(c)[None, :])
             weight = np.cumsum(step, axis=1) + table[c, 1 : c + 1][None, :]
             weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
@@ -419,7 +419,7 @@ def _predict(batches, shared, rule: ModelRule):
         word_places = np.split(_unpack(row["word_places"], np.uint32, sum(n_words)), np.cumsum(n_words)[:-1])
         pair_places = np.split(_unpack(row["pair_places"], np.uint32, sum(n_pairs)), np.cumsum(n_pairs)[:-1])
         rows = [
-            (c, row["bucket"], _pack(of_word[a]), _pack(score[b]), len(a), len(b))
+            (c, row["bucket"], _pack(of_word[a]), _pack(score.astype(np.float32)[b]), len(a), len(b))
             for c, a, b in zip(row["chunks"], word_places, pair_places, strict=True)
         ]
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
@@ -438,7 +438,7 @@ def _score(key, left, right, shared, id_kind):
     own = Coded(left.to_pylist()[0])
     blocks = sorted(right.to_pylist(), key=lambda r: r["bucket"])
     counts = np.concatenate([_unpack(r["counts"], np.int64, r["n_words"]) for r in blocks])
-    scores = np.concatenate([_unpack(r["scores"], np.float64, r["n_pairs"]) for r in blocks])
+    scores = np.concatenate([_unpack(r["scores"], np.float32, r["n_pairs"]) for r in blocks])
     _, _, at = own.pairs(p["hashes"])
     n, v = p["train_tokens"], p["vocabulary"]
     base = np.log10((counts + 1) / (n + 1 * (v + 1)))
@@ -450,7 +450,7 @@ def _score(key, left, right, shared, id_kind):
             pa.array(np.add.reduceat((counts > 0)[own.tokens].astype(np.int64), starts)),
             pa.array(np.full(own.n_docs, n, np.int64)),
             pa.array(np.add.reduceat(base[own.tokens], starts)),
-            pa.array(np.add.reduceat(scores[at], starts)),
+            pa.array(np.add.reduceat(scores[at].astype(float), starts)),
         ],
         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import fixity, ftrl, hpylm, kdtree, setsketch, slackpack, template, urlmodel, weakrules, wumanber
-from tidemark.llm.common import cut_lineage, documents
+from tidemark.llm.common import cut_lineage, documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,8 +17,12 @@ SHARDS = 16
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return fn(prepare(spark), folder)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def word_tokenizer() -> str:
