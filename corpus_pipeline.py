@@ -14,37 +14,38 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidemark.llm import ftrl, setsketch, slackpack, weakrules, wumanber  # noqa: E402
+from tidemark.llm.common import prepare  # noqa: E402
 from tidemark.llm.queries import word_tokenizer  # noqa: E402
-from tidemark.session import checkpoint_folder, ship_package  # noqa: E402
+from tidemark.session import checkpoint_folder  # noqa: E402
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 or more, learned from the labelled ones."""
-    ship_package(spark)
+    prepare(spark)
     return ftrl.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the label model over quality rules keeps."""
-    ship_package(spark)
+    prepare(spark)
     return weakrules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
-    ship_package(spark)
+    prepare(spark)
     return setsketch.one_of_each(docs, setsketch.SketchRule(width=5, least=80, of=100))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies in benchmark passages."""
-    ship_package(spark)
+    prepare(spark)
     return wumanber.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of at most 4096 tokens."""
-    ship_package(spark)
+    prepare(spark)
     return slackpack.packed_documents(docs, word_tokenizer())
 
 
