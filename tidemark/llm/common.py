@@ -24,6 +24,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship the package to the workers and let them take texts in small batches, as a row may hold megabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return ship_package(spark)
 
 

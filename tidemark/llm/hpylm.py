@@ -152,8 +152,10 @@ class Coded:
 
 
 def _rows(batches):
+    """Rows one by one: each may hold megabytes."""
     for batch in batches:
-        yield from batch.to_pylist()
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 # --- contexts -------------------------------------------------------------------------------------------------------------
