@@ -23,31 +23,48 @@ END_ID = 1
 # --- tokens ---------------------------------------------------------------------------------------------------------------
 
 
-class WordIds(dict):
-    """White-space separated word to its token ids as little-endian bytes; forgets everything at ``most`` words.
+class WordIds:
+    """White-space separated word to its token ids as little-endian bytes.
 
-    The tokenizer normalises and splits inside words only, so ids of a text are the ids of its words in order.
+    The tokenizer normalises and splits inside words only, so ids of a text are the ids of its words in order. Words are kept in
+    two generations of at most ``most`` each: those not met while the younger one fills are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        super().__init__()
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(words)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, coded in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[word] = np.array(coded.ids, "<u4").tobytes()
+        if len(self.young) + len(words) > self.most:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        for k in range(0, len(new), 2_000):
+            self.encode(new[k : k + 2_000])
+
+    def encode(self, words: list[bytes]) -> None:
+        """Encode words in one text, cut where the next word begins."""
+        texts = [w.decode() for w in words]
+        coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(coded.ids, "<u4").tobytes()
+        starts = np.fromiter((at for at, _ in coded.offsets), np.int64, len(coded.ids))
+        ends = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)) * 4
+        before = 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self.young[word] = ids[before:end]
+            before = end
 
     def of(self, text: bytes | None) -> np.ndarray:
         words = text.split() if text else []
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+        return np.frombuffer(b"".join(map(self.young.__getitem__, words)), "<u4")
 
 
 _vocabularies: dict[str, WordIds] = {}
