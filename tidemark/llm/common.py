@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.session import cut_lineage, ship_package
 
 __all__ = [
-    "LOWER_ASCII", "WordHashes", "as_bytes", "cut_lineage", "documents", "mixed", "numbered", "prepare", "window_hashes",
+    "LOWER_ASCII", "WordHashes", "as_bytes", "cut_lineage", "documents", "mixed", "numbered", "only_cache", "prepare",
+    "window_hashes", "word_hashes",
 ]
 
 #: A-Z to a-z; every other byte of UTF-8 stays. ``bytes.split()`` then cuts at the six white-space characters of ASCII.
@@ -44,7 +45,7 @@ def as_bytes(column) -> list:
 class WordHashes(dict):
     """Word to 64-bit hash. Forgets everything at ``most`` words, so a worker's memory stays bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
@@ -58,6 +59,22 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_cache: dict = {}
+
+
+def only_cache(key, make):
+    """The worker's one cache, kept over tasks: asking for another key drops the one before, so caches do not add up."""
+    if key not in _cache:
+        _cache.clear()
+        _cache[key] = make()
+    return _cache[key]
+
+
+def word_hashes(words: list) -> np.ndarray:
+    """64-bit hashes of words, remembered by the worker."""
+    return only_cache("word hashes", WordHashes).of(words)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

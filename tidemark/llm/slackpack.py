@@ -8,13 +8,14 @@ then look up their place by their rank among those of their length.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, cut_lineage, numbered
+from tidemark.llm.common import LOWER_ASCII, as_bytes, cut_lineage, numbered, only_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -26,11 +27,11 @@ END_ID = 1
 class WordIds:
     """White-space separated word to its token ids as little-endian bytes.
 
-    The tokenizer normalises and splits inside words only, so ids of a text are the ids of its words in order. Words are kept in
-    two generations of at most ``most`` each: those not met while the younger one fills are forgotten.
+    The tokenizer lower-cases, and normalises and splits inside words only, so ids of a text are the ids of its words in order.
+    Words are kept in two generations of at most ``most`` each: those not met while the younger one fills are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -62,28 +63,35 @@ class WordIds:
             self.young[word] = ids[before:end]
             before = end
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        words = text.split() if text else []
+    def of(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.young.__getitem__, words)), "<u4")
 
 
-_vocabularies: dict[str, WordIds] = {}
+#: Marks that end a word after an ASCII letter: the tokenizer parts them from it, whatever they are.
+END_MARKS = re.compile(rb"(?<=[a-z])([!-/:-@\[-`{-~]+)(?=[ \t\n\r\x0b\x0c]|\Z)")
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """Pieces of a text whose ids, one after another, are the ids of the text. Fewer spellings make fewer words to encode."""
+    if not text:
+        return []
+    if b"<|" in text:  # may hold a special token, which is matched as it is written
+        return text.split()
+    return END_MARKS.sub(rb" \1", text.translate(LOWER_ASCII)).split()
 
 
 def _cut(batches, path: str, capacity: int, with_ids: bool):
     import pyarrow as pa
 
-    if path not in _vocabularies:
-        _vocabularies[path] = WordIds(path)
-    ids_of = _vocabularies[path]
+    ids_of: WordIds = only_cache(("word ids", path), lambda: WordIds(path))
     for batch in batches:
         docs, texts = batch["doc_id"].to_pylist(), as_bytes(batch["text"])
         for lo in range(0, len(texts), 512):
-            part = texts[lo : lo + 512]
-            ids_of.learn({w for t in part if t for w in t.split()})
+            part = [words_of(t) for t in texts[lo : lo + 512]]
+            ids_of.learn(set().union(*part))
             rows = []
-            for doc, text in zip(docs[lo : lo + 512], part, strict=True):
-                ids = np.append(ids_of.of(text), np.array([END_ID], "<u4"))
+            for doc, words in zip(docs[lo : lo + 512], part, strict=True):
+                ids = np.append(ids_of.of(words), np.array([END_ID], "<u4"))
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     raw = own.astype("<u4").tobytes()
