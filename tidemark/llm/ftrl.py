@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import LOWER_ASCII, WordHashes, as_bytes, cut_lineage, mixed
+from tidemark.llm.common import LOWER_ASCII, as_bytes, cut_lineage, mixed, word_hashes
 
 TOKEN = re.compile(rb"[0-9a-z_\x80-\xff]+|[!-/:-@\[-^`{-~]+")
 BITS = 18
@@ -24,15 +24,13 @@ MAX_ROWS = 8_000
 EPOCHS = 3
 SAME, AGAIN, MARKS = (np.uint64(x) for x in (0x51, 0xA6, 0x3C))
 
-_hashes = WordHashes()
-
 
 def features(text: bytes | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Slots (sorted, distinct) and values of unit length; both empty for texts without tokens."""
     tokens = TOKEN.findall(text.translate(LOWER_ASCII)) if text else []
     if not tokens:
         return np.empty(0, np.int64), np.empty(0)
-    words = _hashes.of(tokens)
+    words = word_hashes(tokens)
     left, right = words[:-1], words[1:]
     pairs = mixed(left * np.uint64(0x9E3779B97F4A7C15) + right)
     same = np.count_nonzero(left == right)

@@ -16,11 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_ASCII, WordHashes, as_bytes, cut_lineage, mixed, window_hashes
+from tidemark.llm.common import LOWER_ASCII, as_bytes, cut_lineage, mixed, window_hashes, word_hashes
 from tidemark.llm.components import connected
 
-_hashes = WordHashes()
-
 
 @dataclass(frozen=True)
 class SketchRule:
@@ -59,7 +57,7 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     words = text.translate(LOWER_ASCII).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    return np.unique(window_hashes(_hashes.of(words), min(width, len(words))))
+    return np.unique(window_hashes(word_hashes(words), min(width, len(words))))
 
 
 def _multipliers(m: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import WordHashes, as_bytes, window_hashes
+from tidemark.llm.common import as_bytes, window_hashes, word_hashes
 
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -27,8 +27,6 @@ SYMBOLS = b"#*$%&|<>"
 #: White space, letters and digits, and all beyond ASCII.
 PLAIN = bytes(c for c in range(256) if c <= 32 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128)
 
-_hashes = WordHashes()
-
 
 def repeat_words(hashes: np.ndarray, width: int = 3) -> int:
     """Words inside windows of ``width`` words that the text holds twice or more."""
@@ -60,7 +58,7 @@ def text_counts(text: bytes | None) -> tuple[int, ...]:
                 repeated += 1
             else:
                 seen.add(line)
-    hashes = _hashes.of(words)
+    hashes = word_hashes(words)
     upper = sum(1 for w in words if w.isupper() and len(w) > 1)
     marks = sum(1 for w in words if w.endswith((b"!", b"?", b"...")))
     return (
