@@ -45,7 +45,7 @@ def as_bytes(column) -> list:
 class WordHashes(dict):
     """Word to 64-bit hash. Forgets everything at ``most`` words, so a worker's memory stays bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

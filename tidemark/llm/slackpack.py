@@ -9,7 +9,9 @@ then look up their place by their rank among those of their length.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,47 +26,48 @@ END_ID = 1
 # --- tokens ---------------------------------------------------------------------------------------------------------------
 
 
-class WordIds:
+#: The byte-level alphabet: printable bytes are their own letter, the others take the letters from U+0100 on, in order.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: b for b in _OWN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
+
+
+def is_plain(text: str) -> bool:
+    """Lower-case composed Latin letters only: the tokenizer neither changes nor splits such a word."""
+    return text.isalpha() and (text.islower() if text.isascii() else max(text) < "\u0250" and text == text.lower() and is_normalized("NFC", text))
+
+
+class WordIds(dict):
     """White-space separated word to its token ids as little-endian bytes.
 
     The tokenizer lower-cases, and normalises and splits inside words only, so ids of a text are the ids of its words in order.
     Words are kept in two generations of at most ``most`` each: those not met while the younger one fills are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.young: dict[bytes, bytes] = {}
+        self.merges = self.tokenizer.model.tokenize
         self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.young) + len(words) > self.most:
-            self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
-        for k in range(0, len(new), 2_000):
-            self.encode(new[k : k + 2_000])
-
-    def encode(self, words: list[bytes]) -> None:
-        """Encode words in one text, cut where the next word begins."""
-        texts = [w.decode() for w in words]
-        coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(coded.ids, "<u4").tobytes()
-        starts = np.fromiter((at for at, _ in coded.offsets), np.int64, len(coded.ids))
-        ends = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)) * 4
-        before = 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            self.young[word] = ids[before:end]
-            before = end
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode()
+            if is_plain(text):  # goes to the vocabulary's merges as it is
+                found = [t.id for t in self.merges(word.decode("latin-1").translate(BYTE_LETTERS))]
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[word] = ids
+        return ids
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.young.__getitem__, words)), "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
 
 #: Marks that end a word after an ASCII letter: the tokenizer parts them from it, whatever they are.
@@ -87,11 +90,9 @@ def _cut(batches, path: str, capacity: int, with_ids: bool):
     for batch in batches:
         docs, texts = batch["doc_id"].to_pylist(), as_bytes(batch["text"])
         for lo in range(0, len(texts), 512):
-            part = [words_of(t) for t in texts[lo : lo + 512]]
-            ids_of.learn(set().union(*part))
             rows = []
-            for doc, words in zip(docs[lo : lo + 512], part, strict=True):
-                ids = np.append(ids_of.of(words), np.array([END_ID], "<u4"))
+            for doc, text in zip(docs[lo : lo + 512], texts[lo : lo + 512], strict=True):
+                ids = np.append(ids_of.of(words_of(text)), np.array([END_ID], "<u4"))
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     raw = own.astype("<u4").tobytes()
