@@ -181,15 +181,15 @@ def vote_columns(x: dict[str, Column], rules: list[Rule] = RULES) -> list[Column
 def learn(counted: DataFrame, rules: list[Rule] = RULES) -> LabelModel:
     """Fit the label model on all rows of ``counted`` (the columns of COUNTS) that pass the base rules."""
     x = {c: F.col(c) for c in COUNTS}
+    names = [r.name for r in rules]
+    # failing documents are told apart in the key: a filter would count every text once more
     patterns = (
-        counted.where(~base_failed(x))
-        .select(*[v.alias(r.name) for r, v in zip(rules, vote_columns(x, rules), strict=True)])
-        .groupBy(*[r.name for r in rules])
-        .count()
-        .collect()
-    )
-    votes = np.array([list(p)[:-1] for p in patterns], np.int64).reshape(-1, len(rules))
-    return fit_label_model(votes, np.array([p["count"] for p in patterns], float))
+        counted.select(base_failed(x).alias("failed"), *[v.alias(n) for n, v in zip(names, vote_columns(x, rules), strict=True)])
+        .groupBy("failed", *names).count().collect()
+    )
+    passed = [p for p in patterns if not p["failed"]]
+    votes = np.array([[p[n] for n in names] for p in passed], np.int64).reshape(-1, len(rules))
+    return fit_label_model(votes, np.array([p["count"] for p in passed], float))
 
 
 def counted(docs: DataFrame) -> DataFrame:
