@@ -5,7 +5,7 @@ start of a text) if that word makes up at least 1/``context_share`` of the train
 words: so there are at most ``context_share + 2`` restaurants at any corpus size, all with the root as parent, whose own parent
 is uniform over the vocabulary and one unknown word. Customers are counted over all training tokens. A Gibbs sweep draws the
 number of tables of each (context, word) given all other seats: exactly, from the distribution that generalised Stirling
-numbers give, up to ``STIRLING`` customers, else by seating them in geometrically growing parties. Dishes are dealt over
+numbers give, up to ``STIRLING`` customers, else from the limit of that distribution for many customers. Dishes are dealt over
 tasks by word, so all seats of a word, with its root restaurant, lie together; only the bounded totals of the restaurants
 pass between sweeps. Predictive probabilities are averaged over the kept sweeps.
 
@@ -29,7 +29,7 @@ from tidemark.llm.common import LOWER_ASCII, as_bytes, cut_lineage
 END = b""
 CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
-STIRLING = 128
+STIRLING = 512
 
 
 @dataclass(frozen=True)
@@ -305,17 +305,10 @@ def draw_tables(counts: np.ndarray, other: np.ndarray, parent: np.ndarray, disco
             weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
             out[part] = 1 + (weight < rng.random(len(part))[:, None] * weight[:, -1:]).sum(axis=1)
     rows = np.flatnonzero(counts > most)
+    # for many customers S_d(c, t) goes as 1 / (discount**(t - 1) * (t - 1)!): t - 1 is negative binomial
     if len(rows):
-        # customers are exchangeable: the first ones exactly, then parties that grow by an eighth
-        t = draw_tables(np.full(len(rows), most), other[rows], parent[rows], discount, strength, table, rng).astype(float)
-        seated, c = np.full(len(rows), float(most)), counts[rows].astype(float)
-        while (left := c - seated).max() > 0:
-            party = np.minimum(np.maximum(1.0, np.floor(seated / 8)), np.maximum(left, 0))
-            new = (strength + discount * (other[rows] + t)) * parent[rows]
-            share = new / (new + np.maximum(seated + party / 2 - discount * t, 1e-9))
-            t = np.minimum(t + rng.binomial(party.astype(np.int64), np.clip(share, 0, 1)), c)
-            seated += party
-        out[rows] = t.astype(np.int64)
+        more = rng.negative_binomial(base[rows] + 1, np.clip(1 - parent[rows], 1e-12, 1))
+        out[rows] = np.minimum(1 + more, counts[rows])
     return out
 
 

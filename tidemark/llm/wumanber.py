@@ -182,6 +182,11 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes:
         return with_hits(docs.select("doc_id", "text"), shared[0], width).select(
             "doc_id", "__found.n_words", "__found.spans", "__found.items"
         )
+    return _united(docs, shared, width).drop("__key")
+
+
+def _united(docs: DataFrame, shared: list, width: int) -> DataFrame:
+    """The result of :func:`search` over several blocks, with the hash of the text as __key."""
     own = docs.select("doc_id", "text")
     passes = [
         with_hits(own, one, width)
@@ -202,6 +207,7 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes:
         .join(hits, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__h")), "left")
         .select(
             "doc_id",
+            "__key",
             "__found.n_words",
             _union_spans(F.coalesce("s", F.array().cast("array<array<int>>"))).alias("spans"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -243,5 +249,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 13, bloc
         found = _search_column(F.col("text"), shared[0], width)
         bad = is_contaminated(hit_words(found["spans"]), found["n_words"])
         return docs.where(~F.coalesce(bad, F.lit(False)))
-    bad = verdicts(search(docs, benchmark, width, block_bytes)).where("contaminated").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    found = _united(docs, shared, width)
+    bad = found.where(is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select(F.col("doc_id").alias("__bad"), "__key").distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    return docs.join(bad, same, "left_anti")
