@@ -27,9 +27,9 @@ def test_distribution_tails():
 
 def test_exact_ks_small_samples():
     # two samples of two, fully apart: 2 of the 6 orderings reach D = 1
-    assert dist.ks_two_sample_p(1.0, 2, 2) == pytest.approx(2 / 6)
-    assert dist.ks_two_sample_p(0.5, 2, 2) == pytest.approx(1.0)
-    assert dist.ks_two_sample_p(1.0, 3, 4) == pytest.approx(2 / 35)
+    assert dist.ks_two_sample_p(1.0, 2, 2, "exact") == pytest.approx(2 / 6)
+    assert dist.ks_two_sample_p(0.5, 2, 2, "exact") == pytest.approx(1.0)
+    assert dist.ks_two_sample_p(1.0, 3, 4, "exact") == pytest.approx(2 / 35)
 
 
 def test_ks_self_and_shifted(spark):

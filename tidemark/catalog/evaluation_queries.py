@@ -244,14 +244,14 @@ def tstr(spark, folder):
 
     parts = cut_lineage(stratified_split(docs, ["doc_id"], "quality", 0.3, 0.35))
     pick = lambda s: parts.where(F.col("split") == s).drop("split")
-    return _metric_row(spark, utility.tstr(pick("train"), pick("val"), pick("test"), "quality", ["toxic", "n_chars", "capitals", "english"], trees=20))
+    return _metric_row(spark, utility.tstr(pick("train"), pick("val"), pick("test"), "quality", ["toxic", "n_chars", "capitals", "english"]))
 
 
 @query("attribute_inference")
 def attribute_inference(spark, folder):
     real, synth = halves(spark, folder)
     flag = F.col("l_returnflag") == "R"
-    acc = privacy.attribute_inference(real.withColumn("ret", flag.cast("int")), synth.withColumn("ret", flag.cast("int")), "ret", LINE_COLS, trees=20, max_depth=5)
+    acc = privacy.attribute_inference(real.withColumn("ret", flag.cast("int")), synth.withColumn("ret", flag.cast("int")), "ret", LINE_COLS, max_depth=12)
     return _metric_row(spark, {"aia_accuracy": acc})
 
 

@@ -163,4 +163,4 @@ def network_sample(spark, folder):
     """As many synthetic profiles as there are real ones, with their series paired."""
     s = cut_lineage(static_features(spark, folder).select("stay_id", *vocab.PROFILE_FEATURES))
     s = bayes.pair_static_with_series(s, table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("stay_id")))
-    return bayes.fit_network(s, max_indegree=2).sample(s.count(), 42, 1)
+    return bayes.fit_network(s).sample(s.count(), 42, 1)

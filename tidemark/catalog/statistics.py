@@ -43,7 +43,7 @@ def ks_per_column(spark, folder):
     return rounded(lines.unionByName(st.ks_tests(c, s, ["acctbal"], p_values=False)))
 
 
-# limit law: both samples are far beyond the exact count's size at every scale
+# limit law, the default at every size
 _KS_P = "LEAST(1.0, GREATEST(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * x * x)))))"
 
 

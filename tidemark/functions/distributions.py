@@ -121,17 +121,17 @@ def kolmogorov_sf(x: float) -> float:
     return float(min(1.0, max(0.0, 2.0 * (np.where(k % 2, 1.0, -1.0) * np.exp(-2.0 * k * k * x * x)).sum())))
 
 
-EXACT_KS_CELLS = 4_000_000
-
-
-def ks_two_sample_p(d: float, n1: int, n2: int) -> float:
-    """Two-sided p-value. Small samples count lattice paths that stay below
-    ``d``; larger ones use the limit law."""
+def ks_two_sample_p(d: float, n1: int, n2: int, method: str = "limit") -> float:
+    """Two-sided p-value, by one law at every sample size: ``limit`` (of
+    Kolmogorov) or ``exact``, which counts lattice paths that stay below ``d``
+    and takes n1 * (n1 + n2) steps."""
+    if method not in ("limit", "exact"):
+        raise ValueError("method is 'limit' or 'exact'")
     if n1 <= 0 or n2 <= 0:
         return float("nan")
     if d <= 0.0:
         return 1.0
-    if n1 * n2 > EXACT_KS_CELLS:
+    if method == "limit":
         return kolmogorov_sf(math.sqrt(n1 * n2 / (n1 + n2)) * d)
     # share of monotone paths (0,0)->(n1,n2) whose gap |i/n1 - j/n2| stays < d:
     # walk the n1+n2 draws in random order, tracking P(i of the first k are from sample 1)
@@ -169,4 +169,4 @@ chi2_sf_col = _columnwise(chi2_sf)
 normal_two_sided_col = _columnwise(lambda z: min(1.0, 2.0 * normal_sf(abs(z))))
 t_two_sided_col = _columnwise(lambda t, df: min(1.0, 2.0 * t_sf(abs(t), df)))
 t_quantile_col = _columnwise(t_quantile)
-ks_p_col = _columnwise(lambda d, n1, n2: ks_two_sample_p(d, int(n1), int(n2)))
+ks_p_cols = {m: _columnwise(lambda d, n1, n2, m=m: ks_two_sample_p(d, int(n1), int(n2), m)) for m in ("limit", "exact")}

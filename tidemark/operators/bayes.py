@@ -161,7 +161,7 @@ def _reaches(parents: Mapping[str, set], start: str, goal: str) -> bool:
 
 def learn_structure(
     profiles: DataFrame, features: Sequence[str], states: Mapping[str, Sequence[str]], n_rows: int,
-    max_indegree: int = 3, epsilon: float = 1e-4, tabu: int = 100, max_steps: int = 1_000,
+    max_indegree: int = 3, epsilon: float = 1e-4, tabu: int = 100,
 ) -> dict[str, set]:
     """Greedy add / remove / reverse search on BIC. The driver holds only scores
     of the few hundred candidate families; each step costs at most one count job."""
@@ -187,7 +187,7 @@ def learn_structure(
                     if not _reaches(parents, v, u):
                         yield ("add", u, v), [(v, parents[v] | {u})]
 
-    for _ in range(max_steps):
+    while True:  # every step gains more than epsilon on a bounded score
         options = list(moves())
         need = {fam(v, ps) for _, change in options for v, ps in change}
         need |= {fam(v, parents[v]) for v in features}

@@ -34,7 +34,7 @@ def logistic(train: DataFrame):
     return LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=200).fit(train)
 
 
-def forest(train: DataFrame, trees: int, seed: int, max_depth: int = 10):
+def forest(train: DataFrame, trees: int, seed: int, max_depth: int = 30):
     return RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=max_depth).fit(train)
 
 

@@ -33,10 +33,11 @@ def shared_numeric(real: DataFrame, synth: DataFrame, exclude: Sequence[str] = (
 
 def ks_tests(
     real: DataFrame, synth: DataFrame, cols: Sequence[str], group: Sequence[str] = (), min_size: int = 1,
-    p_values: bool = True,
+    p_values: bool = True, method: str = "limit",
 ) -> DataFrame:
     """Two-sample Kolmogorov–Smirnov per column: ``variable, n_real, n_synth,
-    ks_stat, pvalue``. Samples below ``min_size`` give NULL."""
+    ks_stat, pvalue``. Samples below ``min_size`` give NULL. ``method`` names the
+    law of the p-value, ``limit`` or ``exact``, whatever the sample sizes."""
     stacked = both_sides(real, synth, cols, group)
     edges = fit_blocks(stacked, cols)
     counts = value_sums(stacked, group, cols, edges, {"n1": F.col("is_real"), "n2": 1 - F.col("is_real")})
@@ -53,7 +54,7 @@ def ks_tests(
     res = res.withColumn("ks_stat", F.when(enough, F.col("ks_stat")))
     if not p_values:
         return res
-    return res.withColumn("pvalue", dist.ks_p_col(F.col("ks_stat"), F.col("n_real"), F.col("n_synth")))
+    return res.withColumn("pvalue", dist.ks_p_cols[method](F.col("ks_stat"), F.col("n_real"), F.col("n_synth")))
 
 
 def distribution_shift(

@@ -11,6 +11,10 @@ from tidemark.operators.models import assemble, auc, forest, logistic, n_classes
 from tidemark.operators.prep import fit_standard
 
 
+class SingleClass(ValueError):
+    """Training rows hold one class only."""
+
+
 def tstr(
     real_train: DataFrame,
     synth: DataFrame,
@@ -19,7 +23,7 @@ def tstr(
     cols: Sequence[str] | None = None,
     trees: int = 100,
     seed: int = 42,
-    max_depth: int = 10,
+    max_depth: int = 30,
 ) -> dict[str, float]:
     """AUC of models trained on real / synthetic rows, both tested on real rows.
 
@@ -34,7 +38,7 @@ def tstr(
         test = assemble(real_test, cols, target, scaler).persist()
         try:
             if n_classes(fit_on) < 2:
-                raise ValueError("training rows hold a single class")
+                raise SingleClass("training rows hold a single class")
             defined = n_classes(test) == 2
             for name, fit in (("lr", logistic), ("rf", lambda d: forest(d, trees, seed, max_depth))):
                 runs[name, tag] = auc(fit(fit_on), test) if defined else 0.5

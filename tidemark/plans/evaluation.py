@@ -78,7 +78,7 @@ def utility_metrics(train: DataFrame, synth: DataFrame, test: DataFrame, target:
         return dict(UNDEFINED_UTILITY)
     try:
         found = utility.tstr(train, synth, test, target, cols, **kw)
-    except ValueError:
+    except utility.SingleClass:
         return dict(UNDEFINED_UTILITY)
     return {k: found[k] for k in UNDEFINED_UTILITY}
 
@@ -206,7 +206,7 @@ def score_candidate(
     out["frobenius_distance"] = float(fidelity.correlation_distance(real, synth, cols).first()[0])
     try:
         out["tstr_auc"] = utility.tstr(real, synth, held_out, target, cols)["tstr_auc"]
-    except ValueError:
+    except utility.SingleClass:
         pass
     return out
 
