@@ -13,8 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import LOWER_ASCII, as_bytes, cut_lineage, mixed, window_hashes, word_hashes
 from tidemark.llm.components import connected
@@ -238,6 +239,32 @@ def _block_links(rows: DataFrame, kind: str, rule: SketchRule) -> DataFrame:
     )
 
 
+#: Bits of the filter that spares texts outside all groups the way through the shuffle: half a megabyte at any size of the corpus.
+FILTER_BITS = 1 << 22
+
+
+def perhaps_among(ids: DataFrame, column: str) -> Column:
+    """A test on ``column`` that holds for all ids of ``ids`` and for some others: a bit for each hash, set on the executors.
+
+    It only spares work. With very many ids most bits are set and it lets nearly all rows pass.
+    """
+    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    cut = F.lit(32_768)
+    maps = ids.groupBy(F.floor(slot / cut).alias("part")).agg(F.bitmap_construct_agg(slot % cut).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in maps:
+        bits[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(np.unpackbits(bits, bitorder="little").astype(bool))
+
+    @F.arrow_udf(T.BooleanType())
+    def passes(slots):
+        import pyarrow as pa
+
+        return pa.array(shared.value[slots.to_numpy(zero_copy_only=False)])
+
+    return passes(slot)
+
+
 def near_duplicates(docs: DataFrame, rule: SketchRule = SketchRule()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per document row.
 
@@ -267,9 +294,9 @@ def near_duplicates(docs: DataFrame, rule: SketchRule = SketchRule()) -> DataFra
     members = sized.join(blocks, "component").select(
         "rep", F.col("component").alias("label"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "blocks"
     )
-    texts = cut_lineage(
-        docs.select(F.col("doc_id").alias("rep"), "text").join(members, "rep").withColumn("visitor", F.lit(False))
-    )
+    members = cut_lineage(members)
+    own = docs.select(F.col("doc_id").alias("rep"), "text").where(perhaps_among(members, "rep"))
+    texts = cut_lineage(own.join(members, "rep").withColumn("visitor", F.lit(False)))
     links = cut_lineage(_block_links(texts, kind, rule))
     large = texts.where("blocks > 1")
     if large.select("rep").limit(1).count():
