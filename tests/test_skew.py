@@ -23,7 +23,7 @@ def hot(spark):
 
 
 def _forced(df, cols, probs, group=()):
-    return skew.quantiles(df, cols, probs, group, n_blocks=9, small_rows=0, small_bytes=0)
+    return skew.quantiles(df, cols, probs, group, n_blocks=9)
 
 
 @pytest.mark.parametrize("group", [[], ["g"]])
@@ -40,7 +40,7 @@ def test_quantiles_both_ways(hot, group):
 
 def test_running_sums_both_ways(hot):
     pdf, df = hot
-    edges = skew.fit_blocks(df, ["v"], 9, 0, 0)
+    edges = skew.fit_blocks(df, ["v"], 9)
     a = skew.running_sums(skew.value_sums(df, ["g"], ["v"], edges), ["g", "variable"], ["cnt"], True)
     b = skew.running_sums(skew.value_sums(df, ["g"], ["v"], None), ["g", "variable"], ["cnt"], False)
     cols = ["g", "variable", "value", "cnt", "cnt_before", "cnt_total"]
@@ -101,7 +101,7 @@ def test_moving_average_equals_fold(spark):
     for small in (True, False):
         if not small:
             orig = twin.fit_blocks
-            twin.fit_blocks = lambda d, c: orig(d, c, 5, 0, 0)
+            twin.fit_blocks = lambda d, c: orig(d, c, 5)
         try:
             got = {r["entity_id"]: r["recent_drift"] for r in twin.ema_drift(df, ties=["i"]).collect()}
         finally:
@@ -132,3 +132,17 @@ def test_neighbours_against_brute_force(spark, k, matrix_bytes):
         d = np.sort(np.sqrt(((refs - q) ** 2).sum(1)))
         want = d[1 : k + 1] if is_ref[i] else d[:k]
         assert got[i] == pytest.approx(list(want), abs=1e-9)
+
+
+def test_blocks_follow_the_counted_rows(hot):
+    pdf, df = hot
+    assert skew.fit_blocks(df, ["v"]) is None
+    assert len(skew.fit_blocks(df, ["id"], block_rows=30)["id"]) > skew.FIRST_BLOCKS
+
+
+def test_weighted_quantiles(hot):
+    pdf, df = hot
+    counts = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("k"))
+    for n_blocks in (None, 7):
+        got = skew.quantiles(counts, ["v"], [0.5], ["g"], n_blocks, weight="k")
+        assert {r["g"]: r["q0"] for r in got.collect()} == pytest.approx(pdf.groupby("g")["v"].median().to_dict())

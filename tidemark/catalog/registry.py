@@ -49,3 +49,9 @@ def r(expr: str, digits: int = 6) -> str:
 def rs(alias: str, *cols: str) -> str:
     """Rounded columns of an alias, keeping their names."""
     return ", ".join(f"{r(f'{alias}.{c}')} AS {c}" for c in cols)
+
+
+#: Upper tail of the limit law of Kolmogorov at ``x``: the theta series below 0.3, the alternating one above.
+KOLMOGOROV_SQL = """CASE WHEN x IS NULL THEN NULL WHEN x <= 0 THEN 1.0
+  WHEN x < 0.3 THEN 1 - sqrt(2 * pi()) / x * list_sum([exp(-((2 * k - 1) ** 2) * pi() ** 2 / (8 * x * x)) for k in range(1, 6)])
+  ELSE GREATEST(0.0, LEAST(1.0, 2 * list_sum([CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * x * x) for k in range(1, 101)]))) END"""

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidemark.catalog.clinical import freetext_tables, static_features
+from tidemark.catalog.feedback_queries import shift_sql
 from tidemark.catalog.registry import query, r, rounded, table
 from tidemark.operators import stattests as st
 from tidemark.plans.cohort_jobs import extract_freetext_cohort
@@ -58,7 +59,7 @@ def ks_pvalues(spark, folder):
     return rounded(st.ks_tests(real, synth, LINE_COLS))
 
 
-@query("window_shift")
+@query("window_shift", shift_sql("SELECT event_type AS w, value AS v, CAST(ts < DATE '2024-01-16' AS INT) AS r FROM events", "event_type"))
 def window_shift(spark, folder):
     """Distribution shift of event values per type, first half of the period against the second."""
     ev = table(spark, folder, "events")
@@ -82,16 +83,15 @@ def kruskal_wallis(spark, folder):
     return rounded(st.kruskal_wallis(table(spark, folder, "orders"), ["o_totalprice"], "o_orderpriority", PRIORITIES, p_values=False), 5)
 
 
-@query(
-    "mann_whitney",
-    f"""WITH x AS (SELECT * FROM lineitem WHERE l_returnflag IN ('A', 'R')),
+_MANN_WHITNEY = """x AS (SELECT * FROM lineitem WHERE l_returnflag IN ('A', 'R')),
     rk AS (SELECT l_returnflag AS g, AVG(rn) OVER (PARTITION BY l_quantity) AS rk FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY l_quantity) AS rn FROM x)),
     t AS (SELECT SUM(t * t * t - t) AS t FROM (SELECT CAST(COUNT(*) AS DOUBLE) AS t FROM x GROUP BY l_quantity)),
     a AS (SELECT CAST(SUM(CASE WHEN g = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS n1, CAST(SUM(CASE WHEN g = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS n2, SUM(CASE WHEN g = 'A' THEN rk END) AS r1 FROM rk),
-    u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u1, CAST(n1 + n2 AS DOUBLE) AS n FROM a)
-    SELECT 'l_quantity' AS variable, n1, n2, {r("u1", 3)} AS u,
-      {r("(GREATEST(u1, CAST(n1 AS DOUBLE) * n2 - u1) - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5) / sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * ((n + 1) - t / (n * (n - 1))))", 3)} AS z FROM u, t""",
-)
+    u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u1, CAST(n1 + n2 AS DOUBLE) AS n FROM a),
+    mw AS (SELECT n1, n2, u1, (GREATEST(u1, CAST(n1 AS DOUBLE) * n2 - u1) - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5) / sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * ((n + 1) - t / (n * (n - 1)))) AS z FROM u, t)"""
+
+
+@query("mann_whitney", f"WITH {_MANN_WHITNEY} SELECT 'l_quantity' AS variable, n1, n2, {r('u1', 3)} AS u, {r('z', 3)} AS z FROM mw")
 def mann_whitney(spark, folder):
     return rounded(st.mann_whitney(table(spark, folder, "lineitem"), ["l_quantity"], "l_returnflag", "A", "R", p_values=False), 3)
 
@@ -124,13 +124,13 @@ def chi_square_2x2(spark, folder):
     return rounded(st.chi_square(li, ["bulk"], "l_linestatus", p_values=False))
 
 
-@query(
-    "welch_t",
-    f"""SELECT variable, {r("(m1 - m2) / sqrt(a + b)")} AS statistic, {r("(a + b) ** 2 / (a * a / (n1 - 1) + b * b / (n2 - 1))", 3)} AS df FROM ({
+_WELCH = f"""SELECT variable, (m1 - m2) / sqrt(a + b) AS statistic, (a + b) ** 2 / (a * a / (n1 - 1) + b * b / (n2 - 1)) AS df FROM ({
       " UNION ALL ".join(f'''SELECT '{c}' AS variable, AVG({c}) FILTER (l_linestatus = 'O') AS m1, AVG({c}) FILTER (l_linestatus = 'F') AS m2,
         var_samp({c}) FILTER (l_linestatus = 'O') / COUNT({c}) FILTER (l_linestatus = 'O') AS a, var_samp({c}) FILTER (l_linestatus = 'F') / COUNT({c}) FILTER (l_linestatus = 'F') AS b,
-        COUNT({c}) FILTER (l_linestatus = 'O') AS n1, COUNT({c}) FILTER (l_linestatus = 'F') AS n2 FROM lineitem''' for c in LINE_COLS)})""",
-)
+        COUNT({c}) FILTER (l_linestatus = 'O') AS n1, COUNT({c}) FILTER (l_linestatus = 'F') AS n2 FROM lineitem''' for c in LINE_COLS)})"""
+
+
+@query("welch_t", f"SELECT variable, {r('statistic')} AS statistic, {r('df', 3)} AS df FROM ({_WELCH})")
 def welch_t(spark, folder):
     w = st.welch(table(spark, folder, "lineitem"), LINE_COLS, "l_linestatus", "O", "F", p_values=False)
     return rounded(w.select("variable", "statistic")).join(rounded(w.select("variable", "df"), 3), "variable")
@@ -160,7 +160,22 @@ def chi_tail_pvalues(spark, folder):
     return rounded(both.withColumn("printed", st.p_text(F.col("pvalue"))))
 
 
-@query("rank_test_pvalues")
+def _simpson_p(front: str, density: str, end: int) -> str:
+    """Twice the upper tail at z >= 0: one less twice the area from 0, by Simpson's rule; beyond ``end`` it prints as 0."""
+    return f"""CASE WHEN z > {end} THEN 0.0 ELSE GREATEST(0.0, 1 - 2 * {front} * z / 6000 * list_sum(
+      [CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * {density} for k in range(0, 2001)])) END"""
+
+
+_NORMAL_P = _simpson_p("1 / sqrt(2 * pi())", "exp(-((z * k / 2000) ** 2) / 2)", 8)
+_T_P = _simpson_p("exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())", "(1 + (z * k / 2000) ** 2 / df) ** (-(df + 1) / 2)", 40)
+
+
+@query(
+    "rank_test_pvalues",
+    f"""WITH {_MANN_WHITNEY}, p AS (SELECT 'mann_whitney' AS test, 'l_quantity' AS variable, {_NORMAL_P} AS p FROM (SELECT GREATEST(z, 0.0) AS z FROM mw)
+      UNION ALL SELECT 'welch', variable, {_T_P} FROM (SELECT variable, abs(statistic) AS z, df FROM ({_WELCH})))
+    SELECT test, variable, {r("p")} AS pvalue, CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS printed FROM p""",
+)
 def rank_test_pvalues(spark, folder):
     """p-values that need the normal and t tails, with their printed form."""
     li = table(spark, folder, "lineitem")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.models import cross_validated_auc
 from tidemark.operators.profiles import correlations
+from tidemark.operators.skew import null_safe_join
 from tidemark.operators.stattests import both_sides, ks_tests, shared_numeric
 
 
@@ -48,12 +49,17 @@ def category_shares(real: DataFrame, synth: DataFrame, col: str, group: Sequence
     counts = both.groupBy(*group, F.col(col).alias("category")).agg(
         F.sum(F.col("is_real")).alias("nr"), F.sum(1 - F.col("is_real")).alias("ns")
     )
-    whole = Window.partitionBy(*group)  # one row per category
+    sums = both.groupBy(*group).agg(F.sum("is_real").alias("tr"), F.sum(1 - F.col("is_real")).alias("ts"))
+    if group:
+        counts = null_safe_join(counts, sums, group)
+    else:
+        whole = sums.first()  # two numbers
+        counts = counts.withColumns({"tr": F.lit(whole["tr"]).cast("long"), "ts": F.lit(whole["ts"]).cast("long")})
     return counts.select(
         *group,
         "category",
-        F.try_divide(F.col("nr"), F.sum("nr").over(whole)).alias("real_share"),
-        F.try_divide(F.col("ns"), F.sum("ns").over(whole)).alias("synth_share"),
+        F.try_divide("nr", "tr").alias("real_share"),
+        F.try_divide("ns", "ts").alias("synth_share"),
     )
 
 

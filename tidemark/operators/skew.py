@@ -6,12 +6,13 @@ operators here first collapse equal values (map-side combine), then cut every
 column into value blocks of about equal size. A block is the unit of sorting;
 block totals, at most ``groups x blocks`` rows, carry the offsets between them.
 
-Inputs whose size is known to be small, by Spark's own upper estimate or by a
-count, take the plain form: there one task can hold any group.
+Inputs counted to have no more rows than one block take the plain form: there
+one task can hold any group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -22,27 +23,8 @@ from tidemark.functions.exprs import hash_uniform
 from tidemark.session import cut_lineage
 
 HOT_ROWS = 1_000_000
-SMALL_BYTES = 64 << 20
-SMALL_ROWS = 1_000_000
-_MULTIPLYING = ("Generate ", "MapInPandas", "FlatMapGroups", "FlatMapCoGroups", "Expand ")
-
-
-def block_count(df: DataFrame) -> int:
-    """Blocks per column: follows the session's shuffle width, within bounds."""
-    return max(4, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """Spark's own upper estimate of the size of ``df`` (no job is run).
-
-    Plans that multiply rows in ways the estimate does not follow (explode,
-    Python functions) count as unbounded.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    text = plan.toString()
-    if any(node in text for node in _MULTIPLYING):
-        return 1 << 62
-    return int(str(plan.stats().sizeInBytes()))
+BLOCK_ROWS = 4_000_000
+FIRST_BLOCKS = 64
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -73,22 +55,28 @@ Edges = Mapping[str, Sequence[float]]
 
 
 def fit_blocks(
-    df: DataFrame, cols: Sequence[str], n_blocks: int | None = None, small_rows: int = SMALL_ROWS,
-    small_bytes: int = SMALL_BYTES,
+    df: DataFrame, cols: Sequence[str], n_blocks: int | None = None, block_rows: int = BLOCK_ROWS
 ) -> Edges | None:
-    """Approximate quantile edges for all columns in one scan, or None for an
-    input small enough to need no blocks. The driver gets
-    ``len(cols) * n_blocks`` numbers; results never depend on where edges fall."""
-    if planned_bytes(df) < small_bytes:
-        return None
-    n = n_blocks or block_count(df)
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.percentile_approx(F.col(c).cast("double"), probs, 10 * n).alias(c) for c in cols],
-    ).first()
-    if row["__rows"] < small_rows:
-        return None
+    """Approximate quantile edges for all columns, or None for an input counted
+    to fit one block. A block has about ``block_rows`` rows at any size of the
+    input; one scan counts and finds edges, a second is made only where more
+    blocks are needed. Results never depend on where edges fall."""
+
+    def scan(n: int):
+        probs = [i / n for i in range(1, n)]
+        return df.agg(
+            F.count(F.lit(1)).alias("__rows"),
+            *[F.percentile_approx(F.col(c).cast("double"), probs, 10 * n).alias(c) for c in cols],
+        ).first()
+
+    n = n_blocks or FIRST_BLOCKS
+    row = scan(n)
+    if n_blocks is None:
+        wanted = math.ceil(row["__rows"] / block_rows)
+        if wanted <= 1:
+            return None
+        if wanted > n:
+            row = scan(wanted)
     return {c: sorted({float(v) for v in (row[c] or []) if v == v}) for c in cols}
 
 
@@ -184,17 +172,16 @@ def quantiles(
     probs: Sequence[float],
     group: Sequence[str] = (),
     n_blocks: int | None = None,
-    small_rows: int = SMALL_ROWS,
-    small_bytes: int = SMALL_BYTES,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per (group, variable).
 
-    Returns ``group..., variable, n, q0, q1, ...`` in the order of ``probs``.
+    A row counts ``weight`` times (once by default). Returns ``group..., variable, n, q0, q1, ...`` in the order of ``probs``.
     Only the blocks that hold a wanted rank are sorted.
     """
-    edges = fit_blocks(df, cols, n_blocks, small_rows, small_bytes)
+    edges = fit_blocks(df, cols, n_blocks)
     part = [*group, "variable"]
-    counts = value_sums(df, group, cols, edges)
+    counts = value_sums(df, group, cols, edges, {"cnt": F.col(weight)} if weight else None)
     if edges is None:
         ranked = running_sums(counts, part, ["cnt"], False).withColumnRenamed("cnt_before", "first")
     else:
@@ -234,10 +221,8 @@ def hot_groups(
     """Keys that own about ``hot_rows`` rows or more, or None when there are none.
 
     Hot keys are found on a sample, which only decides *how* a group is computed:
-    both ways are exact. Inputs whose planned size is small are not looked at.
+    both ways are exact.
     """
-    if hot_rows >= HOT_ROWS and planned_bytes(df) < SMALL_BYTES:
-        return None
     sample = df.select(*keys) if rate >= 1.0 else df.select(*keys).sample(rate, 7)
     hot = (
         sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
@@ -260,7 +245,7 @@ def hash_rank(
     """Add ``rank`` (1-based, random but reproducible order within each stratum)
     and ``stratum_rows``. Hash values are uniform, so equal slices of the hash
     range are equal blocks and no stratum is ever sorted as a whole."""
-    n = n_blocks or block_count(df)
+    n = n_blocks or max(4, math.ceil(df.count() / BLOCK_ROWS))
     u = hash_uniform(seed, *[F.col(c) for c in ids])
     blocked = df.withColumn("__u", u).withColumn("block", F.floor(F.col("__u") * n).cast("int"))
     counts = blocked.groupBy(*strata, "block").agg(F.count(F.lit(1)).alias("cnt"))

@@ -33,14 +33,16 @@ def shared_numeric(real: DataFrame, synth: DataFrame, exclude: Sequence[str] = (
 
 def ks_tests(
     real: DataFrame, synth: DataFrame, cols: Sequence[str], group: Sequence[str] = (), min_size: int = 1,
-    p_values: bool = True, method: str = "limit",
+    p_values: bool = True, method: str = "limit", weight: str | None = None,
 ) -> DataFrame:
     """Two-sample Kolmogorov–Smirnov per column: ``variable, n_real, n_synth,
     ks_stat, pvalue``. Samples below ``min_size`` give NULL. ``method`` names the
-    law of the p-value, ``limit`` or ``exact``, whatever the sample sizes."""
-    stacked = both_sides(real, synth, cols, group)
+    law of the p-value, ``limit`` or ``exact``, whatever the sample sizes. A row
+    counts ``weight`` times (once by default)."""
+    stacked = both_sides(real, synth, [*cols, *([weight] if weight else [])], group)
+    times = F.col(weight) if weight else F.lit(1)
     edges = fit_blocks(stacked, cols)
-    counts = value_sums(stacked, group, cols, edges, {"n1": F.col("is_real"), "n2": 1 - F.col("is_real")})
+    counts = value_sums(stacked, group, cols, edges, {"n1": F.col("is_real") * times, "n2": (1 - F.col("is_real")) * times})
     part = [*group, "variable"]
     runs = running_sums(counts, part, ["n1", "n2"], edges is not None)
     gap = F.abs(
@@ -58,11 +60,12 @@ def ks_tests(
 
 
 def distribution_shift(
-    real: DataFrame, predicted: DataFrame, channels: Sequence[str], group: Sequence[str] = (), alpha: float = 0.05
+    real: DataFrame, predicted: DataFrame, channels: Sequence[str], group: Sequence[str] = (), alpha: float = 0.05,
+    weight: str | None = None,
 ) -> DataFrame:
     """KS per channel on two windows; short channels are noted, not tested, and
     every row carries whether any channel of its group is significant."""
-    tests = ks_tests(real, predicted, channels, group, min_size=2)
+    tests = ks_tests(real, predicted, channels, group, min_size=2, weight=weight)
     anyw = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
     return tests.withColumn(
         "note", F.when(F.col("ks_stat").isNull(), F.lit("insufficient data"))
@@ -131,21 +134,22 @@ def chi_square(df: DataFrame, cols: Sequence[str], group: str, p_values: bool =
     cells = category_counts(df, cols, [group]).where(
         F.col("category").isNotNull() & F.col(group).isNotNull()
     )
+    # a category has one cell per group, so its window is short; a group may have
+    # a cell of every category, so its sums are aggregated and joined back
     rows = Window.partitionBy("variable", "category")
-    colw = Window.partitionBy("variable", group)
-    cells = cells.withColumn("r", F.sum("n").over(rows)).withColumn("c", F.sum("n").over(colw))
-    first_r = F.row_number().over(rows.orderBy(F.col(group))) == 1
-    first_c = F.row_number().over(colw.orderBy("category")) == 1
-    cells = cells.withColumn("fr", first_r).withColumn("fc", first_c)
+    cells = cells.withColumn("r", F.sum("n").over(rows))
+    cells = cells.withColumn("fr", F.row_number().over(rows.orderBy(F.col(group))) == 1)
+    sums = cells.groupBy("variable", group).agg(F.sum("n").alias("c"))
+    widths = sums.groupBy("variable").agg(
+        F.count(F.lit(1)).alias("n_cols"), F.sum(F.lit(1.0) / F.col("c")).alias("inv_c")
+    )
     o = F.col("n").cast("double")
-    agg = cells.groupBy("variable").agg(
+    agg = cells.join(sums, ["variable", group]).groupBy("variable").agg(
         F.sum("n").alias("n"),
         F.sum(o * o / (F.col("r").cast("double") * F.col("c"))).alias("s"),
         F.sum(F.col("fr").cast("int")).alias("n_rows"),
-        F.sum(F.col("fc").cast("int")).alias("n_cols"),
         F.sum(F.when(F.col("fr"), F.lit(1.0) / F.col("r"))).alias("inv_r"),
-        F.sum(F.when(F.col("fc"), F.lit(1.0) / F.col("c"))).alias("inv_c"),
-    )
+    ).join(widths, "variable")
     n = F.col("n").cast("double")
     plain = F.greatest(n * (F.col("s") - 1), F.lit(0.0))
     inverse_expected = n * F.col("inv_r") * F.col("inv_c")

@@ -119,10 +119,12 @@ def drift_report(
 
 def state_snapshot(
     observations: DataFrame, predictions: DataFrame, feedback: DataFrame, drift: DataFrame,
-    entity: str = "entity_id", time: str = "ts", last: int = 10,
+    entity: str = "entity_id", time: str = "ts", last: int = 10, metadata: DataFrame | None = None,
 ) -> DataFrame:
     """Counters, current drift and the last few predictions and feedback records.
 
+    Every observation is one assimilation; ``last_sync`` is the time of the last.
+    ``metadata`` (entity, metadata map) is carried along, an empty map where unknown.
     The record lists come from a top-n per key, never from whole histories.
     """
     def counts(df, name):
@@ -138,22 +140,31 @@ def state_snapshot(
             ).alias(name)
         )
 
+    synced = observations.groupBy(entity).agg(
+        F.count(F.lit(1)).alias("n_observations"), F.count(F.lit(1)).alias("n_assimilations"), F.max(time).alias("last_sync")
+    )
     parts = [
-        counts(observations, "n_observations"), counts(predictions, "n_predictions"), counts(feedback, "n_feedback"),
+        synced, counts(predictions, "n_predictions"), counts(feedback, "n_feedback"),
         drift.select(entity, "recent_drift"), tail(predictions, "predictions"), tail(feedback, "feedback"),
     ]
+    if metadata is not None:
+        parts.append(metadata.select(entity, "metadata"))
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, entity, "full")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     none = F.array().cast("array<string>")
+    if metadata is None:
+        out = out.withColumn("metadata", F.lit(None).cast("map<string,string>"))
     return out.select(
-        entity, zero("n_observations"), zero("n_predictions"), zero("n_feedback"),
+        entity, "last_sync", zero("n_assimilations"), zero("n_observations"), zero("n_predictions"), zero("n_feedback"),
         F.coalesce("recent_drift", F.lit(0.0)).alias("recent_drift"),
         F.coalesce("predictions", none).alias("predictions"), F.coalesce("feedback", none).alias("feedback"),
+        F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"),
     )
 
 
 def restore_state(snapshot: DataFrame, entity: str = "entity_id") -> DataFrame:
-    """Scalars that survive a restart; record lists are not restored."""
-    return snapshot.select(entity, "recent_drift", F.col("n_feedback").alias("n_assimilated"))
+    """What survives a restart: time of the last sync, counter, drift and
+    metadata; record lists and their counts start anew."""
+    return snapshot.select(entity, "last_sync", "n_assimilations", "recent_drift", "metadata")

@@ -45,7 +45,7 @@ def run_available(stream: DataFrame, mode: str = "append", base: str | None = No
         return spark.createDataFrame([], StructType([*stream.schema.fields, StructField("epoch", IntegerType())]))
 
 
-def latest(updates: DataFrame, key: str) -> DataFrame:
-    """Last emitted row per key of an update-mode run."""
-    cols = [c for c in updates.columns if c not in (key, "epoch")]
-    return updates.groupBy(key).agg(F.max_by(F.struct(*cols), "epoch").alias("s")).select(key, "s.*")
+def latest(updates: DataFrame, *keys: str) -> DataFrame:
+    """Last emitted row per key of an update-mode run. The keys may be null."""
+    cols = [c for c in updates.columns if c not in (*keys, "epoch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*cols), "epoch").alias("s")).select(*keys, "s.*")

@@ -1,18 +1,18 @@
 """Structured Streaming forms of ingest, pairing, drift and hourly resampling.
 
 Event time is the observation time. The default watermark is one hour: later
-rows are dropped by Spark and counted in its progress metrics.
+rows are dropped by Spark and counted in its progress metrics. Aggregates run in
+update mode: the last row per key (``run.latest``) is the state so far, with
+windows that are still open.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.skew import null_safe_join, quantiles
+from tidemark.operators.stattests import distribution_shift
 from tidemark.operators.twin import DRIFT_ALPHA, DRIFT_THRESHOLD, channel_errors, mean_error
 
 WATERMARK = "1 hour"
@@ -34,7 +34,8 @@ def log_predictions(stream: DataFrame, entity: str = "entity_id", time: str = "t
 def pair_feedback(
     predictions: DataFrame, actuals: DataFrame, within: str = "1 hour", watermark: str = WATERMARK
 ) -> DataFrame:
-    """Stream–stream join on ``prediction_id``; the actual follows within a bound.
+    """Stream–stream join on ``prediction_id``, which names one prediction; the
+    actual follows within a bound. State and output are linear in the actuals.
 
     ``predictions``: prediction_id, entity_id, ts, predicted;
     ``actuals``: prediction_id, actual_ts, actual.
@@ -47,61 +48,90 @@ def pair_feedback(
     return p.join(a, cond, "inner").drop("pid").withColumn("error", channel_errors("predicted", "actual"))
 
 
-def _fold(alpha: float, threshold: float):
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["t", "tie"], kind="stable")
-        ema, n = state.get if state.exists else (0.0, 0)
-        for e in rows["e"]:
-            n += 1
-            if pd.notna(e):
-                ema = float(e) if n == 1 else alpha * float(e) + (1 - alpha) * ema
-        state.update((ema, n))
-        yield pd.DataFrame(
-            {"entity_id": [key[0]], "recent_drift": [ema], "n_feedback": [n], "needs_recalibration": [ema > threshold]}
-        )
+def ema_blocks(
+    feedback: DataFrame, entity: str = "entity_id", time: str = "ts", tie: str | None = None, error: str = "error",
+    alpha: float = DRIFT_ALPHA, block: str = "1 hour", watermark: str = WATERMARK,
+) -> DataFrame:
+    """Moving average per (entity, time block), update mode.
+
+    State holds the records of the open blocks of an entity; the watermark
+    closes a block. A run of records folds to one pair, the number of non-empty
+    records and their weighted sum, so blocks may fill in any order and over any
+    number of micro-batches. ``folded_first`` is the sum for the block that
+    opens the entity's history. Records without a time are left out.
+    """
+    slim = feedback.withWatermark(time, watermark).select(
+        F.col(entity).alias("entity_id"), F.col(time).alias("t"),
+        (F.col(tie) if tie else F.lit(0)).alias("tie"), mean_error(error).alias("e"),
+    )
+    runs = slim.groupBy(F.window("t", block), "entity_id").agg(F.array_sort(F.collect_list(F.struct("t", "tie", "e"))).alias("run"))
+
+    def fold(run, start):
+        return F.aggregate(run, start, lambda s, x: F.when(x["e"].isNull(), s).otherwise(alpha * x["e"] + (1 - alpha) * s))
 
-    return update
+    opening = F.coalesce(F.element_at("run", 1)["e"], F.lit(0.0))
+    return runs.select(
+        "entity_id", F.col("window.start").alias("block_start"), F.size("run").cast("long").alias("n"),
+        F.size(F.filter("run", lambda x: x["e"].isNotNull())).alias("filled"),
+        fold(F.col("run"), F.lit(0.0)).alias("folded"),
+        fold(F.slice("run", 2, F.greatest(F.size("run"), F.lit(1))), opening).alias("folded_first"),
+    )
 
 
-def ema_drift(
-    feedback: DataFrame, entity: str = "entity_id", time: str = "ts", tie: str | None = None, error: str = "error",
-    alpha: float = DRIFT_ALPHA, threshold: float = DRIFT_THRESHOLD,
-) -> DataFrame:
-    """Running drift per entity (update mode), folded in event-time order inside
-    a micro-batch. State is two numbers per entity and outlives restarts in the
-    query's checkpoint."""
-    etype = dict(feedback.dtypes)[entity]
-    slim = feedback.select(
-        F.col(entity).alias("entity_id"),
-        F.unix_micros(F.col(time).cast("timestamp")).alias("t"),
-        (F.col(tie).cast("string") if tie else F.lit("")).alias("tie"),
-        mean_error(error).alias("e"),
+def drift_of_blocks(blocks: DataFrame, alpha: float = DRIFT_ALPHA, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """``entity_id, recent_drift, n_feedback, needs_recalibration`` from the
+    blocks of :func:`ema_blocks` (the last state of each)."""
+    by_time = Window.partitionBy("entity_id").orderBy("block_start")
+    later = Window.partitionBy("entity_id").orderBy(F.desc("block_start")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select(
+        "entity_id", "n",
+        F.when(F.row_number().over(by_time) == 1, F.col("folded_first")).otherwise(F.col("folded")).alias("s"),
+        F.coalesce(F.sum("filled").over(later), F.lit(0)).alias("after"),
     )
-    return slim.groupBy("entity_id").applyInPandasWithState(
-        _fold(alpha, threshold),
-        f"entity_id {etype}, recent_drift double, n_feedback long, needs_recalibration boolean",
-        "ema double, n long",
-        "update",
-        GroupStateTimeout.NoTimeout,
+    drift = placed.groupBy("entity_id").agg(
+        F.sum(F.col("s") * F.pow(F.lit(1.0 - alpha), F.col("after"))).alias("recent_drift"), F.sum("n").alias("n_feedback")
     )
+    return drift.withColumn("needs_recalibration", F.col("recent_drift") > threshold)
 
 
-def hourly_medians(
-    events: DataFrame, time: str, keys: list[str], value: str, watermark: str = WATERMARK
+def value_counts(
+    events: DataFrame, time: str, keys: list[str], value: str, window: str = "1 hour", watermark: str = WATERMARK
 ) -> DataFrame:
-    """Median per (keys, hour window), emitted once a window has closed.
+    """Rows per (window, keys, value), update mode.
 
-    Streaming state for an exact median holds the distinct values of the open
-    windows only; the watermark bounds it.
+    One state row per distinct value, so neither a hot key nor a window that
+    spans micro-batches gathers in one place. Exact medians and distribution
+    tests follow from the last counts (:func:`medians_of_counts`,
+    :func:`shift_of_counts`).
     """
     return (
         events.withWatermark(time, watermark)
-        .groupBy(F.window(time, "1 hour"), *keys)
-        .agg(F.median(value).alias("median_value"), F.count(F.lit(1)).alias("n"))
-        .select(F.col("window.start").alias("hour_start"), *keys, "median_value", "n")
+        .groupBy(F.window(time, window), *keys, F.col(value).cast("double").alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("window.start").alias("window_start"), *keys, "value", "n")
     )
 
 
+def medians_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Median and rows per (window, keys); rows without a value count, but have no part in the median."""
+    by = ["window_start", *keys]
+    med = quantiles(counts, ["value"], [0.5], by, weight="n").select(*by, F.col("q0").alias("median_value"))
+    rows = counts.groupBy(*by).agg(F.sum("n").alias("n"))
+    return null_safe_join(rows, med, by, "left").select(*by, "median_value", "n")
+
+
+def shift_of_counts(counts: DataFrame, channels: list[str], alpha: float = 0.05) -> DataFrame:
+    """KS of observed against predicted values per window and channel.
+
+    ``counts`` come from :func:`value_counts` with the keys ``is_real`` (1 for
+    observed, 0 for predicted) and ``channel``.
+    """
+    columns = [F.when(F.col("channel") == c, F.col("value")).alias(c) for c in channels]
+    wide = counts.select("window_start", "is_real", "n", *columns)
+    real, pred = wide.where("is_real = 1"), wide.where("is_real = 0")
+    return distribution_shift(real, pred, channels, ["window_start"], alpha, weight="n")
+
+
 def windowed_channel_sums(
     feedback: DataFrame, time: str = "ts", window: str = "1 hour", watermark: str = WATERMARK
 ) -> DataFrame:
@@ -113,18 +143,3 @@ def windowed_channel_sums(
         .agg(F.avg("err").alias("mae"), F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").alias("window_start"), "channel", "mae", "n")
     )
-
-
-def distribution_shift_sink(
-    channels: list[str], write: Callable[[DataFrame, int], None], window: str = "1 hour", time: str = "ts"
-) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: KS of observed against predicted channels per
-    tumbling window. Batches carry ``is_real`` 1 for observed, 0 for predicted."""
-    from tidemark.operators.stattests import distribution_shift
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        tagged = batch.withColumn("window_start", F.window(time, window)["start"])
-        real, pred = tagged.where("is_real = 1"), tagged.where("is_real = 0")
-        write(distribution_shift(real, pred, channels, ["window_start"]), epoch)
-
-    return run
