@@ -209,12 +209,10 @@ def table1_by_group(spark, folder):
     return t.drop("position")
 
 
-@query(
-    "cohort_comparison",
-    f"""WITH {CODED_SQL}, {FREETEXT_SQL}, b AS (
+COHORTS_SQL = f"""{CODED_SQL}, {FREETEXT_SQL}, b AS (
       SELECT 'primary' AS source, CAST(anchor_age AS DOUBLE) AS age, gender, CAST(hospital_expire_flag AS DOUBLE) AS dead, los, stroke_subtype AS st FROM static
-      UNION ALL SELECT 'external', CAST(anchor_age AS DOUBLE), gender, CAST(hospital_expire_flag AS DOUBLE), los, stroke_subtype FROM external)
-    SELECT source, metric, {r("v")} AS value FROM (
+      UNION ALL SELECT 'external', CAST(anchor_age AS DOUBLE), gender, CAST(hospital_expire_flag AS DOUBLE), los, stroke_subtype FROM external)"""
+COHORT_METRICS_SQL = f"""
       SELECT source, 'n_patients' AS metric, CAST(COUNT(*) AS DOUBLE) AS v FROM b GROUP BY source
       UNION ALL SELECT source, 'age_mean', AVG(age) FROM b GROUP BY source
       UNION ALL SELECT source, 'age_std', stddev_samp(age) FROM b GROUP BY source
@@ -224,8 +222,10 @@ def table1_by_group(spark, folder):
       UNION ALL SELECT source, 'los_median_days', MEDIAN(los) FROM b GROUP BY source
       UNION ALL SELECT source, 'los_iqr_25', quantile_cont(los, 0.25) FROM b GROUP BY source
       UNION ALL SELECT source, 'los_iqr_75', quantile_cont(los, 0.75) FROM b GROUP BY source
-      {" ".join(f"UNION ALL SELECT source, 'subtype_{s}_pct', 100.0 * SUM(CAST(st = '{s}' AS INT)) / COUNT(st) FROM b GROUP BY source" for s in vocab.SUBTYPES)})""",
-)
+      {" ".join(f"UNION ALL SELECT source, 'subtype_{s}_pct', 100.0 * SUM(CAST(st = '{s}' AS INT)) / COUNT(st) FROM b GROUP BY source" for s in vocab.SUBTYPES)}"""
+
+
+@query("cohort_comparison", f"WITH {COHORTS_SQL} SELECT source, metric, {r('v')} AS value FROM ({COHORT_METRICS_SQL})")
 def cohort_comparison(spark, folder):
     ext = extract_freetext_cohort(freetext_tables(spark, folder))
     both = stack_cohorts(static_features(spark, folder), ext, ("primary", "external"))

@@ -29,12 +29,12 @@ def corr_frobenius(spark, folder):
 @query(
     "category_abundance",
     f"""WITH s AS (SELECT o_orderpriority AS c, SUM(CAST(o_orderstatus = 'O' AS INT)) / (SELECT CAST(COUNT(*) AS DOUBLE) FROM orders WHERE o_orderstatus = 'O') AS x,
-      SUM(CAST(o_orderstatus = 'F' AS INT)) / (SELECT CAST(COUNT(*) AS DOUBLE) FROM orders WHERE o_orderstatus = 'F') AS y FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+      SUM(CAST(o_orderstatus <> 'O' AS INT)) / (SELECT CAST(COUNT(*) AS DOUBLE) FROM orders WHERE o_orderstatus <> 'O') AS y FROM orders GROUP BY 1)
     SELECT {r("SUM(abs(x - y))")} AS mca_manhattan FROM s""",
 )
 def category_abundance(spark, folder):
     o = table(spark, folder, "orders")
-    return rounded(fidelity.category_abundance(o.where("o_orderstatus = 'O'"), o.where("o_orderstatus = 'F'"), "o_orderpriority"))
+    return rounded(fidelity.category_abundance(o.where("o_orderstatus = 'O'"), o.where("o_orderstatus <> 'O'"), "o_orderpriority"))
 
 
 _RULES = {

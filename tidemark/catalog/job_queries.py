@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from tidemark.catalog.clinical import coded_tables, freetext_tables, static_features
 from tidemark.catalog.registry import query, r, rounded, table
+from tidemark.catalog.statistics import COHORT_TESTS_SQL
 from tidemark.operators.bayes import fit_network
 from tidemark.operators.prep import apply_minmax, fit_minmax
 from tidemark.plans.external_validation import validate_externally
@@ -68,7 +69,7 @@ def report_tables(spark, folder):
     )
 
 
-@query("external_validation")
+@query("external_validation", COHORT_TESTS_SQL)
 def external_validation(spark, folder):
     primary = cut_lineage(static_features(spark, folder))
     return validate_externally(freetext_tables(spark, folder), _place(spark, "external"), primary)["comparison"]

@@ -11,15 +11,18 @@ from tidemark.plans.preprocessing import preprocess_series
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
-# one row per (user, whole hour since the epoch) with the mean value per event type
-HOURLY_SQL = f"""hourly AS (SELECT user_id, CAST(floor(epoch_us(ts) / 3600000000.0) AS BIGINT) - 473352 AS hour,
-  {", ".join(f"AVG(CASE WHEN event_type = '{t}' THEN value END) AS {t}" for t in TYPES)} FROM events GROUP BY ALL)"""
+# one row per (user, whole hour since the user's first) with the mean value per event type
+HOURLY_SQL = f"""hourly AS (SELECT user_id, h - MIN(h) OVER (PARTITION BY user_id) AS hour, {", ".join(TYPES)} FROM (
+  SELECT user_id, CAST(floor(epoch_us(ts) / 3600000000.0) AS BIGINT) AS h,
+    {", ".join(f"AVG(CASE WHEN event_type = '{t}' THEN value END) AS {t}" for t in TYPES)} FROM events GROUP BY ALL))"""
 
 
 def hourly(spark, folder):
     ev = table(spark, folder, "events")
-    hour = (F.floor(micros("ts") / F.lit(3_600_000_000)) - F.lit(473352)).alias("hour")
-    return ev.groupBy("user_id", hour).agg(*[F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in TYPES])
+    hour = F.floor(micros("ts") / F.lit(3_600_000_000)).alias("hour")
+    means = ev.groupBy("user_id", hour).agg(*[F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in TYPES])
+    starts = means.groupBy("user_id").agg(F.min("hour").alias("start"))
+    return means.join(starts, "user_id").select("user_id", (F.col("hour") - F.col("start")).alias("hour"), *TYPES)
 
 
 @query(

@@ -5,12 +5,14 @@ import math
 from pyspark.sql import functions as F
 
 from tidemark.catalog.clinical import freetext_tables, static_features
+from tidemark.catalog.descriptive import COHORT_METRICS_SQL, COHORTS_SQL
 from tidemark.catalog.feedback_queries import shift_sql
 from tidemark.catalog.registry import query, r, rounded, table
 from tidemark.operators import stattests as st
 from tidemark.plans.cohort_jobs import extract_freetext_cohort
 from tidemark.plans.comparison import compare_cohorts
 from tidemark.plans.report import stratified_table_one
+from tidemark.session import cut_lineage
 
 LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -239,13 +241,35 @@ def prediction_interval(spark, folder):
     return rounded(m.select("event_type", lo.alias("lower"), hi.alias("upper")))
 
 
-@query("cohort_comparison_tests")
+def _two_by_two(name: str, flag: str) -> str:
+    """Corrected chi-square of a 0/1 flag against the source, with the square root as a normal statistic."""
+    return f"""SELECT '{name}' AS test, sqrt(SUM((abs(o - e) - LEAST(0.5, abs(o - e))) ** 2 / e)) AS z FROM (
+      SELECT o, SUM(o) OVER (PARTITION BY f) * SUM(o) OVER (PARTITION BY source) / SUM(o) OVER () AS e FROM (
+        SELECT {flag} AS f, source, CAST(COUNT(*) AS DOUBLE) AS o FROM b WHERE {flag} IS NOT NULL GROUP BY ALL))"""
+
+
+COHORT_TESTS_SQL = f"""WITH {COHORTS_SQL}, m AS ({COHORT_METRICS_SQL}),
+  age AS (SELECT source, AVG(age) AS m, var_samp(age) / COUNT(age) AS v, COUNT(age) AS n FROM b GROUP BY source),
+  los AS (SELECT source, los, AVG(rn) OVER (PARTITION BY los) AS rk FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY los) AS rn FROM b WHERE los IS NOT NULL)),
+  lt AS (SELECT SUM(t * t * t - t) AS t FROM (SELECT CAST(COUNT(*) AS DOUBLE) AS t FROM los GROUP BY los)),
+  ls AS (SELECT CAST(COUNT(*) FILTER (source = 'primary') AS DOUBLE) AS n1, CAST(COUNT(*) FILTER (source = 'external') AS DOUBLE) AS n2, SUM(rk) FILTER (source = 'primary') AS r1 FROM los),
+  lu AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, n1 + n2 AS n FROM ls),
+  z AS ({_two_by_two("gender", "CAST(COALESCE(gender IN ('M', 'Male'), FALSE) AS INT)")} UNION ALL {_two_by_two("mortality", "CAST(dead AS INT)")}
+    UNION ALL SELECT 'los', GREATEST(0.0, (GREATEST(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - t / (n * (n - 1))))) FROM lu, lt),
+  p AS (SELECT test, {_NORMAL_P} AS p FROM z UNION ALL SELECT 'anchor_age', {_T_P} FROM (
+    SELECT abs(x.m - y.m) / sqrt(x.v + y.v) AS z, (x.v + y.v) ** 2 / (x.v * x.v / (x.n - 1) + y.v * y.v / (y.n - 1)) AS df FROM age x, age y WHERE x.source = 'primary' AND y.source = 'external'))
+  SELECT w.*, round(p, 4) AS p_value FROM (SELECT metric, round(MAX(v) FILTER (source = 'primary'), 1) AS "primary", round(MAX(v) FILTER (source = 'external'), 1) AS "external" FROM m GROUP BY metric) w
+  LEFT JOIN p ON p.test = CASE WHEN metric IN ('age_mean', 'age_std', 'age_median') THEN 'anchor_age' WHEN metric = 'pct_male' THEN 'gender'
+    WHEN metric = 'mortality_pct' THEN 'mortality' WHEN metric LIKE 'los_%' THEN 'los' END"""
+
+
+@query("cohort_comparison_tests", COHORT_TESTS_SQL)
 def cohort_comparison_tests(spark, folder):
-    return compare_cohorts(static_features(spark, folder), extract_freetext_cohort(freetext_tables(spark, folder)))
+    return compare_cohorts(cut_lineage(static_features(spark, folder)), extract_freetext_cohort(freetext_tables(spark, folder)))
 
 
 @query("table1_with_tests")
 def table1_with_tests(spark, folder):
-    static = static_features(spark, folder)
+    static = cut_lineage(static_features(spark, folder))
     return stratified_table_one(static, "stroke_subtype", ["ischemic", "ich", "sah", "tia", "other"],
                                 {"gender": "Gender — F", "hospital_expire_flag": "In-hospital mortality"})

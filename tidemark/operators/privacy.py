@@ -88,20 +88,26 @@ def membership_from_distances(
 
 def attack_summary(mixed: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """``member, distance`` rows to ``mia_f1, median_nn_distance, mean_nn_distance``."""
-    mixed = cut_lineage(mixed.withColumn("__k", F.lit(1)))
-    keys = [*group, "__k"]
-    median = lambda d, name: quantiles(d, ["distance"], [0.5], keys).select(*keys, F.col("q0").alias(name))
-    tagged = null_safe_join(mixed, median(mixed, "threshold"), keys)
+    mixed = cut_lineage(mixed)
+
+    def with_median(to: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        median = quantiles(of, ["distance"], [0.5], group)
+        if group:
+            return null_safe_join(to, median.select(*group, F.col("q0").alias(name)), group, "left")
+        row = median.first()  # one number
+        return to.withColumn(name, F.lit(row["q0"] if row else None).cast("double"))
+
+    tagged = with_median(mixed, mixed, "threshold")
     guess = F.col("distance") < F.col("threshold")
     one = lambda c: F.sum(c.cast("long"))
-    counts = tagged.groupBy(*keys).agg(
+    counts = tagged.groupBy(*group).agg(
         one(guess & F.col("member")).alias("tp"),
         one(guess & ~F.col("member")).alias("fp"),
         one(~guess & F.col("member")).alias("fn"),
         F.avg(F.when(~F.col("member"), F.col("distance"))).alias("mean_nn_distance"),
     )
     f1 = F.try_divide(2.0 * F.col("tp"), 2.0 * F.col("tp") + F.col("fp") + F.col("fn"))
-    return null_safe_join(counts, median(mixed.where(~F.col("member")), "median_nn_distance"), keys).select(
+    return with_median(counts, mixed.where(~F.col("member")), "median_nn_distance").select(
         *group, F.coalesce(f1, F.lit(0.0)).alias("mia_f1"), "median_nn_distance", "mean_nn_distance"
     )
 
