@@ -259,6 +259,40 @@ def test_model_scores_odd_rows(odd, none):
     assert hpylm.language_model_scores(none).count() == 0
 
 
+def test_rare_context_words_predict_what_follows_them(spark):
+    rng = np.random.default_rng(6)
+    number = 4_500  # each word is one of 13,500 tokens or fewer
+    held, learned = ([i for i in range(3_000) if (zlib.crc32(str(i).encode()) % 7 == 2) == h] for h in (True, False))
+    rows = []
+    for _ in range(3):
+        order = rng.permutation(number)
+        rows += [(learned.pop(), " ".join(f"a{k} b{k}" for k in order[i : i + 10])) for i in range(0, number, 10)]
+    asked = rng.permutation(number)[:400]
+    right, wrong = held.pop(), held.pop()
+    rows += [(right, " ".join(f"a{k} b{k}" for k in asked)), (wrong, " ".join(f"a{k} b{j}" for k, j in zip(asked, np.roll(asked, 1), strict=True)))]
+    docs = cut_lineage(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = {r.doc_id: r.score for r in hpylm.language_model_scores(docs, chunk_tokens=3_000).collect()}
+    assert got[right] - got[wrong] > len(asked)
+    cut = hpylm.language_model_scores(docs, chunk_tokens=3_000, part_sums=700)
+    assert {r.doc_id: r.score for r in cut.collect()} == pytest.approx(got)
+
+
+def test_totals_of_contexts_are_sums_over_all_buckets():
+    rng = np.random.default_rng(7)
+    names = [np.unique(rng.integers(0, 60, size=40)).astype(np.uint64) << np.uint64(58) for _ in range(5)]
+    customers = [rng.integers(1, 9, size=len(x)) for x in names]
+    blocks = [{"part": 0, "bucket": k, "n": len(x), "names": hpylm._pack(x), "sums": hpylm._pack(c)} for k, (x, c) in enumerate(zip(names, customers, strict=True))]
+    want = collections.Counter()
+    for x, c in zip(names, customers, strict=True):
+        want.update(dict(zip(x.tolist(), c.tolist(), strict=True)))
+    import pyarrow as pa
+
+    placed = hpylm._place((pa.scalar(0),), pa.Table.from_pylist(blocks))
+    added = hpylm._add_up((pa.scalar(0),), pa.Table.from_pylist(blocks).select(["part", "bucket", "sums"]), placed)
+    for table in (placed, added):
+        assert {r["bucket"]: hpylm._totals_of([r]).tolist() for r in table.to_pylist()} == {k: [want[i] for i in x.tolist()] for k, x in enumerate(names)}
+
+
 def test_predictive_probabilities_sum_to_one():
     """Over every word of the vocabulary and one unknown word, at the root and in a context below it."""
     rng = np.random.default_rng(3)

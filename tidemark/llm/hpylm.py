@@ -1,13 +1,13 @@
 """Language-model scores from a hierarchical Pitman-Yor model, seated by Gibbs sampling on Spark.
 
-One restaurant stands at the root, one for each context. The context of a token is the word before it (the end mark at the
-start of a text) if that word makes up at least 1/``context_share`` of the training tokens, else one shared context of rare
-words: so there are at most ``context_share + 2`` restaurants at any corpus size, all with the root as parent, whose own parent
-is uniform over the vocabulary and one unknown word. Customers are counted over all training tokens. A Gibbs sweep draws the
-number of tables of each (context, word) given all other seats: exactly, from the distribution that generalised Stirling
+One restaurant stands at the root, one for each context. The context of a token is the word before it, whatever its count (the
+end mark at the start of a text): the number of restaurants grows with the vocabulary. All have the root as parent, whose own
+parent is uniform over the vocabulary and one unknown word. Customers are counted over all training tokens. A Gibbs sweep draws
+the number of tables of each (context, word) given all other seats: exactly, from the distribution that generalised Stirling
 numbers give, up to ``STIRLING`` customers, else from the limit of that distribution for many customers. Dishes are dealt over
-tasks by word, so all seats of a word, with its root restaurant, lie together; only the bounded totals of the restaurants
-pass between sweeps. Predictive probabilities are averaged over the kept sweeps.
+tasks by word, so all seats of a word, with its root restaurant, lie together. Between sweeps the tables of each context are
+summed over these buckets in parts, which are ranges of context hashes, and each bucket is sent the totals of its own contexts
+only; no task, nor the driver, holds all contexts. Predictive probabilities are averaged over the kept sweeps.
 
 Texts are coded once: rows of ``CHUNK_TOKENS`` tokens with word numbers of their own, kept as a table; counts and
 probabilities travel as byte blocks in the order of those numbers.
@@ -29,14 +29,15 @@ from tidemark.llm.common import LOWER_ASCII, as_bytes, cut_lineage
 END = b""
 CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
+#: (bucket, context) sums added up in one task
+PART_SUMS = 2_000_000
 STIRLING = 512
 
 
 @dataclass(frozen=True)
 class ModelRule:
-    """context_share: see above; burn_in and kept: sweeps before and in the average; strength: of contexts and root; seed."""
+    """burn_in and kept: sweeps before and in the average; strength: of contexts and root; seed."""
 
-    context_share: int = 4_000
     burn_in: int = 2
     kept: int = 3
     strength: float = 1.0
@@ -133,21 +134,16 @@ class Coded:
         self.words = _unpack(row["words"], np.uint64, self.n_words)
         self.train = np.repeat(~self.held, self.lengths)
 
-    def contexts(self, hashes: np.ndarray) -> np.ndarray:
-        """The context number of each token: the place of the word before it among sorted ``hashes``, else their number."""
-        at = np.searchsorted(hashes, self.words)
-        known = at < len(hashes)
-        known[known] = hashes[at[known]] == self.words[known]
-        of_word = np.where(known, at, len(hashes)).astype(np.int64)
-        before = np.empty(len(self.tokens), np.uint32)
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (word, context) keys in order, training counts of each, and the key of each token.
+
+        Both are word numbers of this row: a key is word * n_words + context.
+        """
+        before = np.empty(len(self.tokens), np.int64)
         before[1:] = self.tokens[:-1]  # a text follows the end mark of the one before
         before[:1] = np.searchsorted(self.words, np.uint64(xxhash.xxh64_intdigest(END)))
-        return of_word[before]
-
-    def pairs(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (word, context) keys in order, training counts of each, and the key of each token."""
-        every = self.tokens.astype(np.int64) * (len(hashes) + 1) + self.contexts(hashes)
-        keys, at = np.unique(every, return_inverse=True)
+        before += self.tokens.astype(np.int64) * self.n_words
+        keys, at = np.unique(before, return_inverse=True)
         return keys, np.bincount(at, weights=self.train, minlength=len(keys)).astype(np.int64), at
 
 
@@ -158,48 +154,6 @@ def _rows(batches):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-# --- contexts -------------------------------------------------------------------------------------------------------------
-
-
-def _frequent(batches, share: int):
-    """Words that reach a quarter of the share within a chunk, with their counts there."""
-    import pyarrow as pa
-
-    for row in _rows(batches):
-        own = Coded(row)
-        n = np.bincount(own.tokens, weights=own.train, minlength=own.n_words).astype(np.int64)
-        some = np.flatnonzero((n > 0) & (4 * n * share >= own.train.sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(own.words[some].view(np.int64)), pa.array(n[some])], ["word", "n"])
-
-
-def _count_words(batches, shared):
-    import pyarrow as pa
-
-    for row in _rows(batches):
-        own, wanted = Coded(row), shared.value
-        n = np.bincount(own.tokens, weights=own.train, minlength=own.n_words).astype(np.int64)
-        at = np.searchsorted(own.words, wanted)
-        there = at < own.n_words
-        there[there] = own.words[at[there]] == wanted[there]
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[there].view(np.int64)), pa.array(n[at[there]])], ["word", "n"])
-
-
-def contexts_of(coded: DataFrame, rule: ModelRule) -> tuple[np.ndarray, int]:
-    """Hashes, sorted, of the words with a context of their own, and the number of training tokens.
-
-    A word that reaches the share of all tokens keeps at least three quarters of that when its counts in chunks where it has
-    less than a quarter of the share are left out. At most 4/3 ``context_share`` words do; these are counted exactly.
-    """
-    share, spark = rule.context_share, coded.sparkSession
-    total = coded.select("n_docs", "held", "lengths").mapInArrow(_train_tokens, "n bigint").agg(F.sum("n")).first()[0] or 0
-    seen = coded.mapInArrow(lambda b: _frequent(b, share), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    candidates = seen.where(4 * F.col("n") * share >= 3 * total).collect()
-    wanted = spark.sparkContext.broadcast(np.sort(np.array([r.word for r in candidates], np.int64).view(np.uint64)))
-    counts = coded.mapInArrow(lambda b: _count_words(b, wanted), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") * share >= max(1, total)).collect()
-    return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64)), int(total)
-
-
 def _train_tokens(batches):
     import pyarrow as pa
 
@@ -212,37 +166,42 @@ def _train_tokens(batches):
 # --- customers ------------------------------------------------------------------------------------------------------------
 
 
-SEATS = "bucket int, chunk bigint, n_words bigint, n_pairs bigint, words binary, widths binary, contexts binary, counts binary"
+SEATS = (
+    "bucket int, chunk bigint, n_words bigint, n_pairs bigint, n_contexts bigint, words binary, widths binary, names binary, "
+    "contexts binary, counts binary"
+)
+
 
+def _emit_counts(batches, n_buckets: int):
+    """For each bucket with words of a chunk: these words, how many contexts each has, those contexts, and training counts.
 
-def _emit_counts(batches, shared, n_buckets: int):
-    """For each bucket with words of a chunk: these words, how many contexts each has, those contexts, and training counts."""
+    names: hashes of the contexts, once each and in order; contexts: their places there.
+    """
     import pyarrow as pa
 
-    hashes = shared.value
-    wide = len(hashes) + 1
     for row in _rows(batches):
         own = Coded(row)
-        keys, counts, _ = own.pairs(hashes)
-        word_of, context = keys // wide, (keys % wide).astype(np.uint32)
+        keys, counts, _ = own.pairs()
+        word_of, context = keys // own.n_words, (keys % own.n_words).astype(np.uint32)
         bucket_of = (own.words // np.uint64(-(-(1 << 64) // n_buckets))).astype(np.int64)  # ranges of equal width
         found, starts = np.unique(bucket_of, return_index=True)
         ends = np.append(starts[1:], own.n_words)
         a, b = np.searchsorted(word_of, starts), np.searchsorted(word_of, ends)
         widths = np.bincount(word_of, minlength=own.n_words).astype(np.uint32)
         counts = counts.astype(np.uint32)
-        out = [
-            (int(k), row["chunk"], int(hi - lo), int(y - x), _pack(own.words[lo:hi]), _pack(widths[lo:hi]), _pack(context[x:y]), _pack(counts[x:y]))
-            for k, lo, hi, x, y in zip(found, starts, ends, a, b, strict=True)
-        ]
+        out = []
+        for k, lo, hi, x, y in zip(found, starts, ends, a, b, strict=True):
+            names, at = np.unique(context[x:y], return_inverse=True)
+            blobs = [own.words[lo:hi], widths[lo:hi], own.words[names], at.astype(np.uint32), counts[x:y]]
+            out.append((int(k), row["chunk"], int(hi - lo), int(y - x), len(names), *map(_pack, blobs)))
         names = [c.strip().split()[0] for c in SEATS.split(",")]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
 BUCKET = (
-    "bucket int, n_words bigint, n_pairs bigint, vocabulary bigint, singles bigint, doubles bigint, words binary, word_at binary, "
-    "contexts binary, counts binary, chunks array<bigint>, chunk_words array<bigint>, chunk_pairs array<bigint>, word_places binary, pair_places binary"
+    "bucket int, n_words bigint, n_pairs bigint, n_contexts bigint, vocabulary bigint, singles bigint, doubles bigint, words binary, "
+    "word_at binary, names binary, contexts binary, counts binary, chunks array<bigint>, chunk_words array<bigint>, chunk_pairs array<bigint>, word_places binary, pair_places binary"
 )
 
 
@@ -255,25 +214,95 @@ def _gather(key, table):
     words = [_unpack(r["words"], np.uint64, r["n_words"]) for r in rows]
     every, places = np.unique(np.concatenate(words), return_inverse=True)
     at = np.split(places, np.cumsum([len(w) for w in words])[:-1])
-    context = np.concatenate([_unpack(r["contexts"], np.uint32, r["n_pairs"]) for r in rows]).astype(np.int64)
+    names = [_unpack(r["names"], np.uint64, r["n_contexts"]) for r in rows]
+    known, places_of = np.unique(np.concatenate(names), return_inverse=True)
+    own = np.split(places_of, np.cumsum([len(x) for x in names])[:-1])
+    context = np.concatenate([a[_unpack(r["contexts"], np.uint32, r["n_pairs"])] for a, r in zip(own, rows, strict=True)])
     counts = np.concatenate([_unpack(r["counts"], np.uint32, r["n_pairs"]) for r in rows]).astype(np.int64)
     word = np.concatenate([np.repeat(a, _unpack(r["widths"], np.uint32, r["n_words"])) for a, r in zip(at, rows, strict=True)])
-    wide = int(context.max(initial=0)) + 1
+    wide = len(known)
     keys, pair_places = np.unique(word * wide + context, return_inverse=True)
     total = np.bincount(pair_places, weights=counts, minlength=len(keys)).astype(np.int64)
     word_at = (keys // wide).astype(np.int64)
     of_word = np.bincount(word_at, weights=total, minlength=len(every))
     values = [
-        rows[0]["bucket"], len(every), len(keys), int((of_word > 0).sum()), int((total == 1).sum()), int((total == 2).sum()),
-        _pack(every), _pack(word_at.astype(np.uint32)), _pack((keys % wide).astype(np.uint32)), _pack(total),
+        rows[0]["bucket"], len(every), len(keys), len(known), int((of_word > 0).sum()), int((total == 1).sum()), int((total == 2).sum()),
+        _pack(every), _pack(word_at.astype(np.uint32)), _pack(known), _pack((keys % wide).astype(np.uint32)), _pack(total),
         [r["chunk"] for r in rows], [r["n_words"] for r in rows], [r["n_pairs"] for r in rows],
         _pack(places.astype(np.uint32)), _pack(pair_places.astype(np.uint32)),
     ]
     names = [c.strip().split()[0] for c in BUCKET.split(",")]
-    kinds = [pa.int32(), *[pa.int64()] * 5, *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 2]
+    kinds = [pa.int32(), *[pa.int64()] * 6, *[pa.binary()] * 5, *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 2]
     return pa.table([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
 
+# --- contexts -------------------------------------------------------------------------------------------------------------
+
+PLACES = "part int, bucket int, n bigint, places binary, totals binary"
+
+
+def _emit_contexts(batches, n_parts: int):
+    """For each part with contexts of a bucket: their hashes, in order, and their customers there."""
+    import pyarrow as pa
+
+    starts = np.array([k * -(-(1 << 64) // n_parts) for k in range(1, n_parts)], np.uint64)  # ranges of equal width
+    for row in _rows(batches):
+        names = _unpack(row["names"], np.uint64, row["n_contexts"])
+        counts = _unpack(row["counts"], np.int64, row["n_pairs"])
+        customers = np.bincount(_unpack(row["contexts"], np.uint32, row["n_pairs"]), weights=counts, minlength=len(names)).astype(np.int64)
+        cuts = np.searchsorted(names, starts)
+        out = [
+            (k, row["bucket"], len(a), _pack(a), _pack(b))
+            for k, (a, b) in enumerate(zip(np.split(names, cuts), np.split(customers, cuts), strict=True))
+            if len(a)
+        ]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "bucket", "n", "names", "sums"])
+
+
+def _place(key, table):
+    """Where each bucket finds its contexts among those of a part, as steps from the one before, and their customers in all."""
+    import pyarrow as pa
+
+    rows = table.to_pylist()
+    names = [_unpack(r["names"], np.uint64, r["n"]) for r in rows]
+    _, places = np.unique(np.concatenate(names), return_inverse=True)
+    total = np.bincount(places, weights=np.concatenate([_unpack(r["sums"], np.int64, r["n"]) for r in rows])).astype(np.int64)
+    own = np.split(places, np.cumsum([len(x) for x in names])[:-1])
+    out = [
+        (r["part"], r["bucket"], r["n"], _pack(np.diff(at, prepend=0).astype(np.uint32)), _pack(total[at]))
+        for r, at in zip(rows, own, strict=True)
+    ]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+    return pa.table(columns, names=[c.strip().split()[0] for c in PLACES.split(",")])
+
+
+def _add_up(key, left, right):
+    """Sums of the buckets over the contexts of one part; each bucket gets the totals of its own contexts."""
+    import pyarrow as pa
+
+    at = {r["bucket"]: np.cumsum(_unpack(r["places"], np.uint32, r["n"]), dtype=np.int64) for r in right.to_pylist()}
+    total = np.zeros(1 + max((int(x[-1]) for x in at.values()), default=-1), np.int64)
+    for r in left.to_pylist():
+        own = at[r["bucket"]]
+        total[own] += _unpack(r["sums"], np.int64, len(own))  # a bucket names a context once
+    out = [(int(key[0].as_py()), k, len(x), _pack(total[x])) for k, x in at.items()]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    columns = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
+    return pa.table(columns, names=["part", "bucket", "n", "totals"])
+
+
+def _by_bucket(totals: DataFrame) -> DataFrame:
+    """bucket, parts: all totals sent to a bucket, in the order of its contexts."""
+    return cut_lineage(totals.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("part", "n", "totals"))).alias("parts")))
+
+
+def _totals_of(parts: list[dict]) -> np.ndarray:
+    return np.concatenate([_unpack(p["totals"], np.int64, p["n"]) for p in parts])
+
+
 # --- seating --------------------------------------------------------------------------------------------------------------
 
 
@@ -314,9 +343,9 @@ def draw_tables(counts: np.ndarray, other: np.ndarray, parent: np.ndarray, disco
 
 @dataclass
 class Totals:
-    """What restaurants know of themselves: customers and tables of each context, and of the root."""
+    """What restaurants know of themselves: customers and tables of each context at hand, and of the root."""
 
-    customers: np.ndarray
+    customers: np.ndarray | None
     tables: np.ndarray
     root_customers: int
     root_tables: int
@@ -328,7 +357,9 @@ def root_probability(customers, tables, totals: Totals, discount: float, rule: M
     return (np.maximum(customers - discount * tables, 0) + rest) / (rule.root_strength + totals.root_customers)
 
 
-SWEEP = "bucket int, tables binary, root binary, of_context array<bigint>, root_customers bigint, root_tables bigint"
+SWEEP = (
+    "bucket int, tables binary, root binary, of_context array<struct<part: int, sums: binary>>, root_customers bigint, root_tables bigint"
+)
 
 
 def _sweep(batches, shared, rule: ModelRule, number: int):
@@ -336,8 +367,8 @@ def _sweep(batches, shared, rule: ModelRule, number: int):
     import pyarrow as pa
 
     p = shared.value
-    totals: Totals | None = p["totals"]
     for row in _rows(batches):
+        totals = Totals(None, _totals_of(row["parts"]), *p["root"]) if p["root"] else None
         n, words = row["n_pairs"], row["n_words"]
         counts = _unpack(row["counts"], np.int64, n)
         context, word = _unpack(row["contexts"], np.uint32, n), _unpack(row["word_at"], np.uint32, n)
@@ -357,31 +388,16 @@ def _sweep(batches, shared, rule: ModelRule, number: int):
             other = np.maximum(totals.root_tables - root_before, 0).astype(float)
             flat = np.full(words, 1 / (p["vocabulary"] + 1))
             root = draw_tables(at_root, other, flat, p["root_discount"], rule.root_strength, p["root_stirling"], rng)
-        of_context = np.bincount(context, weights=tables, minlength=p["contexts"]).astype(np.int64)
+        sums = np.bincount(context, weights=tables, minlength=row["n_contexts"]).astype(np.int64)
+        sums = np.split(sums, np.cumsum([x["n"] for x in row["parts"]])[:-1])
+        of_context = [{"part": x["part"], "sums": _pack(n)} for x, n in zip(row["parts"], sums, strict=True)]
         values = [row["bucket"], _pack(tables), _pack(root), of_context, int(at_root.sum()), int(root.sum())]
-        names = [c.strip().split()[0] for c in SWEEP.split(",")]
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+        names = ["bucket", "tables", "root", "of_context", "root_customers", "root_tables"]
+        sent = pa.list_(pa.struct([("part", pa.int32()), ("sums", pa.binary())]))
+        kinds = [pa.int32(), pa.binary(), pa.binary(), sent, pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
 
 
-def _context_customers(batches, n_contexts: int):
-    import pyarrow as pa
-
-    total = np.zeros(n_contexts, np.int64)
-    for row in _rows(batches):
-        counts = _unpack(row["counts"], np.int64, row["n_pairs"])
-        total += np.bincount(_unpack(row["contexts"], np.uint32, row["n_pairs"]), weights=counts, minlength=n_contexts).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], ["n"])
-
-
-def _summed(df: DataFrame, column: str, n: int) -> np.ndarray:
-    """Element-wise sum of equally long arrays, combined on the executors."""
-    out = np.zeros(n, np.int64)
-    for r in df.select(F.posexplode(column).alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r.i] = r.n
-    return out
-
-
 def _discount(singles: int, doubles: int) -> float:
     """The usual estimate from counts of counts, kept inside (0, 1)."""
     return min(0.95, max(0.05, singles / (singles + 2 * doubles))) if singles + doubles else 0.5
@@ -401,8 +417,9 @@ def _predict(batches, shared, rule: ModelRule):
         n, words = row["n_pairs"], row["n_words"]
         counts = _unpack(row["counts"], np.int64, n)
         context, word = _unpack(row["contexts"], np.uint32, n), _unpack(row["word_at"], np.uint32, n)
-        sum_p = np.zeros(n)
-        for k, totals in enumerate(p["kept"]):
+        sum_p, customers = np.zeros(n), _totals_of(row["customers"])
+        for k, of_root in enumerate(p["kept"]):
+            totals = Totals(customers, _totals_of(row[f"parts_{k}"]), *of_root)
             tables, root = _unpack(row[f"tables_{k}"], np.int64, n), _unpack(row[f"root_{k}"], np.int64, words)
             at_root = np.bincount(word, weights=tables, minlength=words)
             parent = root_probability(at_root, root, totals, p["root_discount"], rule, p["vocabulary"])[word]
@@ -434,7 +451,7 @@ def _score(key, left, right, shared, id_kind):
     blocks = sorted(right.to_pylist(), key=lambda r: r["bucket"])
     counts = np.concatenate([_unpack(r["counts"], np.int64, r["n_words"]) for r in blocks])
     scores = np.concatenate([_unpack(r["scores"], np.float32, r["n_pairs"]) for r in blocks])
-    _, _, at = own.pairs(p["hashes"])
+    _, _, at = own.pairs()
     n, v = p["train_tokens"], p["vocabulary"]
     base = np.log10((counts + 1) / (n + 1 * (v + 1)))
     starts = np.concatenate([[0], np.cumsum(own.lengths)[:-1]])
@@ -451,7 +468,9 @@ def _score(key, left, right, shared, id_kind):
     )
 
 
-def language_model_scores(docs: DataFrame, rule: ModelRule = ModelRule(), chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def language_model_scores(
+    docs: DataFrame, rule: ModelRule = ModelRule(), chunk_tokens: int = CHUNK_TOKENS, part_sums: int = PART_SUMS
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per document row.
 
     score: the model's log10 probability of the text with its end mark; perplexity is 10 ** (-score / n_tokens). base_score: the
@@ -466,38 +485,47 @@ def language_model_scores(docs: DataFrame, rule: ModelRule = ModelRule(), chunk_
     # numbered before it is written: the number is part of the table and stays the same in all later reads
     coded = cut_lineage(coded.withColumn("chunk", F.monotonically_increasing_id()))
 
-    hashes, train_tokens = contexts_of(coded, rule)
-    n_contexts = len(hashes) + 1
-    shared = spark.sparkContext.broadcast(hashes)
+    train_tokens = int(coded.select("n_docs", "held", "lengths").mapInArrow(_train_tokens, "n bigint").agg(F.sum("n")).first()[0] or 0)
     n_buckets = max(4, math.ceil(train_tokens / BUCKET_TOKENS))
-    blocks = coded.mapInArrow(lambda b: _emit_counts(b, shared, n_buckets), SEATS)
+    blocks = coded.mapInArrow(lambda b: _emit_counts(b, n_buckets), SEATS)
     buckets = cut_lineage(blocks.groupBy("bucket").applyInArrow(_gather, BUCKET))
 
-    sums = buckets.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("vocabulary", "singles", "doubles")]).first()
-    customers = _summed(buckets.select("n_pairs", "counts", "contexts").mapInArrow(lambda b: _context_customers(b, n_contexts), "n array<bigint>"), "n", n_contexts)
+    counted = ("vocabulary", "singles", "doubles", "n_contexts")
+    sums = buckets.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted]).first()
+    n_parts = max(1, math.ceil(sums.n_contexts / part_sums))
+    named = buckets.select("bucket", "n_pairs", "n_contexts", "names", "contexts", "counts").mapInArrow(
+        lambda b: _emit_contexts(b, n_parts), "part int, bucket int, n bigint, names binary, sums binary"
+    )
+    places = cut_lineage(named.groupBy("part").applyInArrow(_place, PLACES))
+    customers = _by_bucket(places.select("part", "bucket", "n", "totals"))
+    places = places.select("part", "bucket", "n", "places")
+
     discount = _discount(sums.singles, sums.doubles)
-    settings = {"totals": None, "vocabulary": sums.vocabulary, "contexts": n_contexts, "discount": discount, "root_discount": discount}
+    settings = {"root": None, "vocabulary": sums.vocabulary, "discount": discount, "root_discount": discount}
     settings |= {"stirling": (s := log_stirling(STIRLING, discount)), "root_stirling": s}
-    seats, kept, saved = None, [], []
-    seat = buckets.select("bucket", "n_pairs", "n_words", "counts", "contexts", "word_at")
+    seats, parts, kept, saved = None, customers, [], []
+    seat = buckets.select("bucket", "n_pairs", "n_words", "n_contexts", "counts", "contexts", "word_at")
     for number in range(1 + rule.burn_in + rule.kept):
         value = spark.sparkContext.broadcast(dict(settings))
-        table = seat if seats is None else seat.join(seats, "bucket")
+        table = (seat if seats is None else seat.join(seats, "bucket")).join(parts, "bucket")
         swept = cut_lineage(table.mapInArrow(lambda b, v=value, k=number: _sweep(b, v, rule, k), SWEEP))
         ends = swept.agg(F.sum("root_customers").alias("c"), F.sum("root_tables").alias("t")).first()
-        totals = Totals(customers, _summed(swept, "of_context", n_contexts), int(ends.c or 0), int(ends.t or 0))
-        settings["totals"] = totals
+        settings["root"] = (int(ends.c or 0), int(ends.t or 0))
+        sent = swept.select("bucket", F.inline("of_context"))
+        parts = _by_bucket(
+            sent.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(_add_up, "part int, bucket int, n bigint, totals binary")
+        )
         seats = swept.select("bucket", "tables", "root")
         if number > rule.burn_in:
-            kept.append(totals)
-            saved.append(seats)
+            kept.append(settings["root"])
+            saved.append(seats.join(parts, "bucket"))
 
     final = spark.sparkContext.broadcast(
-        {"kept": kept, "hashes": hashes, "train_tokens": train_tokens} | {k: settings[k] for k in ("vocabulary", "discount", "root_discount")}
+        {"kept": kept, "train_tokens": train_tokens} | {k: settings[k] for k in ("vocabulary", "discount", "root_discount")}
     )
-    table = buckets
+    table = buckets.drop("names").join(customers.withColumnRenamed("parts", "customers"), "bucket")
     for k, s in enumerate(saved):
-        table = table.join(s.select("bucket", F.col("tables").alias(f"tables_{k}"), F.col("root").alias(f"root_{k}")), "bucket")
+        table = table.join(s.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("tables", "root", "parts")]), "bucket")
     back = table.mapInArrow(lambda b: _predict(b, final, rule), BACK)
     kind = to_arrow_type(id_type)
     return coded.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
