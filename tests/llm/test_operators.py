@@ -132,6 +132,24 @@ def test_main_text_equals_article(spark, folder):
     assert template.main_text(pages.limit(0)).count() == 0
 
 
+def test_headline_and_lead_beside_a_long_body_stay(spark):
+    def of(i, body):
+        return (
+            f"<html><body><nav>menu {i}</nav><div class='site'>welcome back</div><article><h1>headline{i} of{i}</h1>"
+            f"<div class='lead'>lead{i} text{i}</div><div class='body'>{body}</div></article></body></html>"
+        )
+
+    bodies = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(6)]
+    rows = [(i, f"http://c.org/{i}", of(i, b)) for i, b in enumerate(bodies)]
+    odd = of(9, "short9").replace("welcome back", "story9 told9 elsewhere9")  # its text lies outside the article
+    got = {r.page_id: r.text for r in template.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"headline{i} of{i} lead{i} text{i} {b}" for i, b in enumerate(bodies)}
+    rows.append((9, "http://c.org/9", odd))
+    got = {r.page_id: r.text for r in template.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[9] == "story9 told9 elsewhere9 headline9 of9 lead9 text9 short9"
+    assert all(got[i].endswith(f"headline{i} of{i} lead{i} text{i} {b}") for i, b in enumerate(bodies))
+
+
 def test_tokens_of_pages_differ_in_their_occurrence_vectors():
     pages = [page("<p>a"), page("<p>a<p>b"), page("<p>c")]
     counts = [collections.Counter(template.page_tokens(p)) for p in pages]

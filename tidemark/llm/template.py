@@ -4,7 +4,7 @@ Tokens are tags and text, told apart by the path of elements they stand in: a ru
 taken word by word, a longer one as a whole. Over the pages of a host, tokens with the same
 occurrence vector (count on every page) form an equivalence class; large and frequent classes whose tokens keep one order are
 the template, nested by the elements that enclose them. What varies between template tokens are slots. The main slot is the
-innermost template element that still holds most of the varying words; its text is taken block by block.
+innermost template element that holds all varying words outside boilerplate; its text is taken block by block.
 
 An occurrence vector is never gathered: pages add up, by exclusive or, a hash of (page, count) for each token, so equal vectors
 have equal sums and partial sums of any partitions combine. Hosts of few pages share one template deduced over all of them.
@@ -27,8 +27,6 @@ from tidemark.llm.common import cut_lineage, mixed
 MIN_PAGES = 3
 #: A template token stands on this share of a host's pages at least.
 FREQUENT = 0.5
-#: Descend into an element while it holds this share of the words.
-MOST = 0.7
 RUN_WORDS = 16
 #: Templates up to this many bytes together are sent to every task; beyond it they are joined by host.
 BROADCAST_BYTES = 16 << 20
@@ -263,7 +261,10 @@ def _decode_pairs(blob: bytes | None):
 
 
 def _orders_and_words(batches):
-    """Per site: how often each class shows each order of its tokens; and the varying words under each template element."""
+    """Per site: how often each class shows each order of its tokens; and the varying words under each template element.
+
+    Element 0 stands for all of them, also those under no template element.
+    """
     import pyarrow as pa
 
     memo = Memo(_decode_pairs)
@@ -285,6 +286,8 @@ def _orders_and_words(batches):
                 varying = sum(t not in known for t in own) if len(own) != 1 else (own[0] not in known) * len(value.split())
                 above = 0
                 if varying and not top.boiler:
+                    every_word = (site, 0, 0)
+                    words[every_word] = words.get(every_word, 0) + varying
                     for element in stack[1:]:
                         token = element_token(element)
                         if token in known:
@@ -317,8 +320,9 @@ def _orders_and_words(batches):
 
 
 def choose(site_rows: list[dict], of_class: dict[int, int]) -> int:
-    """The token of the main element of a site (0: none): descend from the top while one child in a valid class holds most words.
+    """The token of the main element of a site (0: none): descend from the top while one child in a valid class holds all words.
 
+    What lies outside it is then template text or boilerplate on every page, so no slot is left behind.
     A class is valid if its tokens keep one order on at least nine tenths of the pages where they occur.
     """
     seen: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -329,12 +333,12 @@ def choose(site_rows: list[dict], of_class: dict[int, int]) -> int:
         else:
             below[r["y"]].append((r["n"], r["x"]))
     valid = {m for m, found in seen.items() if 10 * max((n for n, y in found if y), default=0) >= 9 * sum(n for n, _ in found)}
-    at, held = 0, sum(n for n, _ in below[0])
-    while children := [(n, t) for n, t in below[at] if of_class.get(t) in valid]:
+    at, every = 0, sum(n for n, t in below[0] if not t)
+    while children := [(n, t) for n, t in below[at] if t and of_class.get(t) in valid]:
         n, token = max(children)
-        if n < MOST * held:
+        if n < every:
             break
-        at, held = token, n
+        at = token
     return at
 
 
