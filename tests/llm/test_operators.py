@@ -150,6 +150,40 @@ def test_headline_and_lead_beside_a_long_body_stay(spark):
     assert all(got[i].endswith(f"headline{i} of{i} lead{i} text{i} {b}") for i, b in enumerate(bodies))
 
 
+@pytest.mark.parametrize(
+    "around",
+    [
+        "style='overflow:hidden'", "aria-hidden='false'", "data-title='hidden gems'", "data-role='banner'", "class='layout-sidebar-left'",
+        "class='page-with-sidebar'", "id='entry-header'", "class='sidebar-layout'", "hidden", "role='banner'",
+    ],
+)
+def test_marks_around_an_article_do_not_hide_it(spark, around):
+    def of(i):
+        return f"<html><body><div {around}><nav>menu{i}</nav><article><h1>head{i}</h1><p>first{i} second{i} third{i}</article></div></body></html>"
+
+    want = [f"head{i} first{i} second{i} third{i}" for i in range(4)]
+    assert [template.block_text(of(i)) for i in range(4)] == want
+    if around != "hidden":
+        return
+    for extra in ("", "<p>date{i}</p>"):
+        rows = [(i, f"http://d.org/{i}", of(i).replace("</body>", extra.format(i=i) + "</body>")) for i in range(4)]
+        got = {r.page_id: r.text for r in template.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+        assert got == {i: w + (f" date{i}" if extra else "") for i, w in enumerate(want)}
+
+
+def test_labels_of_boilerplate_and_foreign_elements():
+    text = template.block_text
+    assert text("<article><div class='entry-header'><h1>Head</h1></div><div class='header'>line</div>body</article>") == "Head line body"
+    assert text("<article>a<svg/>b <svg width='1' hidden/>c<svg><path/><text>no</text></svg>d</article>") == "a b c d"
+    assert text("<article>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> holds<math/>.</article>") == "so x=1 holds."
+    for mark in ("class='sidebar'", "class='big sidebar-left'", "id=navBar", "hidden", "role=banner", "CLASS='cookie_notice'"):
+        assert text(f"<article>kept</article><div>also</div><div {mark}>gone</div>") == "kept"
+        assert text(f"<div>kept</div><div {mark}>gone</div>") == "kept"
+        assert text(f"<div {mark}>all there is</div>") == "all there is"
+    # comments stay out although each is an article, as the page has an unmarked one
+    assert text("<article>post</article><div class='comments'><article>long long comment</article></div>") == "post"
+
+
 def test_tokens_of_pages_differ_in_their_occurrence_vectors():
     pages = [page("<p>a"), page("<p>a<p>b"), page("<p>c")]
     counts = [collections.Counter(template.page_tokens(p)) for p in pages]

@@ -34,10 +34,13 @@ BROADCAST_BYTES = 16 << 20
 # fixed values: names of HTML elements
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr".split()
+    "strong sub sup time tt u var wbr "
+    "math semantics mrow mi mn mo ms mtext mspace mstyle mpadded mfrac msqrt mroot msub msup msubsup munder mover munderover".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object title".split())
+RAW = frozenset("script style noscript template iframe textarea svg annotation annotation-xml object title".split())
+#: Elements a slash before the end of the start tag closes.
+FOREIGN = frozenset("svg annotation annotation-xml".split())
 BOILER_TAGS = frozenset("head nav header footer aside form button select dialog menu".split())
 NEVER_BOILER = frozenset("html body main article".split())
 BOILER_WORDS = frozenset(
@@ -47,15 +50,24 @@ BOILER_WORDS = frozenset(
     "widget widgets toolbar pagination pager".split()
 )
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
-NEGATING = frozenset("has with no without is".split())
 
 TAG = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|/?[a-zA-Z][^>]*(?:>|\Z))""", re.S
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+SELF_CLOSED = re.compile(r"""(?<!=)(?:\A|["'\s/]|(?:\A|["'\s/])[^\s"'>/=]+)/\Z""")
+
+
+def attributes_of(inside: str | None) -> dict[str, str]:
+    """Attributes of a start tag by whole name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(inside or ""):
+        found.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return found
 
 
 def is_boiler(name: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    """By the element, its role, or the first word of one of its class names or of its id: 'sidebar-left', not 'with-sidebar'."""
     if name in NEVER_BOILER:
         return False
     if name in BOILER_TAGS and not (name == "header" and inside_article):
@@ -63,19 +75,24 @@ def is_boiler(name: str, attributes: dict[str, str], inside_article: bool) -> bo
     if "hidden" in attributes or attributes.get("role", "").lower() in BOILER_ROLES:
         return True
     for label in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        parts = [p.lower() for p in re.split(r"[-_:.]|(?<=[a-z])(?=[A-Z])", label)]
-        if parts[0] not in NEGATING and BOILER_WORDS.intersection(parts):
+        head = re.split(r"[-_:.]|(?<=[a-z])(?=[A-Z])", label, maxsplit=1)[0].lower()
+        if head in BOILER_WORDS and not (head == "header" and inside_article):
             return True
     return False
 
 
 class Element:
-    """An open structural element: its name, the hash of its path, and whether it is boilerplate or lies in some."""
+    """An open structural element: its name, the hash of its path, and whether it is boilerplate or lies in some.
+
+    own: whether it is boilerplate by itself; inner: whether it is or lies in some, marks around an article or main aside.
+    """
 
-    __slots__ = ("boiler", "name", "path")
+    __slots__ = ("boiler", "inner", "name", "own", "path")
 
-    def __init__(self, name: str, path: int, boiler: bool):
-        self.name, self.path, self.boiler = name, path, boiler
+    def __init__(self, name: str, path: int, above: Element | None = None, own: bool = False):
+        self.name, self.path, self.own = name, path, own
+        self.boiler = own or (above is not None and above.boiler)
+        self.inner = own or (above is not None and above.inner and name not in ("article", "main"))
 
 
 def walk(page: str | None):
@@ -85,7 +102,7 @@ def walk(page: str | None):
     """
     if not page:
         return
-    stack = [Element("", 0, False)]
+    stack = [Element("", 0)]
     at, end = 0, len(page)
     while at < end:
         found = TAG.search(page, at)
@@ -106,6 +123,9 @@ def walk(page: str | None):
                 stack.pop()
             yield "tag", stack, "/" + name
             continue
+        if name in FOREIGN and SELF_CLOSED.search(found[3]):
+            yield "tag", stack, name
+            continue
         if name in RAW:
             close = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at)
             yield "tag", stack, name
@@ -114,14 +134,36 @@ def walk(page: str | None):
         if name in INLINE or name in VOID or name == "p":
             yield "tag", stack, name
             continue
-        attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(found[3])} if found[3] else {}
+        attributes = attributes_of(found[3])
         label = f"{name}.{attributes.get('class', '')}#{attributes.get('id', '')}"
         above = stack[-1]
-        boiler = above.boiler or is_boiler(name, attributes, any(e.name == "article" for e in stack))
-        stack.append(Element(name, xxhash.xxh64_intdigest(label.encode(), above.path), boiler))
+        own = is_boiler(name, attributes, any(e.name == "article" for e in stack))
+        stack.append(Element(name, xxhash.xxh64_intdigest(label.encode(), above.path), above, own))
         yield "tag", stack, name
 
 
+class Weights:
+    """Which marks of a page to believe, by the words of its texts.
+
+    A mark on an element around articles is wrong if it hides more words than all unmarked text has, and no article is unmarked.
+    """
+
+    def __init__(self):
+        self.plain = self.hidden = self.article = 0
+
+    def add(self, stack: list[Element], words: int) -> None:
+        top = stack[-1]
+        if not top.boiler:
+            self.plain += words
+            self.article += words * any(e.name in ("article", "main") for e in stack)
+        elif not top.inner:
+            self.hidden += words
+
+    @property
+    def inner(self) -> bool:
+        return not self.article and self.hidden > self.plain
+
+
 def run_tokens(run: str, path: int) -> list[int]:
     words = run.split()
     if len(words) > RUN_WORDS:
@@ -275,7 +317,8 @@ def _orders_and_words(batches):
             tokens, marks, known = memo[blob]
             if not len(tokens):
                 continue
-            found = []
+            found, weights = [], Weights()
+            texts: list[tuple] = []
             for kind, stack, value in walk(page):
                 top = stack[-1]
                 if kind == "tag":
@@ -284,16 +327,15 @@ def _orders_and_words(batches):
                 own = run_tokens(value, top.path)
                 found += own
                 varying = sum(t not in known for t in own) if len(own) != 1 else (own[0] not in known) * len(value.split())
-                above = 0
-                if varying and not top.boiler:
-                    every_word = (site, 0, 0)
-                    words[every_word] = words.get(every_word, 0) + varying
-                    for element in stack[1:]:
-                        token = element_token(element)
-                        if token in known:
-                            key = (site, token, above)
-                            words[key] = words.get(key, 0) + varying
-                            above = token
+                weights.add(stack, len(value.split()))
+                if varying and not top.inner:
+                    texts.append((varying, top.boiler, [t for e in stack[1:] if (t := element_token(e)) in known]))
+            for varying, boiler, chain in texts:
+                if boiler and not weights.inner:
+                    continue
+                for above, token in zip([0, 0, *chain], [0, *chain], strict=False):
+                    key = (site, token, above)
+                    words[key] = words.get(key, 0) + varying
             every = np.array(found, np.uint64)
             at = np.minimum(np.searchsorted(tokens, every), len(tokens) - 1)
             inside = tokens[at] == every
@@ -378,26 +420,37 @@ def main_elements(pages: DataFrame) -> DataFrame:
 
 
 def block_text(page: str | None, main: int = 0) -> str:
-    """Text of the main element without boilerplate, blocks joined by one space.
+    """Text of the main element without boilerplate, blocks joined by one space. Marks around the main element do not count.
 
-    Without a main element on the page: of its article or main elements, else of the whole page.
+    Without a main element on the page: of its article or main elements, else of the whole page. If all text is marked as
+    boilerplate, the marks are not believed.
     """
-    best = {"main": [], "article": [], "all": []}
+    best = {"main": [], "article": [], "all": [], "inner main": [], "inner article": [], "inner all": [], "marked": []}
+    weights = Weights()
     for kind, stack, value in walk(page):
         top = stack[-1]
         if kind == "tag":
             if value.lstrip("/") not in INLINE:
                 for parts in best.values():
                     parts.append(" ")
-        elif not top.boiler:
-            text = entities.unescape(value)
-            best["all"].append(text)
-            if any(e.name in ("article", "main") for e in stack):
-                best["article"].append(text)
-            if main and any(element_token(e) == main for e in stack[1:]):
-                best["main"].append(text)
-    for parts in best.values():
-        if text := " ".join("".join(parts).split()):
+            continue
+        text = entities.unescape(value)
+        weights.add(stack, len(value.split()))
+        article = any(e.name in ("article", "main") for e in stack)
+        at = next((i for i, e in enumerate(stack) if i and element_token(e) == main), 0) if main else 0
+        below = at and any(e.own for e in stack[at + 1 :])
+        best["marked"].append(text)
+        for kind, marked, around in (("", top.boiler, stack[at].boiler), ("inner ", top.inner, stack[at].inner)):
+            if at and not (below if around else marked):
+                best[f"{kind}main"].append(text)
+            if not marked:
+                best[f"{kind}all"].append(text)
+                if article:
+                    best[f"{kind}article"].append(text)
+    if weights.inner:
+        best |= {name: best[f"inner {name}"] for name in ("main", "article", "all")}
+    for name in ("main", "article", "all", "marked"):
+        if text := " ".join("".join(best[name]).split()):
             return text
     return ""
 
