@@ -537,6 +537,24 @@ def test_components_equal_brute_force(spark, width, least, block):
     assert got == brute_components(frame.collect(), width, least, 100)
 
 
+def test_guests_of_a_block_come_in_bounded_parts(spark, monkeypatch):
+    common = [f"c{k}" for k in range(120)]
+    rows = [(i, " ".join([*common, *(f"own{i // 2 if i < 6 else i}x{k}" for k in range(30))])) for i in range(160)]
+    rows[5] = (5, rows[5][1] + " end")
+    docs = cut_lineage(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    block, seen, plain = 8, [], setsketch._block_links
+
+    def spied(rows, kind, rule):
+        seen.append(rows.groupBy(*[c for c in ("label", "block", "part") if c in rows.columns], "visitor").count().agg(F.max("count")).first()[0])
+        return plain(rows, kind, rule)
+
+    monkeypatch.setattr(setsketch, "_block_links", spied)
+    got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs, setsketch.SketchRule(block_docs=block)).collect()}
+    assert got == brute_components(rows_of := docs.collect(), 3, 85, 100) and len(rows_of) == 160
+    assert got[1] == 0 and got[5] == 4 and len(set(got.values())) > 100
+    assert len(seen) == 3 and max(seen) <= 4 * block
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = setsketch.near_duplicates(odd).collect()
     want = brute_components(odd.collect(), 3, 85, 100)

@@ -199,7 +199,7 @@ def sketches(docs: DataFrame, rule: SketchRule) -> DataFrame:
 
 
 def _compare(batches, rule: SketchRule):
-    """Rows sorted by (label, block) to links (a, b): each document and its root in the block."""
+    """Rows sorted by (label, block, part) to links (a, b): each document and its root in the block."""
     import pyarrow as pa
 
     held: dict = {"key": None, "ids": [], "texts": [], "visitor": []}
@@ -215,7 +215,7 @@ def _compare(batches, rule: SketchRule):
 
     for batch in batches:
         for key, rep, text, visitor in zip(
-            zip(batch["label"].to_pylist(), batch["block"].to_pylist(), strict=True),
+            zip(batch["label"].to_pylist(), batch["block"].to_pylist(), batch["part"].to_pylist(), strict=True),
             batch["rep"].to_pylist(),
             as_bytes(batch["text"]),
             batch["visitor"].to_pylist(),
@@ -232,9 +232,9 @@ def _compare(batches, rule: SketchRule):
 
 def _block_links(rows: DataFrame, kind: str, rule: SketchRule) -> DataFrame:
     return (
-        rows.select("label", "block", "rep", "text", "visitor")
-        .repartition("label", "block")
-        .sortWithinPartitions("label", "block", "rep")
+        rows.select("label", "block", "part", "rep", "text", "visitor")
+        .repartition("label", "block", "part")
+        .sortWithinPartitions("label", "block", "part", "rep")
         .mapInArrow(lambda b: _compare(b, rule), f"a {kind}, b {kind}")
     )
 
@@ -275,7 +275,8 @@ def near_duplicates(docs: DataFrame, rule: SketchRule = SketchRule()) -> DataFra
     Equal sets are one class from the start. Classes that share a band key with others form candidate groups; only their texts
     travel, once. A group is compared within blocks of bounded size. A group of several blocks is then tied together by a few
     ambassadors sent to each block; at last, each class outside its group's largest component visits the other blocks in which
-    a class of another component shares a band key with it, so no candidate pair is left out and no group is gathered.
+    a class of another component shares a band key with it, so no candidate pair is left out. The guests of a block come in parts
+    of bounded size, each compared with the block on its own, so no group is gathered.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketch = cut_lineage(sketches(docs, rule))
@@ -292,11 +293,11 @@ def near_duplicates(docs: DataFrame, rule: SketchRule = SketchRule()) -> DataFra
     sized = classes.groupBy("rep").agg(F.max("n").alias("n")).join(groups.withColumnRenamed("node", "rep"), "rep")
     blocks = sized.groupBy("component").agg(sizes.alias("blocks"))
     members = sized.join(blocks, "component").select(
-        "rep", F.col("component").alias("label"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "blocks"
+        "rep", F.col("component").alias("label"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "blocks", "n"
     )
     members = cut_lineage(members)
     own = docs.select(F.col("doc_id").alias("rep"), "text").where(perhaps_among(members, "rep"))
-    texts = cut_lineage(own.join(members, "rep").withColumn("visitor", F.lit(False)))
+    texts = cut_lineage(own.join(members, "rep").withColumn("visitor", F.lit(False)).withColumn("part", F.lit(0)))
     links = cut_lineage(_block_links(texts, kind, rule))
     large = texts.where("blocks > 1")
     if large.select("rep").limit(1).count():
@@ -328,8 +329,8 @@ def _tied(large: DataFrame, links: DataFrame, classes: DataFrame, kind: str, rul
         large.join(linked_ids, "rep", "left_semi").withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= AMBASSADORS)
     )
     sent = chosen.withColumn("home", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> home")
-    rows = large.select("label", "block", "rep", "text", "visitor").unionAll(
-        sent.select("label", "block", "rep", "text", F.lit(True).alias("visitor"))
+    rows = large.select("label", "block", "part", "rep", "text", "visitor").unionAll(
+        sent.select("label", "block", "part", "rep", "text", F.lit(True).alias("visitor"))
     )
     links = cut_lineage(links.unionAll(_block_links(rows, kind, rule)))
 
@@ -342,13 +343,23 @@ def _tied(large: DataFrame, links: DataFrame, classes: DataFrame, kind: str, rul
     keyed = placed.join(classes.select("rep", "keys"), "rep").select("label", "block", "rep", "component", F.explode("keys").alias("key"))
     keyed = cut_lineage(keyed)
     rest = keyed.join(main, "label").where("component <> main").select("key", "label", "rep", F.col("block").alias("home"), F.col("component").alias("own"))
-    spots = keyed.select("key", "label", "block", "component").distinct()
-    visits = (
-        rest.join(spots, ["key", "label"]).where("block <> home AND component <> own").select("label", "block", "rep").distinct()
+    # what a block has of a key is two components at most: another than a guest's own is among them if there is any
+    spots = keyed.groupBy("key", "label", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    homes = rest.select("key", "label", "home").distinct()
+    met = homes.join(spots, ["key", "label"]).where("block <> home")
+    visits = cut_lineage(
+        rest.join(met, ["key", "label", "home"]).where("lo <> own OR hi <> own").select("label", "block", "rep").distinct()
+    )
+    guests = visits.join(large.select("rep", "n"), "rep").groupBy("label", "block")
+    parts = cut_lineage(
+        guests.agg(F.greatest(F.ceil(F.count(F.lit(1)) / rule.block_docs), F.ceil(F.sum("n") / rule.block_shingles)).cast("int").alias("parts"))
+    )
+    part = F.pmod(F.xxhash64("rep", F.lit("guest")), F.col("parts")).cast("int")
+    guests = visits.join(parts, ["label", "block"]).select("label", "block", part.alias("part"), "rep").join(large.select("rep", "text"), "rep")
+    hosts = large.drop("part").join(parts, ["label", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = hosts.select("label", "block", "part", "rep", "text", "visitor").unionAll(
+        guests.select("label", "block", "part", "rep", "text", F.lit(True).alias("visitor"))
     )
-    guests = visits.join(large.select("rep", "text"), "rep").select("label", "block", "rep", "text", F.lit(True).alias("visitor"))
-    hosts = large.join(visits.select("label", "block").distinct(), ["label", "block"], "left_semi")
-    rows = hosts.select("label", "block", "rep", "text", "visitor").unionAll(guests.select("label", "block", "rep", "text", "visitor"))
     return cut_lineage(links.unionAll(_block_links(rows, kind, rule)))
 
 
