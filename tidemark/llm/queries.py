@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fixity, ftrl, hpylm, kdtree, setsketch, slackpack, template, urlmodel, weakrules, wumanber
+from tidemark.llm import fixity, ftrl, hpylm, kdtree, pivotgrams, setsketch, slackpack, template, urlmodel, weakrules, wumanber
 from tidemark.llm.common import cut_lineage, documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,9 @@ def op10_url_model(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's url."""
     pages = documents(spark, folder, "pages", "page_id", "url")
     return urlmodel.judge(pages, urlmodel.fit(urlmodel.labelled_urls(pages)))
+
+
+@query
+def op11_pivot_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequent words of all documents, their near words and spelling groups."""
+    return pivotgrams.spelling_groups(documents(spark, folder, "documents", "doc_id", "text"))
