@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fixity, ftrl, hpylm, kdtree, pivotgrams, setsketch, slackpack, template, urlmodel, weakrules, wumanber
+from tidemark.llm import fixity, ftrl, hpylm, kdtree, pivotgrams, setsketch, sizejoin, slackpack, template, urlmodel, weakrules, wumanber
 from tidemark.llm.common import cut_lineage, documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,28 @@ def op3_wu_manber(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Shingle sets, all pairs with a common shingle, and the smallest id in reach of each row, for shingles of {width} words.
+_COMPONENTS = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, hash(array_to_string(list_slice(ws, p, p + least({width}, len(ws)) - 1), ' ')) AS g
+  FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - {less}, 1) + 1)) AS p FROM d WHERE len(ws) > 0)
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+many AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+k AS (SELECT s.r, s.g FROM s JOIN many USING (g)),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM k a JOIN k b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_of AS (SELECT a, min(doc_id) AS low FROM reach JOIN d ON d.r = b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, low) AS component_id{more}
+FROM d LEFT JOIN n USING (r) LEFT JOIN least_of ON least_of.a = d.r
+"""
+ORACLE["op9_setsketch"] = _COMPONENTS.format(width=3, less=2, more=", doc_id = least(doc_id, low) AS kept")
+ORACLE["op12_size_aware_join"] = _COMPONENTS.format(width=4, less=3, more="")
+
 _WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -159,3 +181,9 @@ def op10_url_model(spark: SparkSession, folder: str) -> DataFrame:
 def op11_pivot_spelling(spark: SparkSession, folder: str) -> DataFrame:
     """Frequent words of all documents, their near words and spelling groups."""
     return pivotgrams.spelling_groups(documents(spark, folder, "documents", "doc_id", "text"))
+
+
+@query
+def op12_size_aware_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents: four-word shingles, similarity of 0.85 or more."""
+    return sizejoin.set_join(documents(spark, folder, "documents", "doc_id", "text"), sizejoin.JoinRule(width=4, least=85, of=100))
