@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fixity, ftrl, hpylm, kdtree, pivotgrams, setsketch, sizejoin, slackpack, template, urlmodel, weakrules, wumanber
+from tidemark.llm import fixity, ftrl, hpylm, kdtree, pivotgrams, setsketch, sizejoin, slackpack, template, tokenalign, urlmodel, weakrules, wumanber
 from tidemark.llm.common import cut_lineage, documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,13 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def align_models() -> tokenalign.Tokenizers:
+    """Paths of the two public tokenizers that are aligned."""
+    import public_tokenizers
+
+    return tokenalign.Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op1_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
     """All pages as records of one archive, audited against a replica in which every 97th record is damaged and every 89th lost."""
@@ -187,3 +194,9 @@ def op11_pivot_spelling(spark: SparkSession, folder: str) -> DataFrame:
 def op12_size_aware_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of all documents: four-word shingles, similarity of 0.85 or more."""
     return sizejoin.set_join(documents(spark, folder, "documents", "doc_id", "text"), sizejoin.JoinRule(width=4, least=85, of=100))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, grouped at common ends, and the corpus-wide counts of its links."""
+    return tokenalign.align(documents(spark, folder, "documents", "doc_id", "text"), align_models())
