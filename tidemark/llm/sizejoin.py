@@ -90,16 +90,17 @@ def _survey(batches, rule: JoinRule):
             np.add.at(counts, (own & np.uint64(rule.counters - 1)).astype(np.int64), 1)
         n = len(sizes)
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["th"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-            ["doc_id", "th", "n_shingles", "digest", "part", "counts"],
+            [batch["doc_id"], batch["th"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+             pa.array([None if d is None else name_of(d) for d in digests], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+            ["doc_id", "th", "n_shingles", "digest", "name", "part", "counts"],
         )
     if kind is not None:
         parts = counts.reshape(-1, min(rule.counters, 1 << 14))
         n = len(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()),
+            [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()),
              pa.array([p.astype("<i4").tobytes() for p in parts], pa.binary())],
-            ["doc_id", "th", "n_shingles", "digest", "part", "counts"],
+            ["doc_id", "th", "n_shingles", "digest", "name", "part", "counts"],
         )
 
 
@@ -135,18 +136,23 @@ def subset_keys(own: np.ndarray, c: int):
         yield tuple(every - np.array([first[k].sum(), second[k].sum()]))
 
 
+def name_of(digest: bytes) -> int:
+    """A short name of a set for the index; two sets of one name are told apart when they are compared."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _entries(batches, counts: np.ndarray, bound: int, rule: JoinRule):
-    """digest, n, subset (its size; null for a shingle), key and key2 of each set in the two indexes."""
+    """Each set's entries in the two indexes: digest, n, subset (its size), key and key2 of subsets; name and key of shingles."""
     import pyarrow as pa
 
     floor = rule.partners(bound + 1)[0]
     mask = np.uint64(rule.counters - 1)
 
-    def batch_of(digests, ns, subsets, keys, key2):
+    def batch_of(rows, digest, name, n, subset, keys, key2):
+        both = [pa.array(np.array(k, np.uint64).view(np.int64)) for k in (keys, key2)]
+        kinds = [(digest, pa.binary()), (name, pa.int64()), (n, pa.int32()), (subset, pa.int32())]
         return pa.RecordBatch.from_arrays(
-            [pa.array(digests, pa.binary()), pa.array(ns, pa.int32()), pa.array(subsets, pa.int32()),
-             pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(key2, np.uint64).view(np.int64))],
-            ["digest", "n", "subset", "key", "key2"],
+            [pa.array([v] * rows, t) if v is not None else pa.nulls(rows, t) for v, t in kinds] + both, ["digest", "name", "n", "subset", "key", "key2"]
         )
 
     for batch in batches:
@@ -159,13 +165,12 @@ def _entries(batches, counts: np.ndarray, bound: int, rule: JoinRule):
             if n <= bound:
                 for c in rule.subset_sizes(n):
                     both = list(subset_keys(own, c))
-                    if both:
-                        yield batch_of([digest] * len(both), [n] * len(both), [c] * len(both), [b[0] for b in both], [b[1] for b in both])
+                    yield batch_of(len(both), digest, None, n, c, [b[0] for b in both], [b[1] for b in both])
             if n >= floor:
                 p = rule.prefix(n)
                 often = counts[(own & mask).astype(np.int64)]
                 rare = own[np.lexsort((own, often))[:p]]
-                yield batch_of([digest] * p, [n] * p, [None] * p, rare, np.zeros(p, np.uint64))
+                yield batch_of(p, None, name_of(digest), None, None, rare, np.zeros(p, np.uint64))
 
 
 def _packed(batches, most: int = 20_000):
@@ -238,7 +243,7 @@ def block_links(sets: list[np.ndarray], visitor: np.ndarray, rule: JoinRule):
 
 
 def _compare(batches, rule: JoinRule):
-    """Rows sorted by block to links (a, b, hub): digests, and the number of links of b."""
+    """Rows sorted by (label, block, part) to links (a, b, hub): digests, and the number of links of b."""
     import pyarrow as pa
 
     held: dict = {"key": None, "names": [], "sets": [], "visitor": []}
@@ -303,19 +308,19 @@ def set_join(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     component_id: the smallest doc_id reachable over links of similarity ``least / of`` or more. A row is a vertex; rows of equal
     sets are one class, and rows that merely share a doc_id are not linked by it. Texts without words (null, empty, white
     space) link with nothing: n_shingles is 0 and component_id their own id. A null id counts only where no other is in reach.
-    No link is left out: prefixes and subsets are exact filters, and blocks of one group visit each other where they share
-    a shingle. Classes are never expanded into pairs, and no group is gathered in one task.
+    No link is left out: prefixes, subsets and numbers of shared shingles are exact filters, and all sets of a list that are not
+    linked yet visit each other. Classes are never expanded into pairs, and no group is gathered in one task.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     survey = cut_lineage(
-        rows.mapInArrow(lambda b: _survey(b, rule), f"doc_id {kind}, th bigint, n_shingles bigint, digest binary, part int, counts binary")
+        rows.mapInArrow(lambda b: _survey(b, rule), f"doc_id {kind}, th bigint, n_shingles bigint, digest binary, name bigint, part int, counts binary")
     )
-    sketch = survey.where("part IS NULL").select("doc_id", "th", "n_shingles", "digest")
+    sketch = survey.where("part IS NULL").select("doc_id", "th", "n_shingles", "digest", "name")
     classes = cut_lineage(
         sketch.where("digest IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("n_shingles").cast("int").alias("n"))
+        .agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("n_shingles").cast("int").alias("n"), F.first("name").alias("name"))
     )
     parts = survey.where("part IS NOT NULL").select("part", "counts").repartition("part").sortWithinPartitions("part")
     summed = {r.part: r.counts for r in parts.mapInArrow(_added, "part int, counts binary").collect()}  # four megabytes, always
@@ -326,7 +331,7 @@ def set_join(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
     entries = cut_lineage(
         docs.select("text")
         .where("text IS NOT NULL")
-        .mapInArrow(lambda b: _packed(_entries(b, shared.value, bound, rule)), "digest binary, n int, subset int, key bigint, key2 bigint")
+        .mapInArrow(lambda b: _packed(_entries(b, shared.value, bound, rule)), "digest binary, name bigint, n int, subset int, key bigint, key2 bigint")
     )
     links = cut_lineage(_small_links(entries, rule).unionAll(_large_links(docs, classes, entries, rule)))
     found = connected(links)
@@ -340,63 +345,100 @@ def set_join(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFrame:
 
 
 def _large_links(docs: DataFrame, classes: DataFrame, entries: DataFrame, rule: JoinRule) -> DataFrame:
-    """Links (a, b: digests) of sets that meet in the inverted list of a rare shingle."""
-    prefix = entries.where("subset IS NULL").select("key", "digest")
-    lists = prefix.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi")
-    postings = cut_lineage(prefix.join(lists.select("key", "lo"), "key").select("key", "digest", "lo").distinct())
-    groups = connected(postings.select(F.col("digest").alias("a"), F.col("lo").alias("b")))
-    sized = classes.select("digest", "rep", "n").join(groups.withColumnRenamed("node", "digest"), "digest")
+    """Links (a, b: digests) of sets that meet in the inverted list of a rare shingle.
+
+    Sets that share an eighth of their prefix with the least of the list are gathered first; then all others of a list are held
+    against it, if the number of their shared shingles lets them be linked at all.
+    """
+    list_of = Window.partitionBy("key")
+    prefix = entries.where("name IS NOT NULL").select("name", "key")
+    lists = prefix.select("name", "key", F.min("name").over(list_of).alias("lo"), F.max("name").over(list_of).alias("hi"))
+    postings = cut_lineage(lists.where("lo < hi").select("name", "key", "lo").distinct())
+    sizes = classes.groupBy("name").agg(F.max("n").alias("n"))
+    shared = cut_lineage(postings.groupBy("name").agg(F.count(F.lit(1)).alias("shared")).join(sizes, "name"))
+    edges = postings.where("name <> lo").groupBy("name", "lo").count().join(sizes, "name").where(8 * F.col("count") >= _prefix(F.col("n"), rule))
+    groups = connected(edges.select(F.col("name").alias("a"), F.col("lo").alias("b")))
+    sized = classes.select("digest", "name", "rep", "n").join(groups.withColumnRenamed("node", "name"), "name")
     blocks = sized.groupBy("component").agg(_parts(rule).alias("blocks"))
     members = cut_lineage(
         sized.join(blocks, "component").select(
             "digest", "rep", "n", F.col("component").alias("label"), F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block"), "blocks"
         )
     )
-    reps = members.select(F.col("rep.doc_id").alias("__doc"), F.col("rep.th").alias("__th"), "digest", "n", "label", "block", "blocks")
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where(perhaps_among(reps.select(F.col("__th").alias("th")), "th"))
-    same = (F.col("th") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__doc"))
-    texts = own.join(reps, same).select("digest", "text", "n", "label", "block", "blocks", F.lit(0).alias("part"), F.lit(False).alias("visitor"))
-    texts = cut_lineage(texts.dropDuplicates(["digest"]))
+    texts = cut_lineage(_with_texts(docs, members).withColumn("part", F.lit(0)).withColumn("visitor", F.lit(False)))
     links = cut_lineage(_scanned(texts, rule))
     large = texts.where("blocks > 1")
     if large.select("digest").limit(1).count():
-        links = _between_blocks(large, links, postings, rule)
-    return links.select("a", "b")
+        links = cut_lineage(links.unionAll(_hubs_visit(large, links, rule)))
+    return links.unionAll(_across(docs, classes, postings, shared, links, rule)).select("a", "b")
 
 
-def _between_blocks(large: DataFrame, links: DataFrame, postings: DataFrame, rule: JoinRule) -> DataFrame:
-    """Links between the blocks of groups that take several.
+def _prefix(n, rule: JoinRule):
+    return n - F.ceil(n * rule.least / rule.of) + 1
 
-    First the sets with most links visit every block of their group. Then each set outside the largest component of its group
-    visits the blocks in which a set of another component is in an inverted list with it, in parts of bounded size.
-    """
+
+def _with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (digest, rep, other columns) with a text of each digest."""
+    reps = members.withColumn("__doc", F.col("rep.doc_id")).withColumn("__th", F.col("rep.th")).drop("rep")
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where(perhaps_among(reps.select(F.col("__th").alias("th")), "th"))
+    same = (F.col("th") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__doc"))
+    keys = [c for c in ("label", "block", "part", "digest", "visitor") if c in members.columns]
+    return own.join(reps, same).drop("doc_id", "th", "__doc", "__th").dropDuplicates(keys)
+
+
+def _hubs_visit(large: DataFrame, links: DataFrame, rule: JoinRule) -> DataFrame:
+    """Links between the blocks of groups that take several: the sets with most links visit every block of their group."""
     hubs = links.groupBy(F.col("b").alias("digest")).agg(F.max("hub").alias("hub"))
     order = Window.partitionBy("label").orderBy(F.desc("hub"), "digest")
     chosen = large.join(hubs, "digest").withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= rule.ambassadors)
     sent = chosen.withColumn("home", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> home")
     sent = sent.select("label", "block", "part", "digest", "text", F.lit(True).alias("visitor"))
     visited = large.join(sent.select("label", "block").distinct(), ["label", "block"], "left_semi")
-    rows = visited.select("label", "block", "part", "digest", "text", "visitor").unionAll(sent)
-    links = cut_lineage(links.unionAll(_scanned(rows, rule)))
+    return _scanned(visited.select("label", "block", "part", "digest", "text", "visitor").unionAll(sent), rule)
 
-    now = connected(links).withColumnRenamed("node", "digest")
-    placed = cut_lineage(
-        large.select("label", "block", "digest").join(now, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+
+def _across(docs: DataFrame, classes: DataFrame, postings: DataFrame, shared: DataFrame, links: DataFrame, rule: JoinRule) -> DataFrame:
+    """Links of sets that are in one list but not yet in one component.
+
+    In each list, the sets outside its most frequent component visit the blocks that hold others of it. With c shingles common to
+    both prefixes, two sets share at most c and what the one whose prefix ends first has beyond its prefix. c is at most the
+    number of lists either is in, so a visit is made only to a block with a set of a size for which that is enough.
+    """
+    now = connected(links.select("a", "b"))
+    of_class = classes.select("digest", "name").join(now.withColumnRenamed("node", "digest"), "digest", "left")
+    placed = of_class.groupBy("name").agg(F.min(F.coalesce("component", "digest")).alias("component")).join(shared, "name")
+    keyed = cut_lineage(postings.select("name", "key").join(placed, "name"))
+    blocks = max(1, math.ceil(shared.count() / rule.block_sets))
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"))
+    counts = keyed.groupBy("key", "component").count().groupBy("key").agg(
+        F.max(F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("components")
     )
-    counts = placed.groupBy("label", "component").count()
-    main = counts.groupBy("label").agg(F.max(F.struct("count", "component")).alias("m")).select("label", F.col("m.component").alias("main"))
-    keyed = cut_lineage(placed.join(postings.select("digest", "key"), "digest"))
+    mixed_lists = cut_lineage(counts.where("components > 1").select("key", F.col("most.component").alias("main")))
+    keyed = cut_lineage(keyed.join(mixed_lists, "key"))
     # of a list, a block is told by two components at most: if it has any but a guest's own, one of the two is it
-    spots = keyed.groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rest = keyed.join(main, "label").where("component <> main").select("key", "label", "digest", F.col("block").alias("home"), F.col("component").alias("own"))
-    met = rest.select("key", "home").distinct().join(spots, "key").where("block <> home")
-    visits = cut_lineage(rest.join(met, ["key", "home"]).where("lo <> own OR hi <> own").select("label", "block", "digest").distinct())
-    guests = visits.join(large.select("digest", "n"), "digest").groupBy("label", "block").agg(_parts(rule).alias("parts"))
-    guests = cut_lineage(guests)
+    spots = keyed.groupBy("key", "block").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("shared").alias("most")
+    )
+    guests = keyed.where("component <> main").select("key", "name", "n", "shared", F.col("component").alias("own"))
+    smallest = F.greatest("n_lo", F.ceil(F.col("n") * rule.least / rule.of))
+    largest = F.least("n_hi", F.floor(F.col("n") * rule.of / rule.least))
+
+    def need(m):
+        return F.ceil((F.col("n") + m) * rule.least / (rule.least + rule.of))
+
+    beyond = lambda m: m - _prefix(m, rule)
+    enough = F.least("shared", "most")
+    may = (smallest <= largest) & ((need(smallest) - beyond(F.col("n")) <= enough) | (need(largest) - beyond(largest) <= enough))
+    met = guests.join(spots, "key").where("lo <> own OR hi <> own").where(may)
+    visits = cut_lineage(met.select("key", "block", "name"))
+    hosts = keyed.join(visits.select("key", "block").distinct(), ["key", "block"], "left_semi").select("block", "name").distinct()
+    named = classes.select("name", "digest", "rep", "n")
+    come = visits.select("block", "name").distinct().join(named, "name")
+    parts = cut_lineage(come.groupBy("block").agg(_parts(rule).alias("parts")))
     part = F.pmod(F.xxhash64("digest", F.lit("guest")), F.col("parts")).cast("int")
-    come = visits.join(guests, ["label", "block"]).select("label", "block", part.alias("part"), "digest").join(large.select("digest", "text"), "digest")
-    hosts = large.drop("part").join(guests, ["label", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = hosts.select("label", "block", "part", "digest", "text", "visitor").unionAll(
-        come.select("label", "block", "part", "digest", "text", F.lit(True).alias("visitor"))
+    come = come.join(parts, "block").select("block", part.alias("part"), "digest", "rep", F.lit(True).alias("visitor"))
+    stay = hosts.join(parts, "block").join(named, "name").select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "digest", "rep", F.lit(False).alias("visitor")
     )
-    return links.unionAll(_scanned(rows, rule))
+    rows = cut_lineage(come.unionAll(stay).withColumn("label", F.lit(0)))
+    return _scanned(_with_texts(docs, rows), rule)
