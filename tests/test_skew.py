@@ -116,16 +116,15 @@ def test_moving_average_closed_form(spark):
     assert got["recent_drift"] == pytest.approx(1.81)
 
 
-@pytest.mark.parametrize("k", [1, 4])
-@pytest.mark.parametrize("matrix_bytes", [0, 1 << 26])
-def test_neighbours_against_brute_force(spark, k, matrix_bytes):
+@pytest.mark.parametrize("k, block_rows, chain", [(1, 4096, 64), (1, 4, 64), (4, 4, 2), (4, 2, 1), (3, 1, 1)])
+def test_neighbours_against_brute_force(spark, k, block_rows, chain):
     rng = np.random.default_rng(1)
     refs = np.vstack([rng.normal(0, 1, (150, 3)), rng.normal(8, 0.1, (150, 3)), np.tile([[8.0, 8.0, 8.0]], (120, 1))])
     qs = np.vstack([rng.normal(0, 2, (90, 3)), refs[200:230], refs[-5:]])
     is_ref = np.r_[np.zeros(90, bool), np.ones(35, bool)]
     R = spark.createDataFrame([(list(map(float, r)),) for r in refs], "vec array<double>")
     Q = spark.createDataFrame([(i, list(map(float, q)), bool(s)) for i, (q, s) in enumerate(zip(qs, is_ref))], "id long, vec array<double>, own boolean")
-    out = nearest_distances(Q, R, "id", k=k, skip_self="own", matrix_bytes=matrix_bytes, block_rows=32, max_pivots=12)
+    out = nearest_distances(Q, R, "id", k=k, skip_self="own", block_rows=block_rows, chain=chain)
     got = {r["id"]: r["distances"] for r in out.collect()}
     assert len(got) == len(qs)
     for i, q in enumerate(qs):
@@ -134,6 +133,29 @@ def test_neighbours_against_brute_force(spark, k, matrix_bytes):
         assert got[i] == pytest.approx(list(want), abs=1e-9)
 
 
+def test_neighbours_of_few_and_no_rows(spark):
+    R = spark.createDataFrame([([0.0, 0.0],), ([0.0, 0.0],), ([3.0, 4.0],)], "vec array<double>")
+    Q = spark.createDataFrame([("a", [0.0, 0.0]), (None, [3.0, 4.0])], "id string, vec array<double>")
+    got = {r["id"]: r["distances"] for r in nearest_distances(Q, R, "id", k=5).collect()}
+    assert got == {"a": [0.0, 0.0, 5.0], None: [0.0, 5.0, 5.0]}
+    assert nearest_distances(Q.where("false"), R, "id").count() == 0
+    with pytest.raises(ValueError, match="no reference rows"):
+        nearest_distances(Q, R.where("false"), "id")
+
+
+def test_far_blocks_are_not_compared(spark):
+    """On clustered vectors the descent leaves few of all pairs of blocks."""
+    from tidemark.operators import neighbors as nb
+
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(0, 50, (40, 4)), 30, axis=0) + rng.normal(0, 0.1, (1200, 4))
+    df = spark.createDataFrame([(i, list(map(float, v)), False, 1) for i, v in enumerate(x)], "qid long, vec array<double>, skip boolean, mult long")
+    n, mean, sd = nb._moments(df)
+    q, r = nb._blocks(df, n, 32, mean, sd, "skip", "bool", "qid"), nb._blocks(df, n, 8, mean, sd, "mult", "int64")
+    pairs = nb._surviving(nb._tree(q), nb._tree(r), 1).count()
+    assert pairs < 0.25 * q.count() * r.count()
+
+
 def test_blocks_follow_the_counted_rows(hot):
     pdf, df = hot
     assert skew.fit_blocks(df, ["v"]) is None

@@ -101,8 +101,7 @@ def nn_distance(spark, folder):
 )
 def knn_distances(spark, folder):
     refs, queries = _embeddings(spark, folder)
-    # no broadcast: cells and blocks, as for a large reference side
-    d = nearest_distances(queries, refs, "vec_id", k=5, matrix_bytes=0)
+    d = nearest_distances(queries, refs, "vec_id", k=5)
     return rounded(
         d.select("vec_id", F.posexplode("distances").alias("p", "distance")).select("vec_id", (F.col("p") + 1).cast("long").alias("k"), "distance")
     )

@@ -1,12 +1,13 @@
 """Exact nearest-neighbour distances between two vector tables.
 
-Equal reference vectors are collapsed first, so a group of copies costs one row.
-A reference side whose counted size fits a fixed byte budget is broadcast as a
-matrix and the queries only stream by. A larger one is cut into cells around
-sampled pivot vectors: each query is answered in its own cell, and only visits
-other cells that the triangle inequality cannot rule out. Cells on both sides
-are split into blocks of bounded size, and a task returns one short list of
-distances per query and block, never the pairs.
+Equal reference vectors are collapsed first, so a group of copies costs one row. Both sides are sorted along a space-filling
+curve and cut into blocks of bounded size; a block is one row with its packed vectors, its centre and its radius. Blocks form
+a tree by their place on the curve. Pairs of nodes descend both trees by equi-joins: distance of centres less both radii is the
+least, plus both radii the largest distance of a pair, and a pair whose least distance exceeds the smallest largest one of its
+query node is dropped with all below it. What is left is compared block by block in rounds, nearest first: each round keeps the
+k smallest distances of every query, and the next one drops the pairs these rule out. A reference block is shipped once per
+surviving pair; no vector is sent anywhere on its own, and a task holds one query block, one reference block and k distances
+per query.
 """
 
 from __future__ import annotations
@@ -16,56 +17,260 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-MATRIX_BYTES = 64 << 20
+#: Rows and bytes of a reference block; a query block has ``QUERY_SHARE`` times as many.
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 4096
+BLOCK_BYTES = 2 << 20
+QUERY_SHARE = 2
+FANOUT = 16
+#: Reference blocks of a query block in the first round; each later round takes four times as many.
+FIRST_VISITS = 4
+#: Reference blocks that one task compares with a query block in a row.
+CHAIN = 64
+_SEQUENCE_BITS = 20
+_SLACK = 1e-9
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in series]) if len(series) else np.empty((0, 0))
 
 
-def k_smallest(q: np.ndarray, r: np.ndarray, mult: np.ndarray, k: int, skip_self: np.ndarray) -> list[list[float]]:
-    """The k smallest distances of each query row, copies counted by ``mult``.
-    Candidates come from the expanded square; their distances are then exact."""
-    out: list[list[float]] = []
+def k_smallest(q: np.ndarray, r: np.ndarray, mult: np.ndarray, k: int, skip_self: np.ndarray) -> np.ndarray:
+    """The k smallest distances of each query row, copies counted by ``mult``, infinite where there are fewer.
+
+    A row of ``skip_self`` leaves one equal vector out. Candidates come from the expanded square; their distances are then exact.
+    """
+    out = np.full((len(q), k), np.inf)
     m = min(len(r), k + 8)
     r2 = (r * r).sum(1)
+    plain = bool((mult == 1).all()) and not skip_self.any()
     for s in range(0, len(q), 512):
         part = q[s : s + 512]
         d2 = (part * part).sum(1)[:, None] + r2[None, :] - 2.0 * part @ r.T
         idx = np.argpartition(d2, m - 1, axis=1)[:, :m]
         exact = np.sqrt(((part[:, None, :] - r[idx]) ** 2).sum(2))
+        if plain:
+            out[s : s + 512, : min(k, m)] = np.sort(exact, axis=1)[:, :k]
+            continue
         order = np.argsort(exact, axis=1, kind="stable")
         for i in range(len(part)):
-            found: list[float] = []
-            owed = bool(skip_self[s + i])
+            at, owed = 0, bool(skip_self[s + i])
             for j in order[i]:
                 copies = int(mult[idx[i, j]])
                 if owed and exact[i, j] == 0.0:
                     copies, owed = copies - 1, False
-                found.extend([float(exact[i, j])] * min(copies, k - len(found)))
-                if len(found) >= k:
+                take = min(copies, k - at)
+                out[s + i, at : at + take] = exact[i, j]
+                at += take
+                if at >= k:
                     break
-            out.append(found)
     return out
 
 
-def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    d2 = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * x @ pivots.T
-    return np.sqrt(np.clip(d2, 0.0, None))
+# ---- blocks -----------------------------------------------------------------------------------------------------------------
+def _moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, and mean and standard deviation of each dimension; tasks hand on one row per dimension."""
 
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, ss = 0, 0.0, 0.0
+        for b in batches:
+            if len(b):
+                x = _matrix(b["vec"])
+                n, s, ss = n + len(x), s + x.sum(0), ss + (x * x).sum(0)
+        if n:
+            yield pd.DataFrame({"dim": np.arange(len(s)), "n": n, "s": s, "ss": ss})
+
+    rows = vectors.select("vec").mapInPandas(partial, "dim int, n long, s double, ss double").groupBy("dim").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")
+    ).orderBy("dim").collect()
+    if not rows:
+        return 0, np.empty(0), np.empty(0)
+    n, s, ss = rows[0]["n"], np.array([r["s"] for r in rows]), np.array([r["ss"] for r in rows])
+    return n, s / n, np.sqrt(np.maximum(ss / n - (s / n) ** 2, 0.0))
+
+
+def curve_key(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """Place on the curve: interleaved leading bits of the dimensions that vary most."""
+    dims = np.argsort(-sd, kind="stable")[:15]
+    bits = 60 // max(len(dims), 1)
+    width = np.where(sd[dims] > 0, 8.0 * sd[dims], 1.0)
+    cell = np.clip((x[:, dims] - mean[dims]) / width + 0.5, 0.0, 1.0 - 1e-12)
+    cell = (cell * 2.0**bits).astype(np.int64)
+    key = np.zeros(len(x), np.int64)
+    for b in range(bits - 1, -1, -1):
+        for j in range(len(dims)):
+            key = (key << 1) | ((cell[:, j] >> b) & 1)
+    return key
+
+
+def parted(x: np.ndarray, rows: int) -> Iterator[np.ndarray]:
+    """Positions of the rows of each block: cut along the widest dimension, at the widest gap of its middle half, while too large."""
+    stack = [np.arange(len(x))]
+    while stack:
+        at = stack.pop()
+        if len(at) <= rows:
+            yield at
+            continue
+        own = x[at]
+        dim = int((own.max(0) - own.min(0)).argmax())
+        order = np.argsort(own[:, dim], kind="stable")
+        lo, hi = len(at) // 4, len(at) - len(at) // 4
+        gaps = np.diff(own[order[lo:hi], dim])
+        cut = lo + 1 + int(gaps.argmax()) if len(gaps) and gaps.max() > 0 else len(at) // 2
+        stack += [at[order[cut:]], at[order[:cut]]]
+
+
+_BLOCK = "block long, n int, copies long, centre array<double>, radius double, data binary, extra binary"
+
+
+def _blocks(df: DataFrame, n: int, rows: int, mean: np.ndarray, sd: np.ndarray, extra: str, kind: str, ids: str | None = None) -> DataFrame:
+    """Rows (vec, ``extra`` and maybe ``ids``) as a written table of blocks of at most ``rows`` vectors.
+
+    ``extra`` is packed with numpy type ``kind``. A block's number is its range partition and its place there.
+    """
+    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    keep = [c for c in (ids, extra) if c]
 
-def _with_count(df: DataFrame, counts: dict[int, int], name: str) -> DataFrame:
-    """Add the number of parts of a row's cell; one row per pivot, so at most
-    ``MAX_PIVOTS`` rows are broadcast."""
-    small = df.sparkSession.createDataFrame(list(counts.items()) or [(0, 1)], f"cell int, {name} int")
-    return df.join(F.broadcast(small), "cell", "left").withColumn(name, F.coalesce(F.col(name), F.lit(1)))
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.assign(key=curve_key(_matrix(b["vec"]), mean, sd))
+
+    def blocks(held: pd.DataFrame, part: int, number: int) -> Iterator[pd.DataFrame]:
+        every = _matrix(held["vec"])
+        for k, at in enumerate(parted(every, rows)):
+            x, packed = every[at], held[extra].to_numpy()[at].astype(kind)
+            centre = x.mean(0)
+            row = {
+                "block": (part << _SEQUENCE_BITS) | (number + k), "n": len(x), "copies": int(packed.sum()) if extra == "mult" else len(x),
+                "centre": centre, "radius": float(np.sqrt(((x - centre) ** 2).sum(1).max())), "data": x.tobytes(), "extra": packed.tobytes(),
+            }
+            yield pd.DataFrame([row | ({"ids": held[ids].iloc[at].tolist()} if ids else {})])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, number, held, count = TaskContext.get().partitionId(), 0, [], 0
+        for b in batches:
+            held.append(b)
+            count += len(b)
+            if count >= rows * FANOUT:
+                for out in blocks(pd.concat(held, ignore_index=True), part, number):
+                    number += 1
+                    yield out
+                held, count = [], 0
+        if count:
+            yield from blocks(pd.concat(held, ignore_index=True), part, number)
+
+    parts = max(1, math.ceil(n / (rows * FANOUT)))
+    with_key = df.mapInPandas(keyed, f"{schema}, key long").withColumn("tie", F.xxhash64(*[c for c in df.columns]))
+    placed = with_key.repartitionByRange(parts, "key", "tie") if parts > 1 else with_key.repartition(1)
+    out = placed.sortWithinPartitions("key", "tie").select("vec", *keep)
+    return cut_lineage(out.mapInPandas(pack, _BLOCK + (f", ids array<{dict(df.dtypes)[ids]}>" if ids else "")))
+
+
+def _tree(blocks: DataFrame) -> list[DataFrame]:
+    """Levels of nodes (node, parent, copies, centre, radius) from the blocks up, the last of at most ``FANOUT`` nodes."""
+
+    def merge(nodes: pd.DataFrame) -> pd.DataFrame:
+        c, w = _matrix(nodes["centre"]), nodes["copies"].to_numpy()
+        centre = (c * w[:, None]).sum(0) / max(w.sum(), 1)
+        reach = np.sqrt(((c - centre) ** 2).sum(1)) + nodes["radius"].to_numpy()
+        return pd.DataFrame([{"node": nodes["parent"].iloc[0], "copies": int(w.sum()), "centre": centre, "radius": float(reach.max())}])
+
+    level = blocks.select(F.col("block").alias("node"), F.shiftright("block", _SEQUENCE_BITS).alias("parent"), "copies", "centre", "radius")
+    levels, count = [level], blocks.select("block").count()
+    while count > FANOUT:
+        up = level.groupBy("parent").applyInPandas(merge, "node long, copies long, centre array<double>, radius double")
+        level = cut_lineage(up.withColumn("parent", F.shiftright("node", 4)))
+        levels.append(level)
+        count = level.count()
+    return levels
+
+
+def _bounded(pairs: DataFrame, q: DataFrame, r: DataFrame, need: int) -> DataFrame:
+    """Pairs (q, r) of nodes that their bounds cannot rule out, with the least distance and that of the centres."""
+    a = q.select(F.col("node").alias("q"), F.col("centre").alias("qc"), F.col("radius").alias("qr"))
+    b = r.select(F.col("node").alias("r"), F.col("centre").alias("rc"), F.col("radius").alias("rr"), "copies")
+    apart = F.sqrt(F.aggregate(F.zip_with("qc", "rc", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+    met = pairs.join(a, "q").join(b, "r").select("q", "r", apart.alias("apart"), (F.col("qr") + F.col("rr")).alias("reach"), "copies")
+    far = F.min(F.when(F.col("copies") >= need, F.col("apart") + F.col("reach"))).over(Window.partitionBy("q"))
+    kept = met.select("q", "r", "apart", (F.col("apart") - F.col("reach")).alias("least"), far.alias("far"))
+    return kept.where(F.col("far").isNull() | (F.col("least") <= F.col("far") * (1 + _SLACK) + _SLACK)).select("q", "r", "least", "apart")
+
+
+def _surviving(qtree: list[DataFrame], rtree: list[DataFrame], need: int) -> DataFrame:
+    """Pairs of blocks after the descent of both trees."""
+    i, j = len(qtree) - 1, len(rtree) - 1
+    tops = [row["node"] for row in rtree[j].select("node").collect()]  # at most FANOUT
+    pairs = qtree[i].select(F.col("node").alias("q"), F.explode(F.array(*[F.lit(t) for t in tops])).alias("r"))
+    pairs = _bounded(pairs, qtree[i], rtree[j], need)
+    while i or j:
+        if i:
+            i -= 1
+            pairs = pairs.join(qtree[i].select(F.col("node").alias("__q"), F.col("parent").alias("q")), "q").select(F.col("__q").alias("q"), "r")
+        if j:
+            j -= 1
+            pairs = pairs.join(rtree[j].select(F.col("node").alias("__r"), F.col("parent").alias("r")), "r").select("q", F.col("__r").alias("r"))
+        pairs = _bounded(pairs.select("q", "r"), qtree[i], rtree[j], need)
+    return pairs
+
+
+# ---- rounds -----------------------------------------------------------------------------------------------------------------
+_STATE = "q long, best binary, bound double"
+
+
+def _state(q: int, best: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"q": [q], "best": [best.tobytes()], "bound": [float(best[:, -1].max())]})
+
+
+def _compare(batches: Iterator[pd.DataFrame], k: int, d: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (q, part, kind, least): a query block, then its reference blocks, nearest first.
+
+    Gives the k smallest of these distances alone; what earlier rounds found only limits the search.
+    """
+    key, q, best, skip, limit = None, None, None, None, None
+    for b in batches:
+        for row in b.itertuples(index=False):
+            if (row.q, row.part) != key:
+                if key is not None:
+                    yield _state(key[0], best)
+                key = (row.q, row.part)
+                q = np.frombuffer(row.data, "float64").reshape(-1, d)
+                skip = np.frombuffer(row.extra, "bool")
+                best = np.full((len(q), k), np.inf)
+                limit = best[:, -1] if row.best is None else np.frombuffer(row.best, "float64").reshape(-1, k)[:, -1]
+                continue
+            worst = np.minimum(best[:, -1], limit) * (1 + _SLACK) + _SLACK
+            if row.least > worst.max():
+                continue
+            gap = np.sqrt(((q - np.asarray(row.centre)) ** 2).sum(1)) - row.radius
+            near = np.flatnonzero(gap <= worst)
+            if len(near):
+                r, mult = np.frombuffer(row.data, "float64").reshape(-1, d), np.frombuffer(row.extra, "int64")
+                found = k_smallest(q[near], r, mult, k, skip[near])
+                best[near] = np.sort(np.concatenate([best[near], found], axis=1), axis=1)[:, :k]
+    if key is not None:
+        yield _state(key[0], best)
+
+
+def _merge(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by q to one row per q with the k smallest of all its rows."""
+    key, best = None, None
+    for b in batches:
+        for row in b.itertuples(index=False):
+            own = np.frombuffer(row.best, "float64").reshape(-1, k)
+            if row.q != key:
+                if key is not None:
+                    yield _state(key, best)
+                key, best = row.q, own
+            else:
+                best = np.sort(np.concatenate([best, own], axis=1), axis=1)[:, :k]
+    if key is not None:
+        yield _state(key, best)
 
 
 def nearest_distances(
@@ -75,140 +280,71 @@ def nearest_distances(
     vector: str = "vec",
     k: int = 1,
     skip_self: str | None = None,
-    matrix_bytes: int = MATRIX_BYTES,
     block_rows: int = BLOCK_ROWS,
-    max_pivots: int = MAX_PIVOTS,
+    chain: int = CHAIN,
 ) -> DataFrame:
-    """``query_id, distances`` with the k smallest Euclidean distances, ascending.
+    """``query_id, distances`` with the k smallest Euclidean distances, ascending; fewer where there are fewer references.
 
     ``skip_self`` names a boolean query column; true rows are themselves among
     the references and leave one equal vector out.
     """
     skip = F.col(skip_self) if skip_self else F.lit(False)
-    qs = queries.select(
-        F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("vec"), skip.alias("skip")
-    )
-    rs = refs.select(F.col(vector).cast("array<double>").alias("vec")).groupBy("vec").agg(
-        F.count(F.lit(1)).alias("mult")
-    )
-    size = rs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    if not size["n"]:
+    qtype = dict(queries.dtypes)[query_id]
+    qs = cut_lineage(queries.select(F.col(query_id).alias("qid"), F.col(vector).cast("array<double>").alias("vec"), skip.alias("skip")))
+    rs = cut_lineage(refs.select(F.col(vector).cast("array<double>").alias("vec")).groupBy("vec").agg(F.count(F.lit(1)).alias("mult")))
+    n, mean, sd = _moments(rs)
+    if not n:
         raise ValueError("no reference rows")
-    if size["n"] * size["d"] * 8 <= matrix_bytes:
-        found = _against_matrix(qs, rs, k)
-    else:
-        found = _by_cells(qs, rs, size["n"], k, block_rows, max_pivots)
-    return found.select(F.col("qid").alias(query_id), "distances")
-
-
-_OUT = "distances array<double>"
-
-
-def _against_matrix(qs: DataFrame, rs: DataFrame, k: int) -> DataFrame:
-    rows = rs.toPandas()
-    shared = qs.sparkSession.sparkContext.broadcast((_matrix(rows["vec"]), rows["mult"].to_numpy()))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r, mult = shared.value
-        for b in batches:
-            if len(b):
-                d = k_smallest(_matrix(b["vec"]), r, mult, k, b["skip"].to_numpy())
-                yield pd.DataFrame({"qid": b["qid"], "distances": d})
-
-    return qs.mapInPandas(scan, f"qid {dict(qs.dtypes)['qid']}, {_OUT}")
-
-
-def _by_cells(qs: DataFrame, rs: DataFrame, n: int, k: int, block_rows: int, max_pivots: int) -> DataFrame:
-    qtype = dict(qs.dtypes)["qid"]
-    n_pivots = max(2, min(max_pivots, math.isqrt(n)))
-    seedrows = rs.orderBy(F.md5(F.to_json("vec")), "vec").limit(n_pivots).select("vec").toPandas()
-    pivots = qs.sparkSession.sparkContext.broadcast(_matrix(seedrows["vec"]))
-
-    def assign(batches):
-        for b in batches:
-            if len(b):
-                d = _to_pivots(_matrix(b["vec"]), pivots.value)
-                home = d.argmin(1)
-                yield b.assign(cell=home.astype("int32"), gap=d[np.arange(len(b)), home])
-
-    cells = cut_lineage(rs.mapInPandas(assign, "vec array<double>, mult long, cell int, gap double"))
-    stats = {
-        r["cell"]: (r["far"], r["n"])
-        for r in cells.groupBy("cell").agg(F.max("gap").alias("far"), F.count(F.lit(1)).alias("n")).collect()
-    }
-    chunks = {c: math.ceil(s[1] / block_rows) for c, s in stats.items()}
-    known = np.array(sorted(stats))
-    radius = np.array([stats[c][0] for c in known])
-
-    def match(q_cells: DataFrame) -> DataFrame:
-        load = {r["cell"]: r["count"] for r in q_cells.groupBy("cell").count().collect()}
-        salts = {c: math.ceil(v / block_rows) for c, v in load.items()} or {0: 1}
-        left = _with_count(_with_count(q_cells, chunks, "n_chunks"), salts, "n_salts").select(
-            "qid", "vec", "skip", "cell",
-            F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"),
-            F.pmod(F.xxhash64("qid"), F.col("n_salts").cast("long")).cast("int").alias("salt"),
-        )
-        right = _with_count(_with_count(cells, chunks, "n_chunks"), salts, "n_salts").select(
-            "vec", "mult", "cell",
-            F.pmod(F.xxhash64("vec"), F.col("n_chunks").cast("long")).cast("int").alias("chunk"),
-            F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"),
-        )
-
-        def solve(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(r):
-                return q.assign(distances=None).iloc[:0][["qid", "vec", "skip", "distances"]].astype(
-                    {"vec": object, "distances": object}
-                )
-            d = k_smallest(_matrix(q["vec"]), _matrix(r["vec"]), r["mult"].to_numpy(), k, q["skip"].to_numpy())
-            return pd.DataFrame({"qid": q["qid"], "vec": q["vec"], "skip": q["skip"], "distances": d})
-
-        keys = ["cell", "chunk", "salt"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-            solve, f"qid {qtype}, vec array<double>, skip boolean, {_OUT}"
-        )
-
-    def merged(parts: DataFrame, *keep: str) -> DataFrame:
-        if k == 1:
-            least = F.min(F.get("distances", F.lit(0)))
-            one = parts.groupBy("qid").agg(*[F.first(c).alias(c) for c in keep], least.alias("d"))
-            return one.select("qid", *keep, F.filter(F.array("d"), lambda x: x.isNotNull()).alias("distances"))
-        return parts.groupBy("qid").agg(
-            *[F.first(c).alias(c) for c in keep],
-            F.slice(F.array_sort(F.flatten(F.collect_list("distances"))), 1, k).alias("distances"),
-        )
-
-    def home(batches):
-        for b in batches:
-            if len(b):
-                x = _to_pivots(_matrix(b["vec"]), pivots.value[known])
-                yield b.assign(cell=known[x.argmin(1)].astype("int32"))
-
-    schema = f"qid {qtype}, vec array<double>, skip boolean"
-    near = cut_lineage(merged(match(qs.mapInPandas(home, f"{schema}, cell int")), "vec", "skip"))
-
-    def others(batches):
+    n_queries = qs.count()
+    if not n_queries:
+        return qs.select(F.col("qid").alias(query_id), F.array().cast("array<double>").alias("distances"))
+    d = len(mean)
+    rows = max(1, min(block_rows, BLOCK_BYTES // (8 * max(d, 1))))
+    qblocks = _blocks(qs, n_queries, rows * QUERY_SHARE, mean, sd, "skip", "bool", "qid")
+    rblocks = _blocks(rs, n, rows, mean, sd, "mult", "int64")
+    near = _surviving(_tree(qblocks), _tree(rblocks), k + bool(skip_self))
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        order = Window.partitionBy("q").orderBy("least", "apart", "r")
+        return cut_lineage(pairs.select("q", "r", "least", "apart", F.row_number().over(order).alias("rank")))
+
+    pairs, state, visits = ranked(near), None, FIRST_VISITS
+    while True:
+        state = _round(qblocks, rblocks, pairs.where(F.col("rank") <= visits), state, k, d, chain)
+        if not pairs.where(F.col("rank") > visits).limit(1).count():
+            break
+        left = pairs.where(F.col("rank") > visits).drop("rank").join(state.select("q", "bound"), "q")
+        pairs = ranked(left.where(F.col("least") <= F.col("bound") * (1 + _SLACK) + _SLACK))
+        visits *= 4
+        if not pairs.limit(1).count():
+            break
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            x = _to_pivots(_matrix(b["vec"]), pivots.value[known])
-            best = x.argmin(1)
-            own = x[np.arange(len(b)), best]
-            bound = np.array([d[k - 1] if len(d) >= k else np.inf for d in b["distances"]])
-            floor = np.maximum(x - radius[None, :], (x - own[:, None]) / 2.0)
-            visit = floor <= (bound * (1 + 1e-9) + 1e-9)[:, None]
-            visit[np.arange(len(b)), best] = False
-            row, col = np.nonzero(visit)
-            yield pd.DataFrame(
-                {
-                    "qid": b["qid"].to_numpy()[row],
-                    "vec": b["vec"].to_numpy()[row],
-                    "skip": b["skip"].to_numpy()[row],
-                    "cell": known[col].astype("int32"),
-                }
-            )
-
-    far = match(near.mapInPandas(others, f"{schema}, cell int")).select("qid", "distances")
-    return merged(near.select("qid", "distances").unionByName(far))
+            for row in b.itertuples(index=False):
+                best = np.frombuffer(row.best, "float64").reshape(-1, k)
+                yield pd.DataFrame({"qid": row.ids, "distances": [list(x[np.isfinite(x)]) for x in best]})
+
+    found = qblocks.select(F.col("block").alias("q"), "ids").join(state, "q").select("ids", "best")
+    return found.mapInPandas(rows_of, f"qid {qtype}, distances array<double>").select(F.col("qid").alias(query_id), "distances")
+
+
+def _round(qblocks: DataFrame, rblocks: DataFrame, pairs: DataFrame, state: DataFrame | None, k: int, d: int, chain: int) -> DataFrame:
+    """The state (q, best, bound) of all query blocks after comparing ``pairs``."""
+    parted = pairs.select("q", "r", "least", F.floor((F.col("rank") - 1) / chain).cast("int").alias("part"))
+    q = qblocks.select(F.col("block").alias("q"), "data", "extra")
+    q = q.withColumn("best", F.lit(None).cast("binary")) if state is None else q.join(state.select("q", "best"), "q", "left")
+    heads = parted.select("q", "part").distinct().join(q, "q").select(
+        "q", "part", F.lit(0).alias("kind"), F.lit(-1.0).alias("least"), "data", "extra", "best",
+        F.lit(None).cast("array<double>").alias("centre"), F.lit(0.0).alias("radius"),
+    )
+    tails = parted.join(rblocks.withColumnRenamed("block", "r"), "r").select(
+        "q", "part", F.lit(1).alias("kind"), "least", "data", "extra", F.lit(None).cast("binary").alias("best"), "centre", "radius"
+    )
+    rows = heads.unionAll(tails).repartition("q", "part").sortWithinPartitions("q", "part", "kind", "least")
+    found = rows.mapInPandas(lambda b: _compare(b, k, d), _STATE)
+    every = found if state is None else found.unionAll(state)
+    return cut_lineage(every.repartition("q").sortWithinPartitions("q").mapInPandas(lambda b: _merge(b, k), _STATE))
 
 
 def as_vector(cols: Sequence[str]) -> Column:
