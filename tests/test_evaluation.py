@@ -160,3 +160,26 @@ def test_full_evaluation_pools(spark):
     assert {(d, m) for d in (0, 1) for m in names} <= got
     tables = evaluation.result_tables(found)
     assert "[" in tables["utility_results"].first()["auc_gap"] and rng is not None
+
+
+def test_pair_moments_by_group(spark):
+    """Missing values in either column, NULL and hot groups, more groups than a task holds."""
+    from tidemark.operators import profiles
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(5e6, 1, (600, 3))
+    x[rng.random((600, 3)) < 0.2] = np.nan
+    group = [None if i % 3 == 0 else f"g{i % 7}" for i in range(600)]
+    rows = [(g, *[None if np.isnan(v) else float(v) for v in r]) for g, r in zip(group, x)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, c double")
+    held, profiles.HELD_GROUPS = profiles.HELD_GROUPS, 2
+    try:
+        got = {(r["g"], r["a"], r["b"]): r["r"] for r in profiles.correlations(df, ["a", "b", "c"], ["g"]).collect()}
+    finally:
+        profiles.HELD_GROUPS = held
+    for g in set(group):
+        own = x[[h == g for h in group]]
+        for i, a in enumerate("abc"):
+            for j, b in enumerate("abc"):
+                ok = ~np.isnan(own[:, i]) & ~np.isnan(own[:, j])
+                assert got[g, a, b] == pytest.approx(np.corrcoef(own[ok, i], own[ok, j])[0, 1], abs=1e-6)

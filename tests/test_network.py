@@ -44,7 +44,7 @@ def test_structure_and_sampling(profiles):
 def test_tables_sum_to_one(profiles):
     _, df = profiles
     net = bayes.fit_network(df, ["a", "b", "c"], [])
-    for r in net.tables.groupBy("node", "parent_key").agg(F.sum("prob").alias("s"), F.max("cum_hi").alias("h")).collect():
+    for r in net.tables.groupBy("node", "parent_states").agg(F.sum("prob").alias("s"), F.max("cum_hi").alias("h")).collect():
         assert r["s"] == pytest.approx(1.0) and r["h"] == pytest.approx(1.0)
     iso = [v for v in net.features if not net.parents[v] and not any(v in p for p in net.parents.values())]
     for v in iso:  # isolated nodes keep their plain shares
@@ -87,10 +87,36 @@ def test_no_common_key_is_an_error(spark):
         bayes.pair_static_with_series(a, b)
 
 
-def test_too_many_states_is_an_error(spark):
-    df = spark.range(bayes.MAX_STATES + 1).select(F.col("id").cast("string").alias("a"))
-    with pytest.raises(ValueError):
-        bayes.states_of(bayes.distinct_profiles(df, ["a"]), ["a"])
+def test_very_many_states_are_sampled(spark):
+    """20,000 states of a node, a rare and a hot parent state: shares follow the table, nothing is refused."""
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 100 == 0, "rare").otherwise("hot").alias("a"), F.concat(F.lit("s"), F.col("id") % 20_000).alias("b")
+    )
+    profiles = bayes.distinct_profiles(df, ["a", "b"])
+    states = bayes.states_of(profiles, ["a", "b"])
+    assert states.counts == {"a": 2, "b": 20_000}
+    parents = {"a": [], "b": ["a"]}
+    net = bayes.ProfileNetwork(["a", "b"], parents, states, bayes.probability_tables(profiles, parents, states, 40_000, full=False))
+    got = net.sample_states(5_000, 3)
+    row = got.agg(F.count("b").alias("n"), F.countDistinct("b").alias("d"), F.avg((F.col("a") == "hot").cast("int")).alias("hot")).first()
+    assert row["n"] == 5_000 and row["d"] > 3_500 and abs(row["hot"] - 0.99) < 0.01
+
+
+def test_marks_in_states_and_unseen_combinations(spark):
+    """States with | and = stay apart; a parent combination without rows has equal shares, listed or not."""
+    rows = [("x|b=y", "z", "p")] * 6 + [("x", "b=y|z", "q")] * 6 + [("x", "z", "p")] * 3 + [("x", "z", "q")] * 1
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    profiles = bayes.distinct_profiles(df, ["a", "b", "c"])
+    states = bayes.states_of(profiles, ["a", "b", "c"])
+    parents = {"a": [], "b": [], "c": ["a", "b"]}
+    full, seen = (bayes.ProfileNetwork(["a", "b", "c"], parents, states, bayes.probability_tables(profiles, parents, states, 16, full=f)) for f in (True, False))
+    table = {(tuple(r["parent_states"]), r["state"]): r["prob"] for r in full.table("c").collect()}
+    assert len(table) == 8 and table[("x|b=y", "z"), "p"] == pytest.approx((6 + 10 / 8) / (6 + 10 / 4))
+    assert table[("x|b=y", "b=y|z"), "p"] == pytest.approx(0.5)
+    assert seen.table("c").count() == 6
+    one, other = (net.sample_states(400, 7).collect() for net in (full, seen))
+    assert {(r["row_id"], r["a"], r["b"], r["c"]) for r in one} == {(r["row_id"], r["a"], r["b"], r["c"]) for r in other}
+    assert any(r["a"] == "x|b=y" and r["b"] == "b=y|z" for r in one)
 
 
 def test_scenario_backs_off(spark):

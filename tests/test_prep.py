@@ -135,3 +135,19 @@ def test_columns_align(spark):
     x, y = prep.align_columns(a, b)
     assert x.columns == y.columns == ["a", "b", "c"] and y.first()["a"] == 0
     assert len(vocab.PROFILE_FEATURES) == 17
+
+
+def test_wide_one_hot_and_back(spark):
+    """100,000 categories: numbered without gaps in order, encoded by a join, inverted."""
+    df = spark.range(200_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("a"), F.when(F.col("id") % 2 == 0, "even").alias("b"))
+    index = prep.category_index(df, ["a", "b"])
+    rows = [(r["variable"], r["category"], r["at"]) for r in index.orderBy("at").collect()]
+    assert len(rows) > 100_000 and [r[2] for r in rows] == list(range(len(rows))) and rows == sorted(rows)
+    hot = prep.sparse_indicators(df, index, ["a", "b"])
+    assert hot.columns == ["id", "hot"]
+    assert prep.from_indicators(hot, index, ["a", "b"]).exceptAll(df.select("id", "a", "b")).count() == 0
+    few = prep.indicator_vectors(hot.where("id < 4"), len(rows), 2).orderBy("id").collect()
+    assert all(v["features"].size == 2 * len(rows) for v in few)
+    assert [sorted(int(i) for i in v["features"].indices) for v in few] == [
+        sorted(x + k * len(rows) for k, x in enumerate(r["hot"]) if x is not None) for r in hot.where("id < 4").orderBy("id").collect()
+    ]

@@ -168,3 +168,29 @@ def test_weighted_quantiles(hot):
     for n_blocks in (None, 7):
         got = skew.quantiles(counts, ["v"], [0.5], ["g"], n_blocks, weight="k")
         assert {r["g"]: r["q0"] for r in got.collect()} == pytest.approx(pdf.groupby("g")["v"].median().to_dict())
+
+
+def test_cuts_agree_with_ranks(hot, monkeypatch):
+    """The radix selection takes the rows that the full ranking takes, also with few slices, NULL strata and empty shares."""
+    pdf, df = hot
+    monkeypatch.setattr(skew, "SLICES", 4)
+    ranked = {r["id"]: (r["rank"], r["stratum_rows"]) for r in skew.hash_rank(df, ["id"], 5, ["g"]).collect()}
+    cuts = skew.hash_cuts(df, ["id"], 5, ["g"], lambda rows: [F.floor(rows * 0.3), F.lit(0), rows])
+    out = skew.null_safe_join(df, cuts, ["g"], "left").select(
+        "id", *[skew.upto_cut(f"cut{i}", ["id"], 5).alias(f"t{i}") for i in range(3)]
+    ).collect()
+    assert len(out) == len(ranked)
+    for r in out:
+        rank, rows = ranked[r["id"]]
+        assert r["t0"] == (rank <= int(rows * 0.3)) and not r["t1"] and r["t2"]
+
+
+def test_samples_and_splits_of_few_rows(spark):
+    from tidemark.operators.prep import random_sample, stratified_split
+
+    df = spark.createDataFrame([(i, "a" if i < 7 else None) for i in range(10)], "id long, s string")
+    assert random_sample(df, ["id"], 4).count() == 4
+    assert random_sample(df, ["id"], 99).count() == 10
+    assert random_sample(df.where("false"), ["id"], 3).count() == 0
+    got = stratified_split(df, ["id"], "s", 0.3, 0.3).groupBy("s", "split").count().collect()
+    assert {(r["s"], r["split"]): r["count"] for r in got} == {("a", "test"): 2, ("a", "val"): 2, ("a", "train"): 3, (None, "test"): 1, (None, "val"): 1, (None, "train"): 1}

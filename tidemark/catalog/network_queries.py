@@ -49,7 +49,9 @@ def profile_states(spark, folder):
 
 @query("family_counts", f"WITH {_DATA} {_counts_sql()}")
 def family_counts(spark, folder):
-    return bayes.family_counts(_profiles(spark, folder), _FAMILIES)
+    counts = bayes.family_counts(_profiles(spark, folder), _FAMILIES)
+    text = bayes.parent_text({i: ps for i, (_, ps) in enumerate(_FAMILIES)}, "family")
+    return counts.select("family", "node", text.alias("parent_key"), "state", "n")
 
 
 _CARD = {"o_orderpriority": 5, "o_orderstatus": 3, "c_mktsegment": 5}
@@ -101,7 +103,7 @@ def _network(spark, folder):
     f"WITH {_DATA}, {_tables_sql()} SELECT node, parent_key, state, n, {r('prob')} AS prob, {r('cum_hi - prob')} AS cum_lo, {r('cum_hi')} AS cum_hi FROM t",
 )
 def cpd_bdeu(spark, folder):
-    return rounded(_network(spark, folder)[0].tables)
+    return rounded(_network(spark, folder)[0].described())
 
 
 @query(

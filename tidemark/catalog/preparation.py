@@ -63,6 +63,24 @@ def onehot_align(spark, folder):
     return rounded(a.unionByName(b))
 
 
+@query(
+    "sparse_onehot",
+    """WITH c AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS customer, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status FROM orders),
+    i AS (SELECT v, x, ROW_NUMBER() OVER (ORDER BY v, x) - 1 AS at FROM (SELECT DISTINCT 'customer' AS v, customer AS x FROM c UNION SELECT DISTINCT 'status', status FROM c WHERE status IS NOT NULL))
+    SELECT o_orderkey, a.at AS customer_at, b.at AS status_at, customer, status FROM c JOIN i a ON a.v = 'customer' AND a.x = customer LEFT JOIN i b ON b.v = 'status' AND b.x = status""",
+)
+def sparse_onehot(spark, folder):
+    """Customers and states of orders as places in one wide indicator row, and back from it."""
+    o = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("string").alias("customer"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status")
+    )
+    cols = ["customer", "status"]
+    index = prep.category_index(o, cols)
+    hot = prep.sparse_indicators(o, index, cols)
+    places = hot.withColumns({"customer_at": F.get("hot", F.lit(0)), "status_at": F.get("hot", F.lit(1))})
+    return prep.from_indicators(places, index, cols).select("o_orderkey", "customer_at", "status_at", *cols)
+
+
 @query(
     "reverse_onehot",
     """SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'BUILDING' END AS segment, 'none' AS absent FROM customer""",

@@ -2,8 +2,10 @@
 
 Counting is the only part that sees the data: profiles are reduced to distinct
 combinations once, families are counted together in one pass, and what comes
-back to the driver is one score per candidate family. Sampling joins bounded
-probability tables to ``range(n)`` with hash-based uniforms.
+back to the driver is one score per candidate family. Parent states are arrays,
+so any text is told apart. States, probability tables and samples are tables of
+any size: a child's state is drawn by a join on its parents' states and the slot
+of the unit interval that its uniform number falls in.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ from pyspark.sql import functions as F
 
 from tidemark import vocab
 from tidemark.functions.exprs import bin_label, hash_uniform
-from tidemark.operators.prep import quartile_edges, quartile_label
+from tidemark.operators.prep import category_index, quartile_edges, quartile_label
 from tidemark.session import cut_lineage
 
-MAX_TABLE_ROWS = 200_000
-MAX_STATES = 1_000
+#: States of one parent combination that share a slot of the unit interval when a child is drawn.
+SLOT_STATES = 8
 Family = tuple[str, tuple[str, ...]]
 
 
@@ -56,50 +58,65 @@ def distinct_profiles(data: DataFrame, features: Sequence[str]) -> DataFrame:
     return data.groupBy(*features).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def states_of(profiles: DataFrame, features: Sequence[str]) -> dict[str, list[str]]:
-    entries = F.array(*[F.struct(F.lit(c).alias("node"), F.col(c).alias("state")) for c in features])
-    rows = (
-        profiles.select(F.explode(entries).alias("e")).select("e.*").distinct()
-        .limit(MAX_STATES * len(features) + 1).collect()
-    )
-    out: dict[str, list[str]] = {c: [] for c in features}
-    for r in rows:
-        out[r["node"]].append(r["state"])
-    for c, s in out.items():
-        if len(s) > MAX_STATES:
-            raise ValueError(f"{c} has over {MAX_STATES} states; bin it first")
-    return {c: sorted(s) for c, s in out.items()}
+@dataclass
+class States:
+    """``table``: node, state and its place ``at`` among the node's states in order; ``counts``: their number per node."""
+
+    table: DataFrame
+    counts: dict[str, int]
+
+    def of(self, node: str) -> DataFrame:
+        return self.table.where(F.col("node") == node).select("state", "at")
+
+
+def states_of(profiles: DataFrame, features: Sequence[str]) -> States:
+    """All states of all features as a table. The driver sees one number per feature."""
+    index = category_index(profiles, features)
+    spans = {r["variable"]: (r["lo"], r["n"]) for r in index.groupBy("variable").agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("n")).collect()}
+    first = F.lit(0)
+    for c, (lo, _) in spans.items():
+        first = F.when(F.col("variable") == c, F.lit(lo)).otherwise(first)
+    table = index.select(F.col("variable").alias("node"), F.col("category").alias("state"), (F.col("at") - first).cast("bigint").alias("at"))
+    return States(table, {c: spans.get(c, (0, 0))[1] for c in features})
 
 
 # ---- counts and scores ----------------------------------------------------
-def parent_key(parents: Sequence[str]) -> Column:
-    """``a=x|b=y`` over the parents, empty without parents."""
-    if not parents:
-        return F.lit("")
-    return F.concat_ws("|", *[F.concat(F.lit(f"{p}="), F.col(p)) for p in parents])
+def parent_states(parents: Sequence[str]) -> Column:
+    """The parents' states as an array, empty without parents."""
+    return F.array(*[F.col(p).cast("string") for p in parents]).cast("array<string>")
+
+
+def parent_text(parents: Mapping[str, Sequence[str]], node: str = "node", states: str = "parent_states") -> Column:
+    """``a=x|b=y`` for reading; tables are joined on the arrays."""
+    text = F.lit("")
+    for v, ps in parents.items():
+        if ps:
+            named = F.zip_with(F.array(*[F.lit(p) for p in ps]), F.col(states), lambda p, x: F.concat(p, F.lit("="), x))
+            text = F.when(F.col(node) == v, F.array_join(named, "|")).otherwise(text)
+    return text
 
 
 def family_counts(profiles: DataFrame, families: Sequence[Family]) -> DataFrame:
-    """``family, node, parent_key, state, n`` for many families in one pass."""
+    """``family, node, parent_states, state, n`` for many families in one pass."""
     entries = F.array(
         *[
             F.struct(
                 F.lit(i).alias("family"), F.lit(node).alias("node"),
-                parent_key(parents).alias("parent_key"), F.col(node).alias("state"),
+                parent_states(parents).alias("parent_states"), F.col(node).cast("string").alias("state"),
             )
             for i, (node, parents) in enumerate(families)
         ]
     )
     return (
         profiles.select("weight", F.explode(entries).alias("e")).select("weight", "e.*")
-        .groupBy("family", "node", "parent_key", "state").agg(F.sum("weight").alias("n"))
+        .groupBy("family", "node", "parent_states", "state").agg(F.sum("weight").alias("n"))
     )
 
 
 def log_likelihoods(counts: DataFrame) -> DataFrame:
     """Per family Σ n·ln(n / n_parents), without a window over a family."""
     n = F.col("n").cast("double")
-    per_parent = counts.groupBy("family", "parent_key").agg(
+    per_parent = counts.groupBy("family", "parent_states").agg(
         F.sum(n).alias("np"), F.sum(n * F.log(n)).alias("nlogn")
     )
     return per_parent.groupBy("family").agg(
@@ -119,7 +136,7 @@ def joint_counts(profiles: DataFrame, sets: Sequence[tuple[str, ...]]) -> DataFr
 
 
 def bic_scores(
-    profiles: DataFrame, families: Sequence[Family], states: Mapping[str, Sequence[str]], n_rows: int
+    profiles: DataFrame, families: Sequence[Family], states: States, n_rows: int
 ) -> dict[Family, float]:
     """BIC of every family: log-likelihood less ½·ln N per free parameter.
 
@@ -135,13 +152,13 @@ def bic_scores(
         "family int, set_id int, node_at int",
     )
     counts = joint_counts(profiles, sets).join(F.broadcast(lookup), "set_id").select(
-        "family", F.filter("states", lambda s, i: i != F.col("node_at")).alias("parent_key"), "n"
+        "family", F.filter("states", lambda s, i: i != F.col("node_at")).alias("parent_states"), "n"
     )
     ll = {r["family"]: r["log_likelihood"] for r in log_likelihoods(counts).collect()}
     out = {}
     for i, (node, parents) in enumerate(families):
-        q = math.prod(len(states[p]) for p in parents)
-        out[node, parents] = ll[i] - 0.5 * math.log(n_rows) * q * (len(states[node]) - 1)
+        q = math.prod(states.counts[p] for p in parents)
+        out[node, parents] = ll[i] - 0.5 * math.log(n_rows) * q * (states.counts[node] - 1)
     return out
 
 
@@ -160,7 +177,7 @@ def _reaches(parents: Mapping[str, set], start: str, goal: str) -> bool:
 
 
 def learn_structure(
-    profiles: DataFrame, features: Sequence[str], states: Mapping[str, Sequence[str]], n_rows: int,
+    profiles: DataFrame, features: Sequence[str], states: States, n_rows: int,
     max_indegree: int = 3, epsilon: float = 1e-4, tabu: int = 100,
 ) -> dict[str, set]:
     """Greedy add / remove / reverse search on BIC. The driver holds only scores
@@ -210,40 +227,47 @@ def learn_structure(
 
 
 # ---- probability tables ---------------------------------------------------
-def _grid(spark: SparkSession, node: str, parents: Sequence[str], states: Mapping[str, Sequence[str]]) -> DataFrame:
-    g = spark.range(1).select()
-    for c in [*parents, node]:
-        g = g.select("*", F.explode(F.array(*[F.lit(s) for s in states[c]])).alias(c))
-    return g.select(F.lit(node).alias("node"), parent_key(parents).alias("parent_key"), F.col(node).alias("state"))
+def _combinations(spark: SparkSession, parents: Sequence[str], states: States) -> DataFrame:
+    """All combinations of parent states, one column per parent: numbers of a range, taken apart by the numbers of states."""
+    out = spark.range(math.prod(states.counts[p] for p in parents))
+    rest = F.col("id")
+    for p in parents:
+        out = out.withColumn(f"__{p}", F.pmod(rest, F.lit(states.counts[p])))
+        rest = F.floor(rest / F.lit(states.counts[p]))
+    for p in parents:
+        out = out.join(states.of(p).select(F.col("at").alias(f"__{p}"), F.col("state").alias(p)), f"__{p}")
+    return out.select(parent_states(parents).alias("parent_states"))
 
 
 def probability_tables(
-    profiles: DataFrame, parents: Mapping[str, Sequence[str]], states: Mapping[str, Sequence[str]], n_rows: int,
-    equivalent_sample_size: float = 10.0,
+    profiles: DataFrame, parents: Mapping[str, Sequence[str]], states: States, n_rows: int,
+    equivalent_sample_size: float = 10.0, full: bool = True,
 ) -> DataFrame:
-    """``node, parent_key, state, prob, cum_lo, cum_hi`` over the full grid.
+    """``node, parent_states, state, n, prob, cum_lo, cum_hi``.
 
-    Nodes with an edge get the BDeu estimate; isolated ones their plain shares.
+    Nodes with an edge get the BDeu estimate; isolated ones their plain shares. With ``full`` all combinations of parent states
+    are listed, else those that occur: any other has equal shares for all states.
     """
     families = [(v, tuple(sorted(ps))) for v, ps in parents.items()]
-    rows = sum(math.prod(len(states[c]) for c in (v, *ps)) for v, ps in families)
-    if rows > MAX_TABLE_ROWS:
-        raise ValueError(f"probability tables would hold {rows} rows")
     linked = {v for v, ps in parents.items() if ps} | {p for ps in parents.values() for p in ps}
-    counts = family_counts(profiles, families).drop("family")
+    counts = cut_lineage(family_counts(profiles, families).drop("family"))
     grid = None
     for v, ps in families:
-        part = _grid(profiles.sparkSession, v, ps, states)
-        q, r = math.prod(len(states[p]) for p in ps), len(states[v])
+        own = counts.where(F.col("node") == v)
+        rows = _combinations(profiles.sparkSession, ps, states) if full and ps else own.select("parent_states").distinct()
+        q, r = math.prod(states.counts[p] for p in ps), states.counts[v]
+        at = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(r - 1).cast("bigint"))))
         ess = equivalent_sample_size if v in linked else 0.0
-        part = part.select("*", F.lit(ess / (q * r)).alias("prior"), F.lit(ess / q).alias("prior_row"))
+        part = at.join(states.of(v), "at").select(
+            F.lit(v).alias("node"), "parent_states", "state", F.lit(ess / (q * r)).alias("prior"), F.lit(ess / q).alias("prior_row")
+        )
         grid = part if grid is None else grid.unionByName(part)
-    key = ["node", "parent_key"]
-    full = grid.join(counts, [*key, "state"], "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
+    key = ["node", "parent_states"]
+    full_counts = grid.join(counts, [*key, "state"], "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
     rowsum = Window.partitionBy(*key)  # at most one row per state
     prob = (F.col("n") + F.col("prior")) / (F.sum("n").over(rowsum) + F.col("prior_row"))
     upto = rowsum.orderBy("state").rowsBetween(Window.unboundedPreceding, 0)
-    out = full.select(*key, "state", F.col("n").cast("long").alias("n"), prob.alias("prob"))
+    out = full_counts.select(*key, "state", F.col("n").cast("long").alias("n"), prob.alias("prob"))
     return out.select(
         "*",
         (F.sum("prob").over(upto) - F.col("prob")).alias("cum_lo"),
@@ -254,11 +278,11 @@ def probability_tables(
 # ---- the fitted network ---------------------------------------------------
 @dataclass
 class ProfileNetwork:
-    """Fitted structure, tables and bins; all tables are small and bounded."""
+    """Fitted structure, states, probability tables (all parent combinations, or those that occur) and bins."""
 
     features: list[str]
     parents: dict[str, list[str]]
-    states: dict[str, list[str]]
+    states: States
     tables: DataFrame
     edges: dict = field(default_factory=dict)
     fixed_bins: Mapping[str, tuple] = field(default_factory=lambda: vocab.FIXED_BINS)
@@ -282,39 +306,47 @@ class ProfileNetwork:
         """Edges into ``target`` and its conditional probabilities by parent state."""
         ps = [p for p in self.parents[target] if of_interest is None or p in of_interest]
         table = self.table(target).select(
-            "parent_key", F.concat_ws("=", F.lit(target), "state").alias("outcome"), "state", "prob"
+            parent_text({target: sorted(self.parents[target])}).alias("parent_key"),
+            F.concat_ws("=", F.lit(target), "state").alias("outcome"), "state", "prob",
         )
-        return {"edges": [(p, target) for p in ps], "parents": ps, "states": self.states[target], "table": table}
+        return {"edges": [(p, target) for p in ps], "parents": ps, "states": self.states.of(target), "table": table}
+
+    def described(self) -> DataFrame:
+        """The tables with ``parent_key`` as text."""
+        named = {v: sorted(ps) for v, ps in self.parents.items()}
+        return self.tables.select("node", parent_text(named).alias("parent_key"), *[c for c in self.tables.columns if c not in ("node", "parent_states")])
 
     def sample_states(self, n: int, seed: int = 42, datasets: int = 1) -> DataFrame:
         """Ancestral sampling of ``n`` rows per dataset, dataset ``i`` on seed + i.
 
-        Each node joins its own table on the parent states. Tables hold at most
-        ``MAX_TABLE_ROWS`` rows in all, so broadcasting them is bounded; nodes
-        without parents have one short list, which becomes a literal.
+        Each node joins its own table on the parents' states and a slot of the unit interval; a probability is listed in the
+        slots it reaches into, so a row meets a few of them, and a parent combination that a third of the rows have is spread
+        over all its slots. Combinations that are not listed have equal shares.
         """
-        spark = self.tables.sparkSession
-        roots: dict[str, list] = {}
-        for t in self.tables.where("parent_key = ''").orderBy("node", "cum_hi", "state").collect():
-            roots.setdefault(t["node"], []).append(F.struct(F.lit(t["cum_hi"]).alias("cum_hi"), F.lit(t["state"]).alias("state")))
-        out = spark.range(n).withColumnRenamed("id", "row_id").withColumn(
+        out = self.tables.sparkSession.range(n).withColumnRenamed("id", "row_id").withColumn(
             "dataset_id", F.explode(F.sequence(F.lit(0), F.lit(datasets - 1)))
         )
         for v in self.order():
+            r = self.states.counts[v]
+            slots = max(1, math.ceil(r / SLOT_STATES))
+            order = Window.partitionBy("parent_states").orderBy("state")
+            table = self.table(v).select(
+                F.col("parent_states").alias("__p"),
+                F.col("state").alias(v),
+                F.coalesce(F.lag("cum_hi").over(order), F.lit(0.0)).alias("__lo"),
+                F.when(F.lead("state").over(order).isNull(), F.lit(2.0)).otherwise(F.col("cum_hi")).alias("__hi"),
+            )
+            slot = lambda x: F.least(F.floor(x * slots), F.lit(slots - 1))  # noqa: B023, E731
+            table = table.withColumn("__slot", F.explode(F.sequence(slot(F.col("__lo")), slot(F.col("__hi")))))
             u = hash_uniform(F.lit(seed) + F.col("dataset_id"), F.col("row_id"), F.lit(v))
-            if v in roots:
-                out = out.withColumn("choices", F.array(*roots[v]))
-            else:
-                choices = self.table(v).groupBy("parent_key").agg(
-                    F.array_sort(F.collect_list(F.struct("cum_hi", "state"))).alias("choices")
-                )
-                out = out.withColumn("parent_key", parent_key(sorted(self.parents[v]))).join(
-                    F.broadcast(choices), "parent_key"
-                )
-            out = out.withColumn("__u", u)
-            hit = F.filter("choices", lambda c: c["cum_hi"] > F.col("__u"))
-            pick = F.coalesce(F.get(hit, F.lit(0)), F.element_at("choices", F.lit(-1)))["state"]
-            out = out.withColumn(v, pick).drop("parent_key", "choices", "__u")
+            rows = out.withColumn("__u", u).withColumn("__s", slot(F.col("__u"))).withColumn("__q", parent_states(sorted(self.parents[v])))
+            met = (F.col("__q") == F.col("__p")) & (F.col("__s") == F.col("__slot")) & (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))
+            out = rows.join(table, met, "left")
+            if self.parents[v]:
+                even = self.states.of(v).select(F.col("at").alias("__at"), F.col("state").alias("__even"))
+                at = F.when(F.col(v).isNull(), F.floor(F.col("__u") * r).cast("bigint"))
+                out = out.withColumn("__i", at).join(even, F.col("__i") == F.col("__at"), "left").withColumn(v, F.coalesce(v, "__even"))
+            out = out.drop("__u", "__s", "__q", "__p", "__lo", "__hi", "__slot", "__i", "__at", "__even")
         return out
 
     def to_values(self, sampled: DataFrame, seed: int = 0) -> DataFrame:
@@ -367,7 +399,7 @@ def fit_network(
     states = states_of(profiles, features)
     parents = learn_structure(profiles, features, states, n_rows, max_indegree)
     ordered = {v: sorted(ps) for v, ps in parents.items()}
-    tables = cut_lineage(probability_tables(profiles, ordered, states, n_rows, equivalent_sample_size))
+    tables = cut_lineage(probability_tables(profiles, ordered, states, n_rows, equivalent_sample_size, full=False))
     ints = [c for c, t in df.dtypes if c in features and t in ("int", "bigint") and c not in fixed_bins and c not in quart]
     return ProfileNetwork(features, ordered, states, tables, edges, fixed_bins, ints, inverse_ranges)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import vocab
@@ -19,9 +19,9 @@ from tidemark.functions.exprs import (
     scale_to_unit,
     unscale_from_unit,
 )
-from tidemark.operators.skew import hash_rank, quantiles
+from tidemark.operators.skew import hash_cuts, null_safe_join, quantiles, upto_cut
+from tidemark.session import cut_lineage
 
-MAX_CATEGORIES = 2_000
 
 
 def is_lab(column: str) -> bool:
@@ -35,7 +35,7 @@ def fit_imputation(train: DataFrame, method: str = "median", exclude: Sequence[s
     Numeric: median or mean. Text: most frequent value, ties by value order.
     """
     if method not in ("median", "mean"):
-        raise ValueError(f"Unsupported imputation method: {method!r}")
+        raise ValueError(f"impute by median or mean, not by {method!r}")
     numeric = numeric_columns(train, exclude)
     text = [c for c, t in train.dtypes if t == "string" and c not in exclude]
     fills: dict = {}
@@ -97,30 +97,65 @@ def impute(df: DataFrame, method: str = "median") -> DataFrame:
 
 
 # ---- one-hot --------------------------------------------------------------
-def fit_categories(
-    train: DataFrame, cols: Sequence[str] = vocab.CATEGORICAL_COLUMNS
-) -> dict[str, list[str]]:
-    """Distinct non-NULL values per categorical column, sorted. A column with
-    more than ``MAX_CATEGORIES`` values is refused: it cannot become columns."""
+def fit_categories(train: DataFrame, cols: Sequence[str] = vocab.CATEGORICAL_COLUMNS) -> dict[str, list[str]]:
+    """Distinct non-NULL values per categorical column, sorted: the names of the columns that ``one_hot`` makes.
+
+    The driver holds them as it holds column names. For columns of very many values see ``category_index``.
+    """
     present = [c for c in cols if c in train.columns]
-    if not present:
-        return {}
-    found = (
-        category_counts(train, present)
-        .where(F.col("category").isNotNull())
-        .select("variable", "category")
-        .limit(MAX_CATEGORIES * len(present) + 1)
-        .collect()
-    )
     cats: dict[str, list[str]] = {c: [] for c in present}
-    for r in found:
-        cats[r["variable"]].append(r["category"])
-    for c, values in cats.items():
-        if len(values) > MAX_CATEGORIES:
-            raise ValueError(f"{c} has over {MAX_CATEGORIES} categories; one-hot is not feasible")
+    if present:
+        for r in category_counts(train, present).where(F.col("category").isNotNull()).select("variable", "category").collect():
+            cats[r["variable"]].append(r["category"])
     return {c: sorted(v) for c, v in cats.items()}
 
 
+def category_index(train: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``variable, category, at``: a written table of all non-NULL values, numbered from 0 without gaps in their order.
+
+    Values are sorted by range over all tasks; numbers start at what the ranges before hold. Nothing reaches the driver.
+    """
+    values = category_counts(train, cols).where(F.col("category").isNotNull()).select("variable", "category")
+    ranged = cut_lineage(values.repartitionByRange("variable", "category").withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    inside = Window.partitionBy("__part").orderBy("variable", "category")
+    numbered = ranged.withColumn("__i", F.row_number().over(inside) - 1).join(offsets, "__part")
+    return cut_lineage(numbered.select("variable", "category", (F.col("__from") + F.col("__i")).cast("bigint").alias("at")))
+
+
+def sparse_indicators(df: DataFrame, index: DataFrame, cols: Sequence[str], out: str = "hot") -> DataFrame:
+    """Replace ``cols`` by one array with the place of each column's 1 in the row of all indicators, NULL where there is none.
+
+    The index is unique by value, so a value that owns a third of the rows is split by a skew join.
+    """
+    for i, c in enumerate(cols):
+        own = index.where(F.col("variable") == c).select(F.col("category").alias("__category"), F.col("at").alias(f"__at{i}"))
+        df = df.join(own, F.col(c).cast("string") == F.col("__category"), "left").drop("__category")
+    made = df.withColumn(out, F.array(*[F.col(f"__at{i}") for i in range(len(cols))]))
+    return made.drop(*cols, *[f"__at{i}" for i in range(len(cols))])
+
+
+def from_indicators(df: DataFrame, index: DataFrame, cols: Sequence[str], hot: str = "hot") -> DataFrame:
+    """The inverse of ``sparse_indicators``: text columns again, NULL where no indicator is set."""
+    for i, c in enumerate(cols):
+        own = index.where(F.col("variable") == c).select(F.col("category").alias(c), F.col("at").alias("__at"))
+        df = df.join(own, F.get(hot, F.lit(i)) == F.col("__at"), "left").drop("__at")
+    return df.drop(hot)
+
+
+def indicator_vectors(df: DataFrame, width: int, n_cols: int, hot: str = "hot", out: str = "features") -> DataFrame:
+    """The indicators as one sparse vector of ``pyspark.ml``; ``width``: rows of the index."""
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+
+    places = [f"__p{i}" for i in range(n_cols)]
+    df = df.withColumns({p: F.coalesce(F.get(hot, F.lit(i)), F.lit(width)).cast("double") for i, p in enumerate(places)})
+    wide = df.sparkSession.range(width + 1).select(*[F.col("id").cast("double").alias(p) for p in places])
+    model = OneHotEncoder(inputCols=places, outputCols=[f"{p}v" for p in places], dropLast=True).fit(wide)
+    made = VectorAssembler(inputCols=[f"{p}v" for p in places], outputCol=out).transform(model.transform(df))
+    return made.drop(*places, *[f"{p}v" for p in places])
+
+
 def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame:
     """Replace each column by 0/1 columns ``col_value``."""
     drop = [c for c in categories if c in df.columns]
@@ -279,18 +314,37 @@ def stratified_split(
     Rows are ranked by a hash of seed and id, so the split does not depend on
     partitioning or row order.
     """
-    ranked = hash_rank(df, ids, seed, [stratum] if stratum and stratum in df.columns else [])
-    n_test = F.round(F.col("stratum_rows") * F.lit(test_size))
-    n_val = F.round((F.col("stratum_rows") - n_test) * F.lit(val_size / (1 - test_size)))
-    label = (
-        F.when(F.col("rank") <= n_test, "test").when(F.col("rank") <= n_test + n_val, "val").otherwise("train")
-    )
-    return ranked.withColumn("split", label).drop("rank", "stratum_rows")
+    strata = [stratum] if stratum and stratum in df.columns else []
+
+    def sizes(rows: Column) -> list[Column]:
+        n_test = F.round(rows * F.lit(test_size))
+        return [n_test, n_test + F.round((rows - n_test) * F.lit(val_size / (1 - test_size)))]
+
+    cuts = hash_cuts(df, ids, seed, strata, sizes)
+    label = F.when(upto_cut("cut0", ids, seed), "test").when(upto_cut("cut1", ids, seed), "val").otherwise("train")
+    return _with_cuts(df, cuts, strata).withColumn("split", label).select(*df.columns, "split")
 
 
 def random_sample(df: DataFrame, ids: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, reproducible."""
-    return hash_rank(df, ids, seed).where(F.col("rank") <= n).drop("rank", "stratum_rows")
+    cuts = hash_cuts(df, ids, seed, [], lambda rows: [F.least(rows, F.lit(n))])
+    return _with_cuts(df, cuts, []).where(upto_cut("cut0", ids, seed)).select(*df.columns)
+
+
+def _with_cuts(df: DataFrame, cuts: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """The cuts of its stratum on each row; without strata they are one row, which becomes literals."""
+    if strata:
+        return null_safe_join(df, cuts, strata, "left")
+    row = cuts.first()
+    kinds = {f.name: f.dataType for f in cuts.schema.fields}
+    return df.withColumns({c: _literal(None if row is None else row[c], kinds[c]) for c in cuts.columns})
+
+
+def _literal(value, kind) -> Column:
+    """A row as a struct of literals."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    return F.struct(*[F.lit(value[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
 
 
 def head_sample(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:

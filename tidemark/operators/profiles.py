@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,35 +176,74 @@ def cooccurrence(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     )
 
 
+#: Groups a task holds moments of before it hands them on.
+HELD_GROUPS = 256
+_MOMENTS = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+
+def pair_moments(df: DataFrame, cols: Sequence[str], shift: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """``group..., a, b, n, sa, sb, saa, sbb, sab`` for all pairs a <= b (positions in ``cols``), over rows with both values.
+
+    Tasks add up one matrix of masked products per group, so what is shuffled is a row per pair, group and task; Spark merges
+    them. ``shift`` is taken off each column first, which keeps the sums well conditioned. NULL and NaN are missing.
+    """
+    kinds = dict(df.dtypes)
+    names = [f"__x{i}" for i in range(len(cols))]
+    narrow = df.select(*group, *[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)])
+    ia, ib = np.triu_indices(len(cols))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def rows() -> pd.DataFrame:
+            parts = []
+            for key, m in held.items():
+                part = pd.DataFrame({"a": ia.astype("int32"), "b": ib.astype("int32")} | dict(zip(_MOMENTS, m)))
+                for c, v in zip(group, key):
+                    part[c] = pd.Series([v] * len(ia), dtype=object if v is None or isinstance(v, str) else None)
+                parts.append(part)
+            held.clear()
+            return pd.concat(parts, ignore_index=True)
+
+        for batch in batches:
+            pieces = batch.groupby(list(group), dropna=False, sort=False) if group else [((), batch)]
+            for key, piece in pieces:
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                x = piece[names].to_numpy("float64", na_value=np.nan) - shift
+                there = (~np.isnan(x)).astype(float)
+                x = np.where(there > 0, x, 0.0)
+                s, ss = x.T @ there, (x * x).T @ there
+                full = (there.T @ there, s, s.T, ss, ss.T, x.T @ x)
+                found = np.stack([m[ia, ib] for m in full])
+                held[key] = held[key] + found if key in held else found
+            if len(held) >= HELD_GROUPS:
+                yield rows()
+        if held:
+            yield rows()
+
+    fields = [f"{c} {kinds[c]}" for c in group] + ["a int", "b int"] + [f"{m} double" for m in _MOMENTS]
+    order = [*group, "a", "b", *_MOMENTS]
+    sums = narrow.mapInPandas(lambda batches: (r[order] for r in partial(batches)), ", ".join(fields))
+    return sums.groupBy(*group, "a", "b").agg(*[F.sum(m).alias(m) for m in _MOMENTS])
+
+
 def correlations(df: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """Pearson matrix, pairwise-complete, one aggregation for all pairs.
+    """Pearson matrix, pairwise-complete, from one matrix of moments per group.
 
-    Values are centred on rough column means first, which keeps the moment sums
-    well conditioned. Undefined entries (constant columns) are 0, also on the
-    diagonal.
+    Undefined entries (constant columns) are 0, also on the diagonal.
     """
-    shift = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    x = {c: F.col(c).cast("double") - F.lit(float(shift[c] or 0.0)) for c in cols}
-    aggs = []
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    for i, (a, b) in enumerate(pairs):
-        ok = F.col(a).isNotNull() & F.col(b).isNotNull()
-        xa, xb = F.when(ok, x[a]), F.when(ok, x[b])
-        moments = (F.count(xa), F.sum(xa), F.sum(xb), F.sum(xa * xa), F.sum(xb * xb), F.sum(xa * xb))
-        aggs += [m.alias(f"m{i}_{j}") for j, m in enumerate(moments)]
-    wide = df.groupBy(*group).agg(*aggs)
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        n, sa, sb, saa, sbb, sab = [F.col(f"m{i}_{j}") for j in range(6)]
-        va, vb = n * saa - sa * sa, n * sbb - sb * sb
-        # a constant column leaves only rounding noise in its variance term
-        flat = (va <= F.lit(1e-12) * n * saa) | (vb <= F.lit(1e-12) * n * sbb)
-        r = F.when(~flat, F.try_divide(n * sab - sa * sb, F.sqrt(va) * F.sqrt(vb)))
-        r = F.coalesce(r, F.lit(0.0))
-        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
-        if a != b:
-            rows.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), r.alias("r")))
-    return wide.select(*group, _entries(rows)).select(*group, "e.*")
+    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(str(i)) for i, c in enumerate(cols)]).first()
+    shift = np.array([0.0 if row[i] is None or row[i] != row[i] else float(row[i]) for i in range(len(cols))])
+    sums = pair_moments(df, cols, shift, group)
+    n, sa, sb, saa, sbb, sab = [F.col(m) for m in _MOMENTS]
+    va, vb = n * saa - sa * sa, n * sbb - sb * sb
+    # a constant column leaves only rounding noise in its variance term
+    flat = (va <= F.lit(1e-12) * n * saa) | (vb <= F.lit(1e-12) * n * sbb)
+    r = F.coalesce(F.when(~flat, F.try_divide(n * sab - sa * sb, F.sqrt(va) * F.sqrt(vb))), F.lit(0.0))
+    name = F.array(*[F.lit(c) for c in cols])
+    one = lambda x, y: F.struct(F.get(name, F.col(x)).alias("a"), F.get(name, F.col(y)).alias("b"))
+    both = F.when(F.col("a") == F.col("b"), F.array(one("a", "b"))).otherwise(F.array(one("a", "b"), one("b", "a")))
+    return sums.select(*group, F.explode(both).alias("e"), r.alias("r")).select(*group, "e.a", "e.b", "r")
 
 
 def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int) -> DataFrame:

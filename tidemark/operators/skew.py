@@ -13,7 +13,7 @@ one task can hold any group.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -257,3 +257,50 @@ def hash_rank(
         (F.row_number().over(w) + F.col("cnt_offset")).cast("long").alias("rank"),
         F.col("cnt_total").alias("stratum_rows"),
     )
+
+
+#: Slices of the hash range in one step of the selection.
+SLICES = 4096
+
+
+def hash_cuts(df: DataFrame, ids: Sequence[str], seed: int | str, strata: Sequence[str], wanted: Callable[[Column], Sequence[Column]]) -> DataFrame:
+    """``strata..., cuts``: for each number of rows in ``wanted(rows of the stratum)`` the last row in the order of
+    ``hash_rank`` that is among so many, as a struct (u, ids); null for none.
+
+    Radix selection: two counts of ever finer slices of the hash range lead to the few rows around each cut, and only these are
+    sorted. Rows are read narrow, and what is shuffled are counts. Rows with the same ids are on the same side of every cut.
+    """
+    narrow = cut_lineage(df.select(*strata, *[c for c in ids if c not in strata]))
+    u = hash_uniform(seed, *[F.col(c) for c in ids])
+    place = narrow.withColumn("__u", u)
+    place = place.withColumn("__a", F.floor(F.col("__u") * SLICES)).withColumn("__b", F.floor(F.col("__u") * (SLICES * SLICES)))
+
+    def found(counts: DataFrame, part: Sequence[str], slice_: str, targets: Column) -> DataFrame:
+        """Per target the slice that holds it and how many rows of the slice are still wanted."""
+        order = Window.partitionBy(*part).orderBy(slice_).rowsBetween(Window.unboundedPreceding, 0)
+        running = counts.withColumn("__upto", F.sum("__n").over(order)).withColumn("__rows", F.sum("__n").over(Window.partitionBy(*part)))
+        each = running.withColumn("__t", F.explode(targets))
+        hit = (F.col("__t.rest") > F.col("__upto") - F.col("__n")) & (F.col("__t.rest") <= F.col("__upto"))
+        rest = F.col("__t.rest") - F.col("__upto") + F.col("__n")
+        return each.where(hit).select(*strata, F.col("__t.cut").alias("__cut"), slice_, rest.cast("long").alias("__rest"))
+
+    entries = F.array(*[F.struct(F.lit(i).alias("cut"), w.cast("long").alias("rest")) for i, w in enumerate(wanted(F.col("__rows")))])
+    coarse = place.groupBy(*strata, "__a").agg(F.count(F.lit(1)).alias("__n"))
+    first = cut_lineage(found(coarse, strata, "__a", entries))
+    inside = null_safe_join(place, first.withColumnRenamed("__rest", "__left"), [*strata, "__a"])
+    fine = inside.groupBy(*strata, "__cut", "__left", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    target = F.array(F.struct(F.col("__cut").alias("cut"), F.col("__left").alias("rest")))
+    second = cut_lineage(found(fine, [*strata, "__cut"], "__b", target))
+    near = null_safe_join(place, second, [*strata, "__b"])
+    last = Window.partitionBy(*strata, "__cut").orderBy("__u", *ids)
+    row = F.struct(F.col("__u").alias("u"), *[F.col(c).alias(f"i{k}") for k, c in enumerate(ids)])
+    edge = near.withColumn("__k", F.row_number().over(last)).where("__k = __rest").select(*strata, "__cut", row.alias("__row"))
+    n = len(wanted(F.col("__rows")))
+    cuts = edge.groupBy(*strata).agg(*[F.max(F.when(F.col("__cut") == i, F.col("__row"))).alias(f"cut{i}") for i in range(n)])
+    return cut_lineage(cuts)
+
+
+def upto_cut(cut: str, ids: Sequence[str], seed: int | str) -> Column:
+    """Is the row at or before the cut? False without one."""
+    row = F.struct(hash_uniform(seed, *[F.col(c) for c in ids]).alias("u"), *[F.col(c).alias(f"i{k}") for k, c in enumerate(ids)])
+    return F.coalesce(row <= F.col(cut), F.lit(False))

@@ -7,23 +7,23 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_TYPES = {"l": T.LongType(), "i": T.IntegerType(), "d": T.DoubleType(), "s": T.StringType(), "t": T.TimestampType(), "D": T.DateType()}
-
-
-def _schema(text: str) -> T.StructType:
-    return T.StructType([T.StructField(n, _TYPES[k]) for n, k in (f.split(":") for f in text.split())])
+def _table(longs: str = "", ints: str = "", doubles: str = "", texts: str = "", times: str = "", dates: str = "") -> T.StructType:
+    """Fields by type, names as text."""
+    kinds = ((longs, T.LongType()), (ints, T.IntegerType()), (doubles, T.DoubleType()), (texts, T.StringType()), (times, T.TimestampType()), (dates, T.DateType()))
+    return T.StructType([T.StructField(name, kind) for names, kind in kinds for name in names.split()])
 
 
 # --- fixed values: source table layouts ---
 SCHEMAS: dict[str, T.StructType] = {
-    "diagnoses": _schema("subject_id:l hadm_id:l seq_num:i icd_code:s icd_version:i"),
-    "dictionary": _schema("icd_code:s icd_version:i long_title:s"),
-    "stays": _schema("subject_id:l hadm_id:l stay_id:l first_careunit:s last_careunit:s intime:t outtime:t los:d"),
-    "patients": _schema("subject_id:l gender:s anchor_age:i anchor_year:i anchor_year_group:s dod:D"),
-    "admissions": _schema(
-        "subject_id:l hadm_id:l admittime:t dischtime:t deathtime:t admission_type:s admit_provider_id:s "
-        "admission_location:s discharge_location:s insurance:s language:s marital_status:s race:s edregtime:t "
-        "edouttime:t hospital_expire_flag:i"
+    "diagnoses": _table(longs="subject_id hadm_id", ints="seq_num icd_version", texts="icd_code"),
+    "dictionary": _table(ints="icd_version", texts="icd_code long_title"),
+    "stays": _table(longs="subject_id hadm_id stay_id", doubles="los", texts="first_careunit last_careunit", times="intime outtime"),
+    "patients": _table(longs="subject_id", ints="anchor_age anchor_year", texts="gender anchor_year_group", dates="dod"),
+    "admissions": _table(
+        longs="subject_id hadm_id",
+        ints="hospital_expire_flag",
+        texts="admission_type admit_provider_id admission_location discharge_location insurance language marital_status race",
+        times="admittime dischtime deathtime edregtime edouttime",
     ),
 }
 
