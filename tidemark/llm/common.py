@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, ship_package
+from tidemark.session import checkpoint_folder, cut_lineage, ship_package
 
 __all__ = [
-    "LOWER_ASCII", "WordHashes", "as_bytes", "cut_lineage", "documents", "mixed", "numbered", "only_cache", "prepare",
+    "LOWER_ASCII", "WordHashes", "as_bytes", "cut_lineage", "documents", "kept_by", "mixed", "numbered", "only_cache", "prepare",
     "window_hashes", "word_hashes",
 ]
 
@@ -34,6 +35,14 @@ def documents(spark: SparkSession, folder: str, name: str, *columns: str) -> Dat
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def kept_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key`` in the shared checkpoint folder: tables of one bucket number join without a shuffle."""
+    name = f"stage_{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}"
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def as_bytes(column) -> list:
     """An Arrow string column as a list of UTF-8 bytes (None where null), without decoding."""
     import pyarrow as pa

@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_ASCII, as_bytes, cut_lineage
+from tidemark.llm.common import LOWER_ASCII, as_bytes, cut_lineage, kept_by
 
 #: The end mark is a token, not a word: no word is empty.
 END = b""
 CHUNK_TOKENS = 1_000_000
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 2_000_000
 #: (bucket, context) sums added up in one task
 PART_SUMS = 2_000_000
 STIRLING = 512
@@ -71,7 +71,7 @@ class Numbers(dict):
         return n
 
 
-CHUNK = "part int, n_docs int, n_tokens bigint, n_words bigint, docs binary, held binary, nulls binary, lengths binary, tokens binary, words binary"
+CHUNK = "part int, n_docs int, n_tokens bigint, n_words bigint, end_mark bigint, docs binary, held binary, nulls binary, lengths binary, tokens binary, words binary"
 
 
 def _chunk(part: int, ids, held, lengths, tokens, numbers: Numbers):
@@ -86,7 +86,7 @@ def _chunk(part: int, ids, held, lengths, tokens, numbers: Numbers):
     blank = np.array([x is None for x in ids])
     own = np.array([0 if x is None else x for x in ids], np.int64)
     columns = [
-        part, len(ids), len(tokens), len(hashes), _pack(own), _pack(np.array(held, bool)), _pack(blank),
+        part, len(ids), len(tokens), len(hashes), int(place[numbers[END]]), _pack(own), _pack(np.array(held, bool)), _pack(blank),
         _pack(np.array(lengths, np.int64)), _pack(tokens), _pack(hashes[order]),
     ]
     names = [c.strip().split()[0] for c in CHUNK.split(",")]
@@ -131,7 +131,8 @@ class Coded:
         self.nulls = _unpack(row["nulls"], bool, self.n_docs)
         self.lengths = _unpack(row["lengths"], np.int64, self.n_docs)
         self.tokens = _unpack(row["tokens"], np.uint32, n)
-        self.words = _unpack(row["words"], np.uint64, self.n_words)
+        self.words = _unpack(row["words"], np.uint64, self.n_words) if row.get("words") is not None else None
+        self.end_mark = row["end_mark"]
         self.train = np.repeat(~self.held, self.lengths)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +142,7 @@ class Coded:
         """
         before = np.empty(len(self.tokens), np.int64)
         before[1:] = self.tokens[:-1]  # a text follows the end mark of the one before
-        before[:1] = np.searchsorted(self.words, np.uint64(xxhash.xxh64_intdigest(END)))
+        before[:1] = self.end_mark
         before += self.tokens.astype(np.int64) * self.n_words
         keys, at = np.unique(before, return_inverse=True)
         return keys, np.bincount(at, weights=self.train, minlength=len(keys)).astype(np.int64), at
@@ -205,6 +206,11 @@ BUCKET = (
 )
 
 
+def _steps(places: list[np.ndarray]) -> np.ndarray:
+    """Ascending places of several blocks, each as steps from the one before: small numbers, which pack well."""
+    return np.concatenate([np.diff(p, prepend=0) for p in places]).astype(np.uint32)
+
+
 def _gather(key, table):
     """All blocks of one hash range to one row: distinct pairs with their counts, and where each chunk finds its own."""
     import pyarrow as pa
@@ -229,7 +235,7 @@ def _gather(key, table):
         rows[0]["bucket"], len(every), len(keys), len(known), int((of_word > 0).sum()), int((total == 1).sum()), int((total == 2).sum()),
         _pack(every), _pack(word_at.astype(np.uint32)), _pack(known), _pack((keys % wide).astype(np.uint32)), _pack(total),
         [r["chunk"] for r in rows], [r["n_words"] for r in rows], [r["n_pairs"] for r in rows],
-        _pack(places.astype(np.uint32)), _pack(pair_places.astype(np.uint32)),
+        _pack(_steps(at)), _pack(_steps(np.split(pair_places, np.cumsum([r["n_pairs"] for r in rows])[:-1]))),
     ]
     names = [c.strip().split()[0] for c in BUCKET.split(",")]
     kinds = [pa.int32(), *[pa.int64()] * 6, *[pa.binary()] * 5, *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 2]
@@ -296,7 +302,7 @@ def _add_up(key, left, right):
 
 def _by_bucket(totals: DataFrame) -> DataFrame:
     """bucket, parts: all totals sent to a bucket, in the order of its contexts."""
-    return cut_lineage(totals.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("part", "n", "totals"))).alias("parts")))
+    return totals.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("part", "n", "totals"))).alias("parts"))
 
 
 def _totals_of(parts: list[dict]) -> np.ndarray:
@@ -405,7 +411,9 @@ def _discount(singles: int, doubles: int) -> float:
 
 # --- scores ---------------------------------------------------------------------------------------------------------------
 
-BACK = "chunk bigint, bucket int, counts binary, scores binary, n_words bigint, n_pairs bigint"
+BACK = "chunk bigint, bucket int, counts binary, scores binary, lowest double, n_words bigint, n_pairs bigint"
+#: Log probabilities travel as one of so many levels between 0 and the lowest of their bucket: within 0.0001 for a token.
+LEVELS = 65_535
 
 
 def _predict(batches, shared, rule: ModelRule):
@@ -428,13 +436,15 @@ def _predict(batches, shared, rule: ModelRule):
         score = np.log10(sum_p / len(p["kept"]))
         of_word = np.bincount(word, weights=counts, minlength=words).astype(np.int64)
         n_words, n_pairs = row["chunk_words"], row["chunk_pairs"]
-        word_places = np.split(_unpack(row["word_places"], np.uint32, sum(n_words)), np.cumsum(n_words)[:-1])
-        pair_places = np.split(_unpack(row["pair_places"], np.uint32, sum(n_pairs)), np.cumsum(n_pairs)[:-1])
+        word_steps = np.split(_unpack(row["word_places"], np.uint32, sum(n_words)), np.cumsum(n_words)[:-1])
+        pair_steps = np.split(_unpack(row["pair_places"], np.uint32, sum(n_pairs)), np.cumsum(n_pairs)[:-1])
+        lowest = float(score.min(initial=0.0))
+        level = np.rint(score / (lowest or 1.0) * LEVELS).astype(np.uint16)
         rows = [
-            (c, row["bucket"], _pack(of_word[a]), _pack(score.astype(np.float32)[b]), len(a), len(b))
-            for c, a, b in zip(row["chunks"], word_places, pair_places, strict=True)
+            (c, row["bucket"], _pack(of_word[np.cumsum(a)]), _pack(level[np.cumsum(b)]), lowest, len(a), len(b))
+            for c, a, b in zip(row["chunks"], word_steps, pair_steps, strict=True)
         ]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.int64(), pa.int64()]
         names = [c.strip().split()[0] for c in BACK.split(",")]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -450,7 +460,7 @@ def _score(key, left, right, shared, id_kind):
     own = Coded(left.to_pylist()[0])
     blocks = sorted(right.to_pylist(), key=lambda r: r["bucket"])
     counts = np.concatenate([_unpack(r["counts"], np.int64, r["n_words"]) for r in blocks])
-    scores = np.concatenate([_unpack(r["scores"], np.float32, r["n_pairs"]) for r in blocks])
+    scores = np.concatenate([_unpack(r["scores"], np.uint16, r["n_pairs"]) * (r["lowest"] / LEVELS) for r in blocks])
     _, _, at = own.pairs()
     n, v = p["train_tokens"], p["vocabulary"]
     base = np.log10((counts + 1) / (n + 1 * (v + 1)))
@@ -462,7 +472,7 @@ def _score(key, left, right, shared, id_kind):
             pa.array(np.add.reduceat((counts > 0)[own.tokens].astype(np.int64), starts)),
             pa.array(np.full(own.n_docs, n, np.int64)),
             pa.array(np.add.reduceat(base[own.tokens], starts)),
-            pa.array(np.add.reduceat(scores[at].astype(float), starts)),
+            pa.array(np.add.reduceat(scores[at], starts)),
         ],
         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     )
@@ -488,7 +498,8 @@ def language_model_scores(
     train_tokens = int(coded.select("n_docs", "held", "lengths").mapInArrow(_train_tokens, "n bigint").agg(F.sum("n")).first()[0] or 0)
     n_buckets = max(4, math.ceil(train_tokens / BUCKET_TOKENS))
     blocks = coded.mapInArrow(lambda b: _emit_counts(b, n_buckets), SEATS)
-    buckets = cut_lineage(blocks.groupBy("bucket").applyInArrow(_gather, BUCKET))
+    # all tables of buckets are kept by bucket, so that the large ones are never shuffled again when sweeps join them
+    buckets = kept_by(blocks.groupBy("bucket").applyInArrow(_gather, BUCKET), "bucket", n_buckets)
 
     counted = ("vocabulary", "singles", "doubles", "n_contexts")
     sums = buckets.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted]).first()
@@ -497,7 +508,7 @@ def language_model_scores(
         lambda b: _emit_contexts(b, n_parts), "part int, bucket int, n bigint, names binary, sums binary"
     )
     places = cut_lineage(named.groupBy("part").applyInArrow(_place, PLACES))
-    customers = _by_bucket(places.select("part", "bucket", "n", "totals"))
+    customers = kept_by(_by_bucket(places.select("part", "bucket", "n", "totals")), "bucket", n_buckets)
     places = places.select("part", "bucket", "n", "places")
 
     discount = _discount(sums.singles, sums.doubles)
@@ -508,26 +519,26 @@ def language_model_scores(
     for number in range(1 + rule.burn_in + rule.kept):
         value = spark.sparkContext.broadcast(dict(settings))
         table = (seat if seats is None else seat.join(seats, "bucket")).join(parts, "bucket")
-        swept = cut_lineage(table.mapInArrow(lambda b, v=value, k=number: _sweep(b, v, rule, k), SWEEP))
+        swept = kept_by(table.mapInArrow(lambda b, v=value, k=number: _sweep(b, v, rule, k), SWEEP), "bucket", n_buckets)
         ends = swept.agg(F.sum("root_customers").alias("c"), F.sum("root_tables").alias("t")).first()
         settings["root"] = (int(ends.c or 0), int(ends.t or 0))
         sent = swept.select("bucket", F.inline("of_context"))
-        parts = _by_bucket(
-            sent.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(_add_up, "part int, bucket int, n bigint, totals binary")
-        )
+        added = sent.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(_add_up, "part int, bucket int, n bigint, totals binary")
+        parts = kept_by(_by_bucket(added), "bucket", n_buckets)
         seats = swept.select("bucket", "tables", "root")
         if number > rule.burn_in:
             kept.append(settings["root"])
-            saved.append(seats.join(parts, "bucket"))
+            saved.append((seats, parts))
 
     final = spark.sparkContext.broadcast(
         {"kept": kept, "train_tokens": train_tokens} | {k: settings[k] for k in ("vocabulary", "discount", "root_discount")}
     )
     table = buckets.drop("names").join(customers.withColumnRenamed("parts", "customers"), "bucket")
-    for k, s in enumerate(saved):
-        table = table.join(s.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("tables", "root", "parts")]), "bucket")
+    for k, (seats, parts) in enumerate(saved):
+        table = table.join(seats.select("bucket", F.col("tables").alias(f"tables_{k}"), F.col("root").alias(f"root_{k}")), "bucket")
+        table = table.join(parts.select("bucket", F.col("parts").alias(f"parts_{k}")), "bucket")
     back = table.mapInArrow(lambda b: _predict(b, final, rule), BACK)
     kind = to_arrow_type(id_type)
-    return coded.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
+    return coded.drop("words").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
         lambda key, left, right: _score(key, left, right, final, kind), f"doc_id {id_type.simpleString()}, {SCORES}"
     )

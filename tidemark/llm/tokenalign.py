@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,50 +52,63 @@ def byte_letters() -> dict[str, int]:
 class Units(dict):
     """A word, without the space before it, to its ids by A and by B as little-endian bytes.
 
-    Ids whose bytes are not the word's are left out, so that the document's lengths do not add up. Words are kept in two
-    generations of at most ``most`` each; words over 64 letters are not kept.
+    New words of a few texts are encoded together. At ``most`` words all are forgotten; words over 64 letters always are.
     """
 
-    def __init__(self, models: Tokenizers, most: int = 150_000):
+    def __init__(self, models: Tokenizers, most: int = 500_000):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.most, self.old = most, {}
+        self.most = most
         self.first = Tokenizer.from_file(models.a)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_file=models.b)
         letters = byte_letters()
-        count = self.first.get_vocab_size()
-        names = [self.first.id_to_token(i) for i in range(count)]
-        self.bytes_a = [bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode() for name in names]
-        self.bytes_b = [self._piece(i) for i in range(self.second.get_piece_size())]
-        self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
-        self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
-
-    def _piece(self, i: int) -> bytes:
-        name = self.second.id_to_piece(i)
-        return bytes([int(name[3:5], 16)]) if self.second.is_byte(i) else name.replace("▁", " ").encode()
-
-    def encoded(self, word: str) -> tuple[bytes, bytes]:
-        whole = f" {word}"
-        raw = whole.encode()
-        a = self.first.encode(whole, add_special_tokens=False).ids
-        b = self.second.encode(word)
-        if b"".join(self.bytes_a[i] for i in a) != raw or b"".join(self.bytes_b[i] for i in b) != raw:
-            return b"", b""
-        return np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()
-
-    def __missing__(self, word: str) -> tuple[bytes, bytes]:
-        found = self.old.get(word)
-        if found is None:
-            found = self.encoded(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[word] = found
-        return found
+        names = [self.first.id_to_token(i) for i in range(self.first.get_vocab_size())]
+        spelled = [bytes(letters[c] for c in n) if all(c in letters for c in n) else None for n in names]
+        self.length_a = np.array([len(x) if x is not None else len(n.encode()) for n, x in zip(names, spelled, strict=True)], np.int64)
+        self.length_b = np.array([self._bytes(i) for i in range(self.second.get_piece_size())], np.int64)
+        self.quick = self._quick(models.a, names, spelled)
+
+    @staticmethod
+    def _quick(path: str, names: list[str], spelled: list[bytes | None]):
+        """A faster encoder of A for Latin words, where A's ids are the order of its merges; else none."""
+        import json
+
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        pairs = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+        if names[256 : 256 + len(pairs)] != pairs:
+            return None
+        ranks = {x: i for i, x in enumerate(spelled[: 256 + len(pairs)])}
+        return tiktoken.Encoding("latin", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _bytes(self, i: int) -> int:
+        return 1 if self.second.is_byte(i) else len(self.second.id_to_piece(i).replace("▁", " ").encode())
+
+    def _first(self, words: list[str]) -> list[list[int]]:
+        whole = [f" {w}" for w in words]
+        latin = [self.quick is not None and (w.isascii() or max(w) < "\u0250") for w in whole]
+        others = iter(self.first.encode_batch_fast([w for w, plain in zip(whole, latin, strict=True) if not plain], add_special_tokens=False))
+        return [self.quick(w) if plain else next(others).ids for w, plain in zip(whole, latin, strict=True)]
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Encode what is not known; gives the long words, to be forgotten after use."""
+        if len(self) + len(words) > self.most:
+            self.clear()
+        new = [w for w in words if w not in self]
+        for lo in range(0, len(new), 4096):
+            part = new[lo : lo + 4096]
+            for w, x, y in zip(part, self._first(part), self.second.encode(part, num_threads=1), strict=True):
+                self[w] = struct.pack(f"<{len(x)}i", *x), struct.pack(f"<{len(y)}i", *y)
+        return [w for w in new if len(w) > 64]
 
 
 #: A space at the start or after white space: there a word may begin with spaces, and a single space does not cut.
@@ -112,11 +126,15 @@ def _ids(units: Units, texts: list[str | None]):
     import pyarrow as pa
 
     first, second, sizes = [], [], []
-    for text in texts:
-        found = list(map(units.__getitem__, words_of(text))) if text else []
+    words = [words_of(text) if text else [] for text in texts]
+    long = units.learn(set().union(*words))
+    for text, own in zip(texts, words, strict=True):
+        found = list(map(units.__getitem__, own))
         first.append(b"".join([f[0] for f in found]))
         second.append(b"".join([f[1] for f in found]))
         sizes.append(len(text.encode()) + 1 if text else 0)
+    for w in long:
+        del units[w]
 
     def lists(parts):
         offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts])))
@@ -183,7 +201,11 @@ def _pairs(doc, a, group_a, b, group_b, wide: int):
 
 
 def aligned(units: Units, texts: list[str | None], names_a, names_b) -> dict:
-    """Columns n_a, n_b, n_groups, n_links, groups_sha256, pairs and times (lists) of a few texts."""
+    """Columns n_a, n_b, n_groups, n_links, groups_sha256, pairs and times (lists) of a few texts.
+
+    Both tokenizers spell texts as they are, byte by byte, but for the space mark of B: its three bytes come back as one. So a
+    text is spelled out if and only if the lengths of its tokens add up.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -194,9 +216,10 @@ def aligned(units: Units, texts: list[str | None], names_a, names_b) -> dict:
     a, doc_a, end_a, _ = _ends(ids_a, pa.array(units.length_a))
     b, doc_b, end_b, _ = _ends(ids_b, pa.array(units.length_b))
 
-    key_a = pa.table({"doc": doc_a, "end": end_a, "at_a": np.arange(len(a))})
-    key_b = pa.table({"doc": doc_b, "end": end_b, "at_b": np.arange(len(b))})
-    both = key_a.join(key_b, ["doc", "end"], join_type="inner", use_threads=False)
+    # one number for (document, end): a text has less than 2 ** 40 bytes
+    key_a = pa.table({"key": pc.add(pc.multiply(doc_a, 1 << 40), end_a), "at_a": np.arange(len(a))})
+    key_b = pa.table({"key": pc.add(pc.multiply(doc_b, 1 << 40), end_b), "at_b": np.arange(len(b))})
+    both = key_a.join(key_b, "key", join_type="inner", use_threads=False)
     last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     last_a[both["at_a"].to_numpy()] = 1
     last_b[both["at_b"].to_numpy()] = 1
