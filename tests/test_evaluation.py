@@ -98,7 +98,7 @@ def test_tstr_ranges_and_single_class(spark):
     assert one["trtr_auc"] == one["tstr_auc"] == 0.5
     with pytest.raises(ValueError):
         utility.tstr(train, synth.withColumn("flag", F.lit(0)), test, "flag", ["f1", "f2"], trees=5)
-    assert evaluation.utility_metrics(train, synth.drop("flag"), test, "flag", ["id"]) == evaluation.UNDEFINED_UTILITY
+    assert evaluation.utility_metrics(train, synth.drop("flag"), [3], test, "flag", ["id"]) == {3: evaluation.UNDEFINED_UTILITY}
 
 
 def test_privacy(spark):
@@ -183,3 +183,57 @@ def test_pair_moments_by_group(spark):
             for j, b in enumerate("abc"):
                 ok = ~np.isnan(own[:, i]) & ~np.isnan(own[:, j])
                 assert got[g, a, b] == pytest.approx(np.corrcoef(own[ok, i], own[ok, j])[0, 1], abs=1e-6)
+
+
+def test_many_logistic_fits_at_once(spark):
+    """Each model is at the optimum of its own penalised likelihood; AUC counts pairs, ties half."""
+    from tidemark.operators import models
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(3, 2, (300, 3))
+    y = (x @ [1.0, -0.5, 0.0] + rng.normal(0, 2, 300) > 1.5).astype(float)
+    member = [[0, 1] if i % 3 else [1, 2] for i in range(300)]
+    df = spark.createDataFrame([(m, float(t), [float(v) for v in r]) for m, t, r in zip(member, y, x)], "models array<int>, label double, x array<double>")
+    shift, scale = np.tile(x.mean(0), (3, 1)), np.tile(x.std(0), (3, 1))
+    w = models.fit_logistics(df, shift, scale)
+    for m in range(3):
+        own = [i for i in range(300) if m in member[i]]
+        z = np.c_[(x[own] - shift[m]) / scale[m], np.ones(len(own))]
+        p = 1 / (1 + np.exp(-z @ w[m]))
+        assert np.abs(z.T @ (p - y[own]) + np.append(w[m][:-1], 0)).max() < 1e-6
+    scored = models.score_models(df, np.round(w, 0), shift, scale).toPandas()
+    got = {r["model"]: r["auc"] for r in models.auc_by_model(spark.createDataFrame(scored.round(1))).collect()}
+    for m, part in scored.round(1).groupby("model"):
+        pos, neg = part.score[part.label == 1].to_numpy(), part.score[part.label == 0].to_numpy()
+        diff = pos[:, None] - neg[None, :]
+        assert got[m] == pytest.approx(((diff > 0) + 0.5 * (diff == 0)).mean())
+
+
+def test_separable_rows_stay_finite(spark):
+    from tidemark.operators import models
+
+    df = spark.createDataFrame([([0], float(i >= 50), [float(i)]) for i in range(100)], "models array<int>, label double, x array<double>")
+    w = models.fit_logistics(df, np.array([[49.5]]), np.array([[29.0]]))
+    assert np.isfinite(w).all() and w[0, 0] > 2
+
+
+def test_utility_of_many_datasets_is_that_of_each(spark):
+    rng = np.random.default_rng(6)
+
+    def side(n, seed_shift):
+        f = rng.normal(seed_shift, 1, (n, 2))
+        t = (f[:, 0] + rng.normal(0, 1, n) > seed_shift).astype(int)
+        return [(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(f, t))]
+
+    make = lambda rows: spark.createDataFrame(rows, "i long, f1 double, f2 double, flag int")
+    train, test = make(side(150, 0)), make(side(80, 0))
+    sets = [make(side(120, 0.5)), make(side(120, 0)), make([(1, 0.0, 0.0, 1), (2, 1.0, 1.0, 1)])]
+    synth = None
+    for d, s in enumerate(sets):
+        s = s.withColumn("d", F.lit(d))
+        synth = s if synth is None else synth.unionByName(s)
+    many = utility.tstr_many(train, synth, test, "flag", ["f1", "f2"], "d", trees=5, max_depth=4)
+    assert many[2] is None
+    for d in (0, 1):
+        one = utility.tstr(train, sets[d], test, "flag", ["f1", "f2"], trees=5, max_depth=4)
+        assert many[d] == pytest.approx({k: one[k] for k in many[d]}, abs=0.02)

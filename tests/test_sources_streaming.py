@@ -187,3 +187,20 @@ def test_empty_stream_gives_empty_rows(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/events.parquet").where("event_id < 0").coalesce(1).write.parquet(f"{tmp_path}/src")
     counts = run.run_available(twin_stream.value_counts(_stream(spark, f"{tmp_path}/src"), "ts", ["user_id"], "value"), "update")
     assert counts.count() == 0 and "value" in counts.columns
+
+
+def test_ordered_result_in_parts(spark, tmp_path):
+    """Parts in the order of the manifest, one after another, are the sorted table."""
+    path = f"{tmp_path}/result"
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = writers.write_result_csv(df, path, ["k"]).orderBy("part").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest) > 1 and sum(r["rows"] for r in manifest) == 5000
+    lines = [line.split(",") for r in manifest for line in open(f"{path}/{r['file']}").read().splitlines()[1:]]
+    assert [int(k) for k, _ in lines] == list(range(5000))
+    assert sum(v == "" or v == '""' for _, v in lines) == df.where("v IS NULL").count()
+    empty = writers.write_result_csv(df.where("false"), f"{tmp_path}/none", ["k"])
+    assert empty.agg(F.sum("rows")).first()[0] in (None, 0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.models import cross_validated_auc
+from tidemark.operators.models import discriminator_aucs
 from tidemark.operators.profiles import correlations
 from tidemark.operators.skew import null_safe_join
 from tidemark.operators.stattests import both_sides, ks_tests, shared_numeric
@@ -40,7 +40,8 @@ def discriminator(
     real: DataFrame, synth: DataFrame, cols: Sequence[str], ids: Sequence[str], folds: int = 5, seed: int = 42
 ) -> dict:
     """Cross-validated AUC of a logistic model telling real from synthetic rows."""
-    return cross_validated_auc(both_sides(real, synth, [*ids, *cols]), cols, "is_real", [*ids], folds, seed)
+    found = discriminator_aucs(real, synth.withColumn("__d", F.lit(0)), cols, ids, "__d", folds, seed).first()
+    return {"auc": found["auc"], "auc_std": found["auc_std"]}
 
 
 def category_shares(real: DataFrame, synth: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:

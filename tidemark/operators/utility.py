@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import numeric_columns
-from tidemark.operators.models import assemble, auc, forest, logistic, n_classes
+from tidemark.operators.models import (
+    assemble, auc, auc_by_model, fit_logistics, forest, logistic, moments_of, n_classes, score_models,
+)
 from tidemark.operators.prep import fit_standard
+from tidemark.session import cut_lineage
+
+#: Forests fitted at the same time: their jobs share the cluster, as one forest alone leaves it idle between stages.
+AT_ONCE = 4
 
 
 class SingleClass(ValueError):
@@ -53,3 +62,55 @@ def tstr(
     out["tstr_auc"] = (runs["lr", "tstr"] + runs["rf", "tstr"]) / 2
     out["auc_gap"] = abs(out["trtr_auc"] - out["tstr_auc"])
     return out
+
+
+def all_of(tasks: Sequence[Callable[[], float]]) -> list[float]:
+    """Results of independent fits, a few at the same time."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
+
+
+def tstr_many(
+    real_train: DataFrame, synth: DataFrame, real_test: DataFrame, target: str, cols: Sequence[str], dataset: str,
+    trees: int = 100, seed: int = 42, max_depth: int = 30,
+) -> dict[int, dict[str, float] | None]:
+    """``tstr`` of every dataset of ``synth``: trtr_auc, tstr_auc and auc_gap, None where training rows hold one class.
+
+    The models trained on real rows are fitted once. All logistic models share their passes over the rows.
+    """
+    cols = list(cols)
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]).alias("x")
+    label = F.col(target).cast("double").alias("label")
+    sides = {None: real_train} | {d: synth.where(F.col(dataset) == d) for d in sorted(r[0] for r in synth.select(dataset).distinct().collect())}
+    number = {d: i for i, d in enumerate(sides)}
+    at = F.lit(-1)
+    for d, i in number.items():
+        if d is not None:
+            at = F.when(F.col(dataset) == d, F.lit(i)).otherwise(at)
+    rows = real_train.select(F.array(F.lit(0)).alias("models"), label, x).unionByName(synth.select(F.array(at).alias("models"), label, x))
+    rows = cut_lineage(rows.where(F.col("label").isNotNull()))
+    classes = {r["m"]: r["n"] for r in rows.groupBy(F.get("models", F.lit(0)).alias("m")).agg(F.countDistinct("label").alias("n")).collect()}
+    test = cut_lineage(real_test.select(F.array(*[F.lit(i) for i in number.values()]).alias("models"), label, x))
+    if test.select("label").distinct().limit(2).count() < 2:
+        even = {"trtr_auc": 0.5, "tstr_auc": 0.5, "auc_gap": 0.0}
+        return {d: dict(even) if classes.get(0) == classes.get(number[d]) == 2 else None for d in sides if d is not None}
+    moments = moments_of(real_train, cols, None) | moments_of(synth, cols, dataset)
+    shift = np.array([moments[d][1] if d in moments else np.zeros(len(cols)) for d in sides])
+    scale = np.array([np.where(moments[d][2] > 0, np.sqrt(moments[d][2]), 1.0) if d in moments else np.ones(len(cols)) for d in sides])
+    found = auc_by_model(cut_lineage(score_models(test, fit_logistics(rows, shift, scale), shift, scale))).collect()
+    linear = {r["model"]: r["auc"] for r in found}
+
+    def one(d) -> float:
+        if classes.get(number[d], 0) < 2:
+            return float("nan")
+        scaler = {c: (float(shift[number[d], i]), float(scale[number[d], i])) for i, c in enumerate(cols)}
+        return auc(forest(assemble(sides[d], cols, target, scaler), trees, seed, max_depth), assemble(real_test, cols, target, scaler))
+
+    grown = dict(zip(sides, all_of([lambda d=d: one(d) for d in sides])))
+    out: dict[int, dict[str, float] | None] = {}
+    for d in sides:
+        if d is not None:
+            trtr, tstr_ = ((linear[number[k]] + grown[k]) / 2 for k in (None, d))
+            good = classes.get(0) == classes.get(number[d]) == 2
+            out[d] = {"trtr_auc": trtr, "tstr_auc": tstr_, "auc_gap": abs(trtr - tstr_)} if good else None
+    return out

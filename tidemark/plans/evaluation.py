@@ -6,12 +6,13 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import vocab
 from tidemark.functions.exprs import numeric_columns
 from tidemark.operators import fidelity, plausibility, privacy, utility
+from tidemark.operators.models import discriminator_aucs
 from tidemark.operators.prep import invert_minmax
 from tidemark.operators.stattests import pooled_text, rubin_pool, shared_numeric
 from tidemark.operators.timeseries import series_summary
@@ -64,23 +65,22 @@ def fidelity_metrics(
     )
 
 
-def discriminator_metric(real: DataFrame, synth: DataFrame, real_id: str, synth_id: str, cols: Sequence[str]) -> float:
-    tag = lambda d, i: d.select(F.col(i).cast("string").alias("rid"), *cols)
-    return fidelity.discriminator(tag(real, real_id), tag(synth, synth_id), cols, ["rid"])["auc"]
+def discriminator_metrics(real: DataFrame, synth: DataFrame, real_id: str, synth_id: str, cols: Sequence[str]) -> dict[int, float]:
+    """AUC of telling real rows from those of each dataset, all models fitted at once."""
+    tag = lambda d, i, *more: d.select(F.col(i).cast("string").alias("rid"), *cols, *more)
+    found = discriminator_aucs(tag(real, real_id), tag(synth, synth_id, "dataset_id"), cols, ["rid"], "dataset_id")
+    return {r["dataset_id"]: r["auc"] for r in found.collect()}
 
 
-def utility_metrics(train: DataFrame, synth: DataFrame, test: DataFrame, target: str, skip: Sequence[str], **kw) -> dict[str, float]:
-    """Zeros when the target is missing or the training rows hold one class."""
+def utility_metrics(train: DataFrame, synth: DataFrame, ids: Sequence[int], test: DataFrame, target: str, skip: Sequence[str], **kw) -> dict[int, dict]:
+    """Per dataset; zeros when the target is missing or the training rows hold one class."""
+    zeros = {d: dict(UNDEFINED_UTILITY) for d in ids}
     if target not in synth.columns:
-        return dict(UNDEFINED_UTILITY)
+        return zeros
     cols = [c for c in shared_numeric(train, synth, [target, *skip, *vocab.ID_COLUMNS]) if c in test.columns]
     if not cols:
-        return dict(UNDEFINED_UTILITY)
-    try:
-        found = utility.tstr(train, synth, test, target, cols, **kw)
-    except utility.SingleClass:
-        return dict(UNDEFINED_UTILITY)
-    return {k: found[k] for k in UNDEFINED_UTILITY}
+        return zeros
+    return zeros | {d: m for d, m in utility.tstr_many(train, synth, test, target, cols, "dataset_id", **kw).items() if m}
 
 
 def privacy_metrics(
@@ -115,8 +115,8 @@ def evaluate(
 
     ``train`` and ``test`` are on the original scale; normalised synthetic rows
     are brought back to it, so that all comparisons use one scale. Closed-form
-    metrics are grouped jobs; model-based ones loop over datasets on the driver
-    with distributed fits.
+    metrics are grouped jobs, logistic models of all datasets are fitted over the
+    same passes, and forests, one per dataset, a few at the same time.
     """
     spark = train.sparkSession
     rows: list[tuple] = []
@@ -134,16 +134,19 @@ def evaluate(
         if private:
             parts.append(privacy_metrics(train, synth, sizes, real_id, m.row_id, private))
         quasi = [c for c in private if c != target][: 10 if m.normalised else 8]
-        for d in ids:
-            one = synth.where(F.col("dataset_id") == d).drop("dataset_id")
-            found = utility_metrics(train, one, test, target, [real_id, m.row_id], trees=trees)
-            if cols:
-                found["discriminator_auc"] = discriminator_metric(test, one, real_id, m.row_id, cols)
-            if private:
-                found["aia_accuracy"] = privacy.attribute_inference(train, one, target, quasi)
-            else:
-                found |= EMPTY_PRIVACY
-            rows += [(m.name, int(d), k, float(v)) for k, v in found.items()]
+        found = utility_metrics(train, synth, ids, test, target, [real_id, m.row_id, "dataset_id"], trees=trees)
+        if cols:
+            for d, v in discriminator_metrics(test, synth, real_id, m.row_id, cols).items():
+                found[d]["discriminator_auc"] = v
+        if private:
+            one = lambda d: synth.where(F.col("dataset_id") == d).drop("dataset_id")  # noqa: E731, B023
+            fits = [lambda d=d: privacy.attribute_inference(train, one(d), target, quasi) for d in ids]  # noqa: B023
+            for d, v in zip(ids, utility.all_of(fits)):
+                found[d]["aia_accuracy"] = v
+        else:
+            for d in ids:
+                found[d] |= EMPTY_PRIVACY
+        rows += [(m.name, int(d), k, float(v)) for d in ids for k, v in found[d].items()]
         for part in parts:
             part = part.select(F.lit(m.name).alias("model"), F.col("dataset_id").cast("int").alias("dataset_id"), "metric", "value")
             grouped = part if grouped is None else grouped.unionByName(part)
@@ -209,10 +212,3 @@ def score_candidate(
     except utility.SingleClass:
         pass
     return out
-
-
-def metrics_frame(spark: SparkSession, model: str, dataset_id: int, found: Mapping[str, float]) -> DataFrame:
-    return spark.createDataFrame(
-        [(model, dataset_id, k, float(v)) for k, v in found.items()],
-        "model string, dataset_id int, metric string, value double",
-    )

@@ -7,23 +7,25 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-def _table(longs: str = "", ints: str = "", doubles: str = "", texts: str = "", times: str = "", dates: str = "") -> T.StructType:
-    """Fields by type, names as text."""
-    kinds = ((longs, T.LongType()), (ints, T.IntegerType()), (doubles, T.DoubleType()), (texts, T.StringType()), (times, T.TimestampType()), (dates, T.DateType()))
-    return T.StructType([T.StructField(name, kind) for names, kind in kinds for name in names.split()])
+LONG, INT, DOUBLE, TEXT, TIME, DATE = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.TimestampType(), T.DateType()
+
+
+def _table(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
 # --- fixed values: source table layouts ---
 SCHEMAS: dict[str, T.StructType] = {
-    "diagnoses": _table(longs="subject_id hadm_id", ints="seq_num icd_version", texts="icd_code"),
-    "dictionary": _table(ints="icd_version", texts="icd_code long_title"),
-    "stays": _table(longs="subject_id hadm_id stay_id", doubles="los", texts="first_careunit last_careunit", times="intime outtime"),
-    "patients": _table(longs="subject_id", ints="anchor_age anchor_year", texts="gender anchor_year_group", dates="dod"),
+    "diagnoses": _table(subject_id=LONG, hadm_id=LONG, seq_num=INT, icd_code=TEXT, icd_version=INT),
+    "dictionary": _table(icd_code=TEXT, icd_version=INT, long_title=TEXT),
+    "stays": _table(
+        subject_id=LONG, hadm_id=LONG, stay_id=LONG, first_careunit=TEXT, last_careunit=TEXT, intime=TIME, outtime=TIME, los=DOUBLE
+    ),
+    "patients": _table(subject_id=LONG, gender=TEXT, anchor_age=INT, anchor_year=INT, anchor_year_group=TEXT, dod=DATE),
     "admissions": _table(
-        longs="subject_id hadm_id",
-        ints="hospital_expire_flag",
-        texts="admission_type admit_provider_id admission_location discharge_location insurance language marital_status race",
-        times="admittime dischtime deathtime edregtime edouttime",
+        subject_id=LONG, hadm_id=LONG, admittime=TIME, dischtime=TIME, deathtime=TIME, admission_type=TEXT, admit_provider_id=TEXT,
+        admission_location=TEXT, discharge_location=TEXT, insurance=TEXT, language=TEXT, marital_status=TEXT, race=TEXT,
+        edregtime=TIME, edouttime=TIME, hospital_expire_flag=INT,
     ),
 }
 
@@ -54,11 +56,6 @@ def land(spark: SparkSession, path: str, schema: T.StructType, target: str, key:
     return spark.read.parquet(target)
 
 
-def read_stage(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
-
-
 def require(tables: Mapping[str, DataFrame], needed: Mapping[str, Iterable[str]]) -> None:
     """Stop before any job when a table or column is missing."""
     for name, cols in needed.items():

@@ -15,10 +15,24 @@ def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     return df.sparkSession.read.parquet(path)
 
 
-def write_result_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
-    """One CSV file for a result table (a report, not a data set)."""
+def write_result_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> DataFrame:
+    """CSV parts of a result table of any size, and their manifest.
+
+    With ``order`` the rows are sorted by range over all tasks, NULL first: each part is sorted and follows the one before. The
+    manifest (part, file, rows), returned and kept as JSON under ``<path>.manifest``, lists the parts in that order.
+    """
     out = df.orderBy(*order) if order else df
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).csv(path)
+    spark = df.sparkSession
+    rows = spark.read.schema(_as_text(df)).option("header", True).csv(path).groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    name = F.element_at(F.split("file", "/"), -1)
+    manifest = rows.select(F.regexp_extract(name, "part-([0-9]+)", 1).cast("int").alias("part"), name.alias("file"), "rows")
+    manifest.orderBy("part").write.mode("overwrite").json(f"{path}.manifest")
+    return spark.read.schema("part int, file string, rows long").json(f"{path}.manifest")
+
+
+def _as_text(df: DataFrame) -> str:
+    return ", ".join(f"`{c}` string" for c in df.columns)
 
 
 def params_frame(spark: SparkSession, params: Mapping[str, Mapping[str, float]]) -> DataFrame:
@@ -28,7 +42,7 @@ def params_frame(spark: SparkSession, params: Mapping[str, Mapping[str, float]])
 
 
 def save_params(spark: SparkSession, params: Mapping[str, Mapping[str, float]], path: str) -> None:
-    params_frame(spark, params).coalesce(1).write.mode("overwrite").json(path)
+    params_frame(spark, params).write.mode("overwrite").json(path)
 
 
 def load_params(spark: SparkSession, path: str) -> dict[str, dict[str, float]]:
@@ -43,7 +57,7 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
         if t == "double":
             bad = F.isnan(c) | (F.abs(F.col(c)) == F.lit(float("inf")))
             out = out.withColumn(c, F.when(~bad, F.col(c)))
-    out.coalesce(1).write.mode("overwrite").json(path)
+    out.write.mode("overwrite").json(path)
 
 
 def run_sql(spark: SparkSession, text: str, tables: Mapping[str, DataFrame], **args) -> DataFrame:

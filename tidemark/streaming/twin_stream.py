@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import null_safe_join, quantiles
+from tidemark.operators.skew import fit_blocks, null_safe_join, quantiles, with_blocks
 from tidemark.operators.stattests import distribution_shift
 from tidemark.operators.twin import DRIFT_ALPHA, DRIFT_THRESHOLD, channel_errors, mean_error
 
@@ -50,28 +50,27 @@ def pair_feedback(
 
 def ema_blocks(
     feedback: DataFrame, entity: str = "entity_id", time: str = "ts", tie: str | None = None, error: str = "error",
-    alpha: float = DRIFT_ALPHA, block: str = "1 hour", watermark: str = WATERMARK,
+    alpha: float = DRIFT_ALPHA, watermark: str = WATERMARK,
 ) -> DataFrame:
-    """Moving average per (entity, time block), update mode.
+    """Moving average per (entity, point in time), update mode.
 
-    State holds the records of the open blocks of an entity; the watermark
-    closes a block. A run of records folds to one pair, the number of non-empty
-    records and their weighted sum, so blocks may fill in any order and over any
-    number of micro-batches. ``folded_first`` is the sum for the block that
-    opens the entity's history. Records without a time are left out.
+    A state row holds the records of one entity at one time, so that of an entity with a third of all records is as small as any
+    other; the watermark closes it. A run of records folds to one pair, the number of non-empty records and their weighted sum,
+    and pairs of later times compose, so records may come in any order and over any number of micro-batches. ``folded_first``
+    is the sum for the records that open the entity's history. Records without a time are left out.
     """
     slim = feedback.withWatermark(time, watermark).select(
         F.col(entity).alias("entity_id"), F.col(time).alias("t"),
         (F.col(tie) if tie else F.lit(0)).alias("tie"), mean_error(error).alias("e"),
     )
-    runs = slim.groupBy(F.window("t", block), "entity_id").agg(F.array_sort(F.collect_list(F.struct("t", "tie", "e"))).alias("run"))
+    runs = slim.where(F.col("t").isNotNull()).groupBy("t", "entity_id").agg(F.array_sort(F.collect_list(F.struct("tie", "e"))).alias("run"))
 
     def fold(run, start):
         return F.aggregate(run, start, lambda s, x: F.when(x["e"].isNull(), s).otherwise(alpha * x["e"] + (1 - alpha) * s))
 
     opening = F.coalesce(F.element_at("run", 1)["e"], F.lit(0.0))
     return runs.select(
-        "entity_id", F.col("window.start").alias("block_start"), F.size("run").cast("long").alias("n"),
+        "entity_id", F.col("t").alias("block_start"), F.size("run").cast("long").alias("n"),
         F.size(F.filter("run", lambda x: x["e"].isNotNull())).alias("filled"),
         fold(F.col("run"), F.lit(0.0)).alias("folded"),
         fold(F.slice("run", 2, F.greatest(F.size("run"), F.lit(1))), opening).alias("folded_first"),
@@ -80,13 +79,23 @@ def ema_blocks(
 
 def drift_of_blocks(blocks: DataFrame, alpha: float = DRIFT_ALPHA, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """``entity_id, recent_drift, n_feedback, needs_recalibration`` from the
-    blocks of :func:`ema_blocks` (the last state of each)."""
-    by_time = Window.partitionBy("entity_id").orderBy("block_start")
-    later = Window.partitionBy("entity_id").orderBy(F.desc("block_start")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.select(
+    pairs of :func:`ema_blocks` (the last state of each).
+
+    Times are cut into blocks of bounded size; how many records follow a pair is
+    counted within its block and over the later ones, so no entity is one task.
+    """
+    rows = blocks.select("entity_id", "n", "filled", "folded", "folded_first", F.unix_micros(F.col("block_start").cast("timestamp")).alias("t"))
+    rows = with_blocks(rows, ["t"], fit_blocks(rows, ["t"])).withColumnRenamed("t__block", "block").drop("t__num")
+    per = rows.groupBy("entity_id", "block").agg(F.sum("filled").alias("filled_here"))
+    later = Window.partitionBy("entity_id").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("entity_id").orderBy("block")
+    per = per.select("entity_id", "block", F.coalesce(F.sum("filled_here").over(later), F.lit(0)).alias("filled_later"), F.row_number().over(earlier).alias("nth"))
+    after = Window.partitionBy("entity_id", "block").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.row_number().over(Window.partitionBy("entity_id", "block").orderBy("t"))
+    placed = null_safe_join(rows, per, ["entity_id", "block"]).select(
         "entity_id", "n",
-        F.when(F.row_number().over(by_time) == 1, F.col("folded_first")).otherwise(F.col("folded")).alias("s"),
-        F.coalesce(F.sum("filled").over(later), F.lit(0)).alias("after"),
+        F.when((F.col("nth") == 1) & (first == 1), F.col("folded_first")).otherwise(F.col("folded")).alias("s"),
+        (F.col("filled_later") + F.coalesce(F.sum("filled").over(after), F.lit(0))).alias("after"),
     )
     drift = placed.groupBy("entity_id").agg(
         F.sum(F.col("s") * F.pow(F.lit(1.0 - alpha), F.col("after"))).alias("recent_drift"), F.sum("n").alias("n_feedback")
