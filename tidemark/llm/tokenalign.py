@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut_lineage, only_cache
 
 #: Bytes of text aligned at once, and links joined at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 SLICE_LINKS = 2_000_000
 #: Id pairs whose totals are sent to all executors; more of them are joined by a shuffle.
 SMALL_TOTALS = 1_500_000
@@ -52,10 +52,11 @@ def byte_letters() -> dict[str, int]:
 class Units(dict):
     """A word, without the space before it, to its ids by A and by B as little-endian bytes.
 
-    New words of a few texts are encoded together. At ``most`` words all are forgotten; words over 64 letters always are.
+    New words of a few texts are encoded together. Words are kept in two generations of at most ``most`` each, words over 64
+    letters not at all.
     """
 
-    def __init__(self, models: Tokenizers, most: int = 500_000):
+    def __init__(self, models: Tokenizers, most: int = 150_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -63,7 +64,7 @@ class Units(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.most = most
+        self.most, self.old = most, {}
         self.first = Tokenizer.from_file(models.a)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_file=models.b)
@@ -102,8 +103,11 @@ class Units(dict):
     def learn(self, words: set[str]) -> list[str]:
         """Encode what is not known; gives the long words, to be forgotten after use."""
         if len(self) + len(words) > self.most:
+            self.old = dict(self)
             self.clear()
-        new = [w for w in words if w not in self]
+        unknown = [w for w in words if w not in self]
+        self.update({w: self.old[w] for w in unknown if w in self.old})
+        new = [w for w in unknown if w not in self]
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
             for w, x, y in zip(part, self._first(part), self.second.encode(part, num_threads=1), strict=True):
@@ -247,30 +251,30 @@ def aligned(units: Units, texts: list[str | None], names_a, names_b) -> dict:
     }
 
 
-def _chunks(texts: list[str | None]):
-    """Ranges of texts of at most ``CHUNK_BYTES`` letters; a longer text is one on its own."""
+def _chunks(sizes: list[int]):
+    """Ranges of texts of at most ``CHUNK_BYTES`` bytes; a longer text is one on its own."""
     lo, held = 0, 0
-    for k, text in enumerate(texts):
-        n = len(text) if text else 0
+    for k, n in enumerate(sizes):
         if k > lo and held + n > CHUNK_BYTES:
             yield lo, k
             lo, held = k, 0
         held += n
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 def _align(batches, models: Tokenizers):
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     units: Units = only_cache(("token units", models), lambda: Units(models))
     names_a = pa.array([str(i) for i in range(len(units.length_a))], pa.large_string())
     names_b = pa.array([str(i) for i in range(len(units.length_b))], pa.large_string())
     for batch in batches:
-        texts = batch["text"].to_pylist()
-        for lo, hi in _chunks(texts):
-            found = aligned(units, texts[lo:hi], names_a, names_b)
+        for lo, hi in _chunks(pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist()):
+            found = aligned(units, batch["text"].slice(lo, hi - lo).to_pylist(), names_a, names_b)
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), *found.values()], ["doc_id", *found])
+        pa.default_memory_pool().release_unused()
 
 
 def _partial_counts(batches):
