@@ -64,7 +64,7 @@ def report_tables(spark, folder):
     path = _place(spark, "report")
     tables = cohort_report(static)
     write_report(tables, path)
-    return spark.read.text(f"{path}/*/part-*").select(
+    return spark.read.text(f"{path}/*.csv/part-*").select(
         F.regexp_extract(F.input_file_name(), r"/([a-z0-9_]+)\.csv/", 1).alias("table"), F.col("value").alias("line")
     )
 

@@ -13,7 +13,10 @@ from tidemark.session import cut_lineage
 SCENARIOS = {"baseline": {}, "rich": {"band": "high"}, "other_segment": {"segment": "BUILDING", "band": "low"}}
 _ATTRS = ["segment", "band"]
 
-_BASE = f"""{HOURLY_SQL}, series AS (SELECT * FROM hourly WHERE hour <= 72),
+#: Draws per profile and scenario, and of the interval of repeated draws.
+DRAWS, INTERVAL_DRAWS = 5, 30
+
+_WITH_DRAWS = f"""{HOURLY_SQL}, series AS (SELECT * FROM hourly WHERE hour <= 72),
 people AS (SELECT c_custkey AS id, c_mktsegment AS segment, CASE WHEN c_acctbal < 2500 THEN 'low' WHEN c_acctbal < 7000 THEN 'mid' ELSE 'high' END AS band FROM customer),
 donors AS (SELECT * FROM people WHERE id IN (SELECT user_id FROM series)),
 expanded AS (SELECT id, 'baseline' AS scenario, segment, band FROM people UNION ALL SELECT id, 'rich', segment, 'high' FROM people UNION ALL SELECT id, 'other_segment', 'BUILDING', 'low' FROM people),
@@ -21,9 +24,10 @@ dk AS (SELECT id, unnest(['2|segment=' || segment || '|band=' || band, '1|segmen
 ranked AS (SELECT id, key, ROW_NUMBER() OVER (PARTITION BY key ORDER BY {u_sql("42", "id")}, id) AS rank, COUNT(*) OVER (PARTITION BY key) AS size FROM dk),
 want AS (SELECT id, scenario, unnest([2, 1, 0]) AS matched_on, unnest(['2|segment=' || segment || '|band=' || band, '1|segment=' || segment, '0']) AS key FROM expanded),
 best AS (SELECT * FROM (SELECT w.*, s.size, ROW_NUMBER() OVER (PARTITION BY w.id, scenario ORDER BY matched_on DESC) AS rn FROM want w JOIN (SELECT DISTINCT key, size FROM ranked) s ON w.key = s.key) WHERE rn = 1),
-drawn AS (SELECT b.id, scenario, draw, matched_on, CAST(floor({u_sql("42", "b.id", "scenario", "draw")} * size) + 1 AS BIGINT) AS rank, key FROM best b, range(1, 6) t(draw)),
+drawn AS (SELECT b.id, scenario, draw, matched_on, CAST(floor({u_sql("42", "b.id", "scenario", "draw")} * size) + 1 AS BIGINT) AS rank, key FROM best b, range(1, @draws@ + 1) t(draw)),
 draws AS (SELECT d.id, d.scenario, CAST(d.draw AS INT) AS draw, CAST(d.matched_on AS INT) AS matched_on, k.id AS donor FROM drawn d JOIN ranked k ON d.key = k.key AND d.rank = k.rank),
 traj AS (SELECT d.*, s.hour, s.click, s.view FROM draws d JOIN series s ON d.donor = s.user_id)"""
+_BASE, _MANY = (_WITH_DRAWS.replace("@draws@", str(n)) for n in (DRAWS, INTERVAL_DRAWS))
 
 
 def _people(spark, folder):
@@ -38,10 +42,10 @@ def _series(spark, folder):
     return hourly(spark, folder).where("hour <= 72").select(F.col("user_id").alias("donor"), "hour", "click", "view")
 
 
-def _draws(spark, folder):
+def _draws(spark, folder, scenarios=SCENARIOS, n=DRAWS):
     people = _people(spark, folder)
     donors = people.withColumnRenamed("id", "donor").join(_series(spark, folder).select("donor").distinct(), "donor", "left_semi")
-    return sc.draw_donors(sc.expand_scenarios(people, SCENARIOS), donors, ["id", "scenario"], "donor", _ATTRS, 5)
+    return sc.draw_donors(sc.expand_scenarios(people, scenarios), donors, ["id", "scenario"], "donor", _ATTRS, n)
 
 
 def _trajectories(spark, folder):
@@ -79,11 +83,12 @@ def assoc_difference(spark, folder):
 
 @query(
     "draw_interval",
-    f"""WITH {_BASE}, m AS (SELECT id, hour, AVG(click) AS mean, stddev_pop(click) AS std FROM traj WHERE scenario = 'baseline' GROUP BY ALL)
+    f"""WITH {_MANY}, m AS (SELECT id, hour, AVG(click) AS mean, stddev_pop(click) AS std FROM traj WHERE scenario = 'baseline' GROUP BY ALL)
     SELECT id, hour, {r("mean")} AS mean, {r("std")} AS std, {r("mean - 1.959963984540054 * std")} AS lower, {r("mean + 1.959963984540054 * std")} AS upper FROM m""",
 )
 def draw_interval(spark, folder):
-    t = _trajectories(spark, folder).where("scenario = 'baseline'")
+    drawn = _draws(spark, folder, {"baseline": {}}, INTERVAL_DRAWS)
+    t = sc.conditional_trajectories(drawn, _series(spark, folder), "donor")
     m = sc.repeated_draw_moments(t, ["id"], ["click"])
     lo, hi = gaussian_interval(F.col("mean"), F.col("std"))
     return rounded(m.select("id", "hour", "mean", "std", lo.alias("lower"), hi.alias("upper")))

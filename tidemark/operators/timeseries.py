@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import vocab
 from tidemark.functions.exprs import clip, hour_since
 from tidemark.operators.skew import HOT_ROWS, first_by, hot_groups, null_safe_join, quantiles, split_hot
+from tidemark.session import cut_lineage
 
 
 def with_hour(
@@ -31,14 +32,16 @@ def hourly_medians(
 ) -> DataFrame:
     """Median per (keys, item), one column per item.
 
-    Ordinary groups: one shuffle of the narrow rows on ``keys`` serves both the
-    median per item and the pivot. Groups too large for one task go through
-    value blocks.
+    The narrow rows are written once, so that what they come from, often a join,
+    is not run again to look for hot groups. Ordinary groups: one shuffle of them
+    on ``keys`` serves both the median per item and the pivot. Groups too large
+    for one task go through value blocks.
     """
     v = F.col(value) if isinstance(value, str) else value
     rows = events.select(*keys, F.col(item).alias("__item"), v.cast("double").alias("__val")).where(
         F.col("__val").isNotNull() & F.col("__item").isin(list(items))
     )
+    rows = cut_lineage(rows)
 
     def plain(df: DataFrame) -> DataFrame:
         med = df.repartition(*keys).groupBy(*keys, "__item").agg(F.median("__val").alias("__m"))
@@ -64,7 +67,8 @@ def hourly_column_medians(
     hot_rows: int = HOT_ROWS,
     hot_rate: float = 0.01,
 ) -> DataFrame:
-    """Median of several value columns per key (the wide-log form)."""
+    """Median of several value columns per key (the wide-log form); rows are written once, as in ``hourly_medians``."""
+    df = cut_lineage(df.select(*keys, *cols))
 
     def plain(d: DataFrame) -> DataFrame:
         return d.groupBy(*keys).agg(*[F.median(F.col(c)).alias(n) for c, n in cols.items()])
