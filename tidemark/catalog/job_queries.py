@@ -2,16 +2,19 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.catalog.clinical import coded_tables, freetext_tables, static_features
+from tidemark.catalog.preparation import u_sql
 from tidemark.catalog.registry import query, r, rounded, table
 from tidemark.catalog.statistics import COHORT_TESTS_SQL
 from tidemark.operators.bayes import fit_network
 from tidemark.operators.prep import apply_minmax, fit_minmax
 from tidemark.plans.external_validation import validate_externally
 from tidemark.plans.generation import generate_complete
+from tidemark.plans.preprocessing import splits_or_new
 from tidemark.plans.report import cohort_report, write_report
 from tidemark.session import checkpoint_folder, cut_lineage
 from tidemark.sources import readers, writers
@@ -57,6 +60,35 @@ def metrics_round_trip(spark, folder):
     return rounded(spark.read.schema("model string, metric string, value double").json(path))
 
 
+@query(
+    "stored_splits",
+    f"""SELECT doc_id, quality, CASE WHEN rn <= round(n * 0.2) THEN 'test' ELSE 'train' END AS part
+    FROM (SELECT doc_id, quality, ROW_NUMBER() OVER (PARTITION BY quality ORDER BY {u_sql("42", "doc_id")}, doc_id) AS rn, COUNT(*) OVER (PARTITION BY quality) AS n FROM labels)""",
+)
+def stored_splits(spark, folder):
+    """A new split is stored; the next run takes the stored one."""
+    lab, path = table(spark, folder, "labels").select("doc_id", "quality"), _place(spark, "splits")
+    new = splits_or_new(lab, None, ["doc_id"], "quality")
+    stored = {name: writers.write_stage(df, f"{path}/{name}") for name, df in zip(("train", "test"), new)}
+    train, test = splits_or_new(lab.where("false"), stored, ["doc_id"], "quality")
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@query(
+    "ordered_result",
+    "SELECT o_orderkey, o_totalprice, ROW_NUMBER() OVER (ORDER BY o_totalprice, o_orderkey) AS position FROM orders",
+)
+def ordered_result(spark, folder):
+    """Orders written as sorted CSV parts; a row's position follows from the manifest and its place in its part."""
+    order, path = ["o_totalprice", "o_orderkey"], _place(spark, "ordered")
+    manifest = writers.write_result_csv(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), path, order)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    starts = manifest.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    rows = spark.read.schema("o_orderkey long, o_totalprice double").option("header", True).csv(path)
+    rows = rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).join(starts, "file")
+    return rows.select("o_orderkey", "o_totalprice", (F.row_number().over(Window.partitionBy("file").orderBy(*order)) + F.col("start")).alias("position"))
+
+
 @query("report_tables")
 def report_tables(spark, folder):
     """All report tables, written as CSV and read back as (table, line)."""

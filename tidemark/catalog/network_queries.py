@@ -153,6 +153,33 @@ def inverse_bins(spark, folder):
     return rounded(net.sample(n, 42, 2).select("row_id", "dataset_id", "o_orderstatus", "o_orderpriority"))
 
 
+_LONE = ["o_orderpriority", "c_mktsegment"]
+
+
+@query(
+    "isolated_marginals",
+    f"WITH {_DATA} "
+    + " UNION ALL ".join(
+        f"SELECT '{v}' AS node, {v} AS state, COUNT(*) AS n, {r('COUNT(*) / (SELECT CAST(COUNT(*) AS DOUBLE) FROM d)')} AS prob FROM d GROUP BY {v}" for v in _LONE
+    ),
+)
+def isolated_marginals(spark, folder):
+    """Nodes without any edge keep their plain shares."""
+    prof = cut_lineage(_profiles(spark, folder))
+    tables = bayes.probability_tables(prof, {v: [] for v in _LONE}, bayes.states_of(prof, _LONE), prof.agg(F.sum("weight")).first()[0])
+    return rounded(tables.select("node", "state", "n", "prob"))
+
+
+@query(
+    "static_series_pairs",
+    "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
+)
+def static_series_pairs(spark, folder):
+    """Profiles that have a series, each once however many rows the series has."""
+    series = table(spark, folder, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("c_custkey"))
+    return bayes.pair_static_with_series(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), series, "c_custkey")
+
+
 @query("network_edges")
 def network_edges(spark, folder):
     """Structure learned on the static features: one row per edge."""
