@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark import vocab
 from tidemark.catalog.clinical import CODED_SQL, static_features
 from tidemark.catalog.descriptive import _corr_sql
 from tidemark.catalog.preparation import u_sql
@@ -265,21 +266,19 @@ def candidate_score(spark, folder):
     return _metric_row(spark, evaluation.score_candidate(h, swapped, static, static, "stay_id", ["click", "view"]))
 
 
-_FEATURES = ["anchor_age", "gender", "stroke_subtype", "hospital_expire_flag", "los", "has_afib", "lab_glucose", "lab_sodium"]
-
-
 @query("evaluation_tables")
 def evaluation_tables(spark, folder):
-    """Fit the profile network on the training rows, sample two datasets, evaluate and pool."""
+    """Fit the profile network on the training rows, sample ten datasets, evaluate and pool: all features, 100 trees."""
     from tidemark.operators.prep import impute, stratified_split
 
-    keep = ["stay_id", *_FEATURES]
-    static = cut_lineage(stratified_split(impute(static_features(spark, folder).select(*keep)), ["stay_id"], "hospital_expire_flag"))
-    static = static.drop("lab_glucose_missing", "lab_sodium_missing")
+    features = list(vocab.PROFILE_FEATURES)
+    static = static_features(spark, folder).select("stay_id", *features)
+    static = cut_lineage(stratified_split(impute(static), ["stay_id"], "hospital_expire_flag"))
+    static = static.drop(*[c for c in static.columns if c.endswith("_missing")])
     train, test = (static.where(F.col("split") == s).drop("split") for s in ("train", "test"))
-    net = fit_network(train, _FEATURES)
-    synth = cut_lineage(net.sample(test.count(), 42, 2).withColumnRenamed("row_id", "rid"))
-    found = evaluation.evaluate([evaluation.Model("network", synth, "rid")], train, test, fit_minmax(train, ["anchor_age", "los"]), trees=20)
+    net = fit_network(train, features)
+    synth = cut_lineage(net.sample(test.count(), 42, 10).withColumnRenamed("row_id", "rid"))
+    found = evaluation.evaluate([evaluation.Model("network", synth, "rid")], train, test, fit_minmax(train, ["anchor_age", "los"]))
     tables = evaluation.result_tables(cut_lineage(found))
     out = None
     for name, t in tables.items():

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark import vocab
 from tidemark.catalog.clinical import coded_tables, freetext_tables, static_features
 from tidemark.catalog.preparation import u_sql
 from tidemark.catalog.registry import query, r, rounded, table
@@ -110,7 +111,7 @@ def external_validation(spark, folder):
 @query("complete_generation")
 def complete_generation(spark, folder):
     """Synthetic stays with the laboratory series of matched donors."""
-    keep = ["stay_id", "anchor_age", "gender", "stroke_subtype", "has_afib"]
+    keep = ["stay_id", *vocab.PROFILE_FEATURES]
     static = cut_lineage(static_features(spark, folder).select(*keep))
     labs = coded_tables(spark, folder)["labs"].where("valuenum IS NOT NULL")
     series = labs.groupBy(F.col("hadm_id").alias("stay_id"), F.hour("charttime").alias("hour")).agg(F.avg("valuenum").alias("level"))

@@ -33,18 +33,29 @@ def _counts_sql() -> str:
     )
 
 
+_LABS = vocab.LAB_COLUMNS
+_TEXT = [c for c in vocab.PROFILE_FEATURES if c not in ("anchor_age", "los", *_LABS)]
+
+
+def _quartile_sql(c: str) -> str:
+    """The bin of a filled column; its edges are distinct quartiles, so with repeats there are fewer bins."""
+    bins = " ".join(f"WHEN v_{c} <= e_{c}[{i + 1}] THEN 'Q{i}'" for i in range(1, 4))
+    return f"CASE {bins} ELSE 'Q' || (len(e_{c}) - 1) END AS {c}"
+
+
 @query(
     "profile_states",
-    f"""WITH {CODED_SQL}, m AS (SELECT MEDIAN(lab_glucose) AS g FROM static), x AS (SELECT *, COALESCE(lab_glucose, g) AS v FROM static, m),
-    e AS (SELECT list_sort(list_distinct(quantile_cont(v, [0, 0.25, 0.5, 0.75, 1]))) AS e FROM x)
+    f"""WITH {CODED_SQL}, m AS (SELECT {", ".join(f"MEDIAN({c}) AS m_{c}" for c in _LABS)} FROM static),
+    x AS (SELECT *, {", ".join(f"COALESCE({c}, m_{c}) AS v_{c}" for c in _LABS)} FROM static, m),
+    e AS (SELECT {", ".join(f"list_sort(list_distinct(quantile_cont(v_{c}, [0, 0.25, 0.5, 0.75, 1]))) AS e_{c}" for c in _LABS)} FROM x)
     SELECT stay_id, CASE WHEN anchor_age < 45 THEN '18-45' WHEN anchor_age < 55 THEN '45-55' WHEN anchor_age < 65 THEN '55-65' WHEN anchor_age < 75 THEN '65-75' WHEN anchor_age < 85 THEN '75-85' ELSE '85+' END AS anchor_age,
       CASE WHEN los < 1 THEN '0-1d' WHEN los < 3 THEN '1-3d' WHEN los < 7 THEN '3-7d' WHEN los < 14 THEN '7-14d' ELSE '14+d' END AS los,
-      CASE WHEN v <= e[2] THEN 'Q1' WHEN v <= e[3] THEN 'Q2' WHEN v <= e[4] THEN 'Q3' ELSE 'Q4' END AS lab_glucose, gender, CAST(has_afib AS VARCHAR) AS has_afib FROM x, e""",
+      {", ".join(_quartile_sql(c) for c in _LABS)}, {", ".join(f"COALESCE(CAST({c} AS VARCHAR), 'nan') AS {c}" for c in _TEXT)} FROM x, e""",
 )
 def profile_states(spark, folder):
+    """All features of the profile network as states."""
     s = cut_lineage(static_features(spark, folder))
-    edges = quartile_edges(s, ["lab_glucose"])
-    return bayes.discretise(s, ["anchor_age", "los", "lab_glucose", "gender", "has_afib"], edges, keep=["stay_id"])
+    return bayes.discretise(s, list(vocab.PROFILE_FEATURES), quartile_edges(s, list(_LABS)), keep=["stay_id"])
 
 
 @query("family_counts", f"WITH {_DATA} {_counts_sql()}")
