@@ -370,7 +370,35 @@ def _large_links(docs: DataFrame, classes: DataFrame, entries: DataFrame, rule:
     large = texts.where("blocks > 1")
     if large.select("digest").limit(1).count():
         links = cut_lineage(links.unionAll(_hubs_visit(large, links, rule)))
-    return links.unionAll(_across(docs, classes, postings, shared, links, rule)).select("a", "b")
+    return links.unionAll(_across(docs, classes, _linkable(postings, shared, rule), links, rule)).select("a", "b")
+
+
+def _may(n_from, n_to, most, rule: JoinRule):
+    """Can a set (n, shared) be linked with one of a size from ``n_from`` to ``n_to`` that is in ``most`` lists?
+
+    With c shingles common to both prefixes, two sets share at most c and what the one whose prefix ends first has beyond its
+    prefix; c is at most the number of lists either is in.
+    """
+    smallest = F.greatest(n_from, F.ceil(F.col("n") * rule.least / rule.of))
+    largest = F.least(n_to, F.floor(F.col("n") * rule.of / rule.least))
+
+    def need(m):
+        return F.ceil((F.col("n") + m) * rule.least / (rule.least + rule.of))
+
+    beyond = lambda m: m - _prefix(m, rule)
+    enough = F.least("shared", most)
+    return (smallest <= largest) & ((need(smallest) - beyond(F.col("n")) <= enough) | (need(largest) - beyond(largest) <= enough))
+
+
+def _linkable(postings: DataFrame, shared: DataFrame, rule: JoinRule) -> DataFrame:
+    """name, key, n, shared: entries of sets that can be linked with another of the list. In a list of two, the other is known."""
+    whole = Window.partitionBy("key")
+    sums = {"k": F.count(F.lit(1)), "n_lo": F.min("n"), "n_hi": F.max("n"), "n_all": F.sum("n"), "s_hi": F.max("shared"), "s_all": F.sum("shared")}
+    rows = postings.select("name", "key").join(shared, "name").select("*", *[e.over(whole).alias(c) for c, e in sums.items()])
+    two = F.col("k") == 2
+    other, its = F.col("n_all") - F.col("n"), F.col("s_all") - F.col("shared")
+    may = _may(F.when(two, other).otherwise(F.col("n_lo")), F.when(two, other).otherwise(F.col("n_hi")), F.when(two, its).otherwise(F.col("s_hi")), rule)
+    return cut_lineage(rows.where(may).select("name", "key", "n", "shared"))
 
 
 def _prefix(n, rule: JoinRule):
@@ -397,19 +425,17 @@ def _hubs_visit(large: DataFrame, links: DataFrame, rule: JoinRule) -> DataFrame
     return _scanned(visited.select("label", "block", "part", "digest", "text", "visitor").unionAll(sent), rule)
 
 
-def _across(docs: DataFrame, classes: DataFrame, postings: DataFrame, shared: DataFrame, links: DataFrame, rule: JoinRule) -> DataFrame:
-    """Links of sets that are in one list but not yet in one component.
+def _across(docs: DataFrame, classes: DataFrame, postings: DataFrame, links: DataFrame, rule: JoinRule) -> DataFrame:
+    """Links of sets that are in one list (``postings``) but not yet in one component.
 
-    In each list, the sets outside its most frequent component visit the blocks that hold others of it. With c shingles common to
-    both prefixes, two sets share at most c and what the one whose prefix ends first has beyond its prefix. c is at most the
-    number of lists either is in, so a visit is made only to a block with a set of a size for which that is enough.
+    In each list, the sets outside its most frequent component visit the blocks that hold others of it, if these have a set of a
+    size for which the shared shingles are enough.
     """
     now = connected(links.select("a", "b"))
     of_class = classes.select("digest", "name").join(now.withColumnRenamed("node", "digest"), "digest", "left")
-    placed = of_class.groupBy("name").agg(F.min(F.coalesce("component", "digest")).alias("component")).join(shared, "name")
-    keyed = cut_lineage(postings.select("name", "key").join(placed, "name"))
-    blocks = max(1, math.ceil(shared.count() / rule.block_sets))
-    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int"))
+    placed = of_class.groupBy("name").agg(F.min(F.coalesce("component", "digest")).alias("component"))
+    blocks = max(1, math.ceil(postings.select("name").distinct().count() / rule.block_sets))
+    keyed = cut_lineage(postings.join(placed, "name").withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")))
     counts = keyed.groupBy("key", "component").count().groupBy("key").agg(
         F.max(F.struct("count", "component")).alias("most"), F.count(F.lit(1)).alias("components")
     )
@@ -420,16 +446,7 @@ def _across(docs: DataFrame, classes: DataFrame, postings: DataFrame, shared: Da
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("shared").alias("most")
     )
     guests = keyed.where("component <> main").select("key", "name", "n", "shared", F.col("component").alias("own"))
-    smallest = F.greatest("n_lo", F.ceil(F.col("n") * rule.least / rule.of))
-    largest = F.least("n_hi", F.floor(F.col("n") * rule.of / rule.least))
-
-    def need(m):
-        return F.ceil((F.col("n") + m) * rule.least / (rule.least + rule.of))
-
-    beyond = lambda m: m - _prefix(m, rule)
-    enough = F.least("shared", "most")
-    may = (smallest <= largest) & ((need(smallest) - beyond(F.col("n")) <= enough) | (need(largest) - beyond(largest) <= enough))
-    met = guests.join(spots, "key").where("lo <> own OR hi <> own").where(may)
+    met = guests.join(spots, "key").where("lo <> own OR hi <> own").where(_may(F.col("n_lo"), F.col("n_hi"), F.col("most"), rule))
     visits = cut_lineage(met.select("key", "block", "name"))
     hosts = keyed.join(visits.select("key", "block").distinct(), ["key", "block"], "left_semi").select("block", "name").distinct()
     named = classes.select("name", "digest", "rep", "n")
